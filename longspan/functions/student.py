@@ -1,74 +1,51 @@
 """Student-t tail and quantile for whole degrees of freedom.
 
-For a whole number of degrees of freedom the two-sided tail is a finite trigonometric sum, so it
-is a plain Spark expression and needs no numeric library.
+For a whole number of degrees of freedom the two-sided tail is a finite trigonometric sum, so both
+are plain SQL expressions and need no numeric library. Arguments are SQL texts, such as names.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, functions as F
 
 
-def two_sided_p(t: Column, df: Column) -> Column:
-    """P(|T| > |t|) with `df` whole degrees of freedom, null when either is null or df < 1."""
-    df = df.cast("int")
-    angle = F.atan(F.abs(t) / F.sqrt(df.cast("double")))
-    cos2 = F.cos(angle) * F.cos(angle)
-    even = df % 2 == 0
-    terms = F.when(even, df / 2).otherwise((df - 1) / 2).cast("int")
-    first = F.when(even, F.lit(1.0)).otherwise(F.cos(angle))
+def _tail(angle: str, df: str) -> str:
+    """P(|T| > t) with angle = atan(t / sqrt(df)), t >= 0."""
+    even = f"{df} % 2 = 0"
+    terms = f"cast(if({even}, {df} div 2, ({df} - 1) div 2) as int)"
+    series = f"""aggregate(
+        if({terms} > 0, sequence(1, {terms}), cast(array() as array<int>)),
+        named_struct('total', 0D, 'term', if({even}, 1D, cos({angle}))),
+        (acc, k) -> named_struct(
+          'total', acc.total + acc.term,
+          'term', acc.term * if({even}, 2 * k - 1, 2 * k) / if({even}, 2 * k, 2 * k + 1)
+                  * cos({angle}) * cos({angle})),
+        acc -> acc.total)"""
+    return f"""greatest(0D, 1 - if({even}, sin({angle}) * {series},
+        ({angle} + sin({angle}) * {series}) * 2 / pi()))"""
 
-    def step(acc: Column, k: Column) -> Column:
-        up = F.when(even, 2 * k - 1).otherwise(2 * k)
-        down = F.when(even, 2 * k).otherwise(2 * k + 1)
-        return F.struct(
-            (acc["total"] + acc["term"]).alias("total"),
-            (acc["term"] * up / down * cos2).alias("term"),
-        )
 
-    series = F.aggregate(
-        F.when(terms > 0, F.sequence(F.lit(1), terms)).otherwise(
-            F.array().cast("array<int>")
-        ),
-        F.struct(F.lit(0.0).alias("total"), first.alias("term")),
-        step,
-        lambda acc: acc["total"],
-    )
-    inside = F.when(even, F.sin(angle) * series).otherwise(
-        (angle + F.sin(angle) * series) * F.lit(2.0 / math.pi)
+def two_sided_p(t: str, df: str) -> Column:
+    """P(|T| > |t|) with `df` whole degrees of freedom, null when either is null or df < 1."""
+    # A one-element array names the angle, so that its formula is not repeated in the text.
+    angles = f"array(atan(abs({t}) / sqrt(cast({df} as double))))"
+    return F.expr(
+        f"case when ({df}) >= 1 and ({t}) is not null"
+        f" then transform({angles}, a -> {_tail('a', f'({df})')})[0] end"
     )
-    return F.when((df >= 1) & t.isNotNull(), F.greatest(F.lit(0.0), 1 - inside))
-
 
-def tail(t: float, df: int) -> float:
-    """Same sum for one pair of numbers on the driver."""
-    angle = math.atan(abs(t) / math.sqrt(df))
-    cos2 = math.cos(angle) ** 2
-    even = df % 2 == 0
-    term, total = (1.0 if even else math.cos(angle)), 0.0
-    for k in range(1, (df if even else df - 1) // 2 + 1):
-        total += term
-        term *= ((2 * k - 1) / (2 * k) if even else (2 * k) / (2 * k + 1)) * cos2
-    if even:
-        return 1 - math.sin(angle) * total
-    return 1 - (angle + math.sin(angle) * total) * 2 / math.pi
 
-
-def critical_value(alpha: float, df: int) -> float:
-    """t with two-sided tail `alpha`, by bisection on the angle."""
-    low, high = 0.0, math.pi / 2
-    for _ in range(200):
-        mid = (low + high) / 2
-        if tail(math.tan(mid) * math.sqrt(df), df) > alpha:
-            low = mid
-        else:
-            high = mid
-    return math.tan((low + high) / 2) * math.sqrt(df)
-
-
-def critical_column(df: Column, alpha: float, max_df: int) -> Column:
-    """Critical value looked up by degrees of freedom; `max_df` bounds the literal map."""
-    pairs = [x for k in range(1, max_df + 1) for x in (F.lit(k), F.lit(critical_value(alpha, k)))]
-    return F.try_element_at(F.create_map(*pairs), df.cast("int"))
+def critical_value(alpha: float, df: str) -> Column:
+    """t whose two-sided tail is `alpha`, by halving the range of the angle sixty times."""
+    beyond = f"{_tail('ends.middle', f'({df})')} > {alpha!r}D"
+    return F.expr(
+        f"""case when ({df}) >= 1 then sqrt(cast({df} as double)) * tan(aggregate(
+          sequence(1, 60),
+          named_struct('low', 0D, 'middle', pi() / 4, 'high', pi() / 2),
+          (ends, _step) -> if({beyond},
+            named_struct('low', ends.middle, 'middle', (ends.middle + ends.high) / 2,
+                         'high', ends.high),
+            named_struct('low', ends.low, 'middle', (ends.low + ends.middle) / 2,
+                         'high', ends.middle)),
+          ends -> ends.middle)) end"""
+    )

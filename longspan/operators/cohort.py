@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, functions as F
 
 from longspan.functions import columns as C
+from longspan.operators.joins import lookup_join
 
 # Canonical race levels, the source titles that map to them, and the titles and
 # ethnicity titles that stand for "not known".
@@ -130,12 +131,11 @@ def ages_at_anchor(
 def ever_flag(events: DataFrame, codes: DataFrame, name: str = "ever_treated") -> DataFrame:
     """yes/no per patient: any event whose code is in the code list.
 
-    Events shrink to distinct (patient, code) on the map side before the code list is joined.
+    The flag is combined on the map side, so a patient is one row per task in the shuffle.
     """
-    pairs = events.select("patient_num", "feature_id").distinct()
-    listed = codes.select("feature_id").distinct().withColumn("_listed", F.lit(True))
+    listed = codes.select("feature_id").withColumn("_listed", F.lit(True))
     return (
-        pairs.join(listed, "feature_id", "left")
+        lookup_join(events.select("patient_num", "feature_id"), listed, ["feature_id"], "left")
         .groupBy("patient_num")
         .agg(F.bool_or(F.coalesce("_listed", F.lit(False))).alias("_any"))
         .select("patient_num", F.when(F.col("_any"), "yes").otherwise("no").alias(name))

@@ -86,10 +86,14 @@ def symmetrise(triplets: DataFrame, passes: int = 1) -> DataFrame:
     A second pass doubles off-diagonal counts once more and still keeps the diagonal, which is how
     the yearly matrices are built; the per-patient matrices take one pass.
     """
-    mirrored = triplets.where(F.col("i") != F.col("j")).select(
-        "period", F.col("j").alias("i"), F.col("i").alias("j"), "n"
+    cell = F.struct("i", "j")
+    mirror = F.struct(F.col("j").alias("i"), F.col("i").alias("j"))
+    cells = F.when(F.col("i") == F.col("j"), F.array(cell)).otherwise(F.array(cell, mirror))
+    total = (
+        triplets.select("period", "n", F.inline(cells))
+        .groupBy("period", "i", "j")
+        .agg(F.sum("n").alias("n"))
     )
-    total = triplets.unionByName(mirrored).groupBy("period", "i", "j").agg(F.sum("n").alias("n"))
     factor = 2 ** (passes - 1)
     if factor == 1:
         return total

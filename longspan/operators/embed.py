@@ -50,24 +50,31 @@ def embed_small(matrix: DataFrame, dims: int = 100, value: str = "pmi") -> DataF
     return cells.groupBy("period").applyInPandas(solve, VECTOR_SCHEMA)
 
 
-def _gram(rows: DataFrame, left: str, right: str) -> dict[int, np.ndarray]:
-    """left'right per period: dense blocks are summed per batch, then per cell."""
+def _products(rows: DataFrame, shadow: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """[basis w]'w per period, with `shadow` of the basis first taken out of w.
+
+    Dense blocks are summed per batch of rows, then per cell; only these small matrices leave
+    Spark.
+    """
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for period, part in pdf.groupby("period"):
-                block = np.stack(part[left].to_numpy()).T @ np.stack(part[right].to_numpy())
+                basis, block = _blocks(part)
+                if int(period) in shadow:
+                    block = block - basis @ shadow[int(period)]
+                cells = np.hstack([basis, block]).T @ block
                 yield pd.DataFrame(
                     {
                         "period": period,
-                        "cell": np.arange(block.size),
-                        "width": block.shape[1],
-                        "x": block.ravel(),
+                        "cell": np.arange(cells.size),
+                        "width": cells.shape[1],
+                        "x": cells.ravel(),
                     }
                 )
 
     cells = (
-        rows.select("period", left, right)
+        rows.select("period", "basis", "w")
         .mapInPandas(partial, "period int, cell int, width int, x double")
         .groupBy("period", "cell", "width")
         .agg(F.sum("x").alias("x"))
@@ -79,30 +86,57 @@ def _gram(rows: DataFrame, left: str, right: str) -> dict[int, np.ndarray]:
     }
 
 
-def _apply(rows: DataFrame, column: str, by_period: dict[int, np.ndarray], out: str) -> DataFrame:
-    """Multiply each row vector by its period's small matrix."""
-    schema = f"period int, i int, {out} array<double>"
+def _blocks(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    basis = np.stack(part["basis"].to_numpy()).astype(float)
+    return basis, np.stack(part["w"].to_numpy()).astype(float)
+
+
+def _extend(
+    rows: DataFrame, shadow: dict[int, np.ndarray], turn: dict[int, np.ndarray]
+) -> DataFrame:
+    """Take the basis out of w, make w orthonormal and append it to the basis."""
+
+    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for period, part in pdf.groupby("period"):
+                basis, block = _blocks(part)
+                if int(period) in shadow:
+                    block = block - basis @ shadow[int(period)]
+                block = block @ turn[int(period)]
+                yield pd.DataFrame(
+                    {
+                        "period": period,
+                        "i": part["i"],
+                        "basis": list(np.hstack([basis, block])),
+                        "w": list(block),
+                    }
+                )
+
+    return rows.mapInPandas(grow, "period int, i int, basis array<double>, w array<double>")
+
+
+def _combine(rows: DataFrame, weights: dict[int, np.ndarray]) -> DataFrame:
+    """Basis rows times each period's small matrix."""
 
     def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for period, part in pdf.groupby("period"):
-                vectors = np.stack(part[column].to_numpy()) @ by_period[int(period)]
-                yield pd.DataFrame({"period": period, "i": part["i"], out: list(vectors)})
+                vectors = np.stack(part["basis"].to_numpy()) @ weights[int(period)]
+                yield pd.DataFrame({"period": period, "i": part["i"], "vec": list(vectors)})
 
-    return rows.select("period", "i", column).mapInPandas(product, schema)
+    return rows.select("period", "i", "basis").mapInPandas(product, VECTOR_SCHEMA)
 
 
-def _orthonormal(gram: np.ndarray) -> np.ndarray:
-    """Matrix that makes columns with this Gram matrix orthonormal; dependent ones become zero."""
+def _orthonormal(gram: np.ndarray, scale: float) -> np.ndarray:
+    """Matrix that makes columns with this Gram matrix orthonormal; spent ones become zero."""
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    keep = values > 1e-12 * max(float(values.max(initial=0.0)), 1e-300)
-    scale = np.where(keep, 1.0 / np.sqrt(np.where(keep, values, 1.0)), 0.0)
-    return vectors * scale
+    keep = values > 1e-14 * scale
+    return vectors * np.where(keep, 1.0 / np.sqrt(np.where(keep, values, 1.0)), 0.0)
 
 
-def _times(matrix: DataFrame, rows: DataFrame, column: str, width: int, value: str) -> DataFrame:
-    """Sparse matrix times the tall matrix of row vectors: a join and a sum per entry."""
-    other = rows.select("period", F.col("i").alias("j"), F.col(column).alias("_v"))
+def _times(matrix: DataFrame, rows: DataFrame, width: int, value: str) -> DataFrame:
+    """Sparse matrix times the newest block: a join and a sum per column."""
+    other = rows.select("period", F.col("i").alias("j"), F.col("w").alias("_v"))
     sums = [F.sum(F.col(value) * F.col("_v")[k]).alias(f"_s{k}") for k in range(width)]
     return (
         matrix.join(other, ["period", "j"])
@@ -115,51 +149,61 @@ def _times(matrix: DataFrame, rows: DataFrame, column: str, width: int, value: s
 def embed_large(
     matrix: DataFrame,
     dims: int = 100,
-    block: int = 24,
-    steps: int = 8,
+    block: int = 32,
     value: str = "pmi",
     seed: int = 7,
+    tolerance: float = 1e-6,
 ) -> DataFrame:
-    """Largest positive eigenpairs by a block Krylov space, for vocabularies too big for one task.
+    """Largest positive eigenpairs by block Lanczos, for vocabularies too big for one task.
 
-    Row vectors stay in Spark; only block x block Gram matrices per period reach the driver. Each
-    step multiplies the newest block by the matrix, removes earlier blocks twice, and writes the
-    basis as a table so that lineage stays short. The space has block * steps columns; it is exact
-    once that reaches the vocabulary size, and otherwise accurate for the leading components.
+    Row vectors stay in Spark; only matrices as wide as the basis reach the driver. Each step
+    multiplies the newest block by the matrix, takes the basis out of the product twice, and
+    writes the grown basis as a table so that lineage stays short. It ends when what the last
+    product adds outside the basis moves no wanted eigenpair by more than `tolerance` of the
+    largest eigenvalue, at the latest when the basis is as wide as the vocabulary.
     """
     matrix = stage(matrix.select("period", "i", "j", value), "matrix")
     codes = matrix.select("period", "i").distinct()
-    start = F.array(
-        *[
-            F.xxhash64(F.col("i"), F.lit(seed * 1000 + k)) / F.lit(float(2**63))
-            for k in range(block)
-        ]
+    sizes = codes.groupBy("period").count().agg(F.max("count")).first()[0] or 0
+    draws = [
+        F.xxhash64(F.col("i"), F.lit(seed * 1000 + k)) / F.lit(float(2**63)) for k in range(block)
+    ]
+    rows = stage(
+        codes.withColumn("basis", F.array().cast("array<double>")).withColumn("w", F.array(*draws)),
+        "basis",
     )
-    rows = codes.withColumn("w", start).withColumn("basis", F.array().cast("array<double>"))
-    for step in range(steps):
-        rows = stage(rows, "krylov")
-        for _ in range(2):
-            if step:
-                overlap = _gram(rows, "basis", "w")
-                shadow = _apply(rows, "basis", overlap, "_shadow")
-                rows = (
-                    rows.join(shadow, ["period", "i"])
-                    .withColumn("w", F.zip_with("w", "_shadow", lambda a, b: a - b))
-                    .drop("_shadow")
-                )
-            turn = {p: _orthonormal(g) for p, g in _gram(rows, "w", "w").items()}
-            unit = _apply(rows, "w", turn, "w")
-            rows = stage(rows.drop("w").join(unit, ["period", "i"]), "krylov")
-        rows = rows.withColumn("basis", F.concat("basis", "w"))
-        if step + 1 < steps:
-            product = _times(matrix, rows, "w", block, value)
-            rows = rows.drop("w").join(product, ["period", "i"])
-    width = block * steps
-    rows = stage(rows.select("period", "i", "basis"), "basis")
-    image = _times(matrix, rows, "basis", width, value)
-    projected = _gram(rows.join(image, ["period", "i"]), "basis", "w")
-    pick = {p: leading_vectors((t + t.T) / 2, dims) for p, t in projected.items()}
-    return _apply(rows, "basis", pick, "vec")
+    shadow: dict[int, np.ndarray] = {}
+    gram = _products(rows, shadow)
+    scale = {p: float(np.trace(g)) for p, g in gram.items()}
+    small: dict[int, np.ndarray] = {p: np.zeros((0, 0)) for p in gram}
+    width = 0
+    while True:
+        turn = {p: _orthonormal(g, scale[p]) for p, g in gram.items()}
+        rows = stage(_extend(rows, shadow, turn), "basis")
+        width += block
+        moved = rows.drop("w").join(_times(matrix, rows, block, value), ["period", "i"])
+        moved = stage(moved, "product")
+        first = {p: x[:width] for p, x in _products(moved, {}).items()}
+        second = _products(moved, first)
+        shadow, gram, done = {}, {}, width >= sizes
+        errors = []
+        for p, x in second.items():
+            shadow[p] = first[p] + x[:width]
+            gram[p] = x[width:] - x[:width].T @ x[:width]
+            grown = np.zeros((width, width))
+            grown[: width - block, : width - block] = small[p]
+            grown[:, width - block :] = shadow[p]
+            grown[width - block :, :] = shadow[p].T
+            small[p] = grown
+            values, vectors = np.linalg.eigh(grown)
+            wanted = vectors[width - block :, np.argsort(values)[::-1][:dims]]
+            largest = max(float(np.abs(values).max()), 1e-300)
+            outside = np.einsum("ak,ab,bk->k", wanted, gram[p], wanted)
+            errors.append(np.sqrt(max(float(outside.max()), 0.0)) / largest)
+            scale[p] = largest**2
+        if done or max(errors, default=0.0) <= tolerance:
+            return _combine(rows, {p: leading_vectors(t, dims) for p, t in small.items()})
+        rows = moved
 
 
 def embed(
@@ -171,7 +215,7 @@ def embed(
     largest = sizes.agg(F.max("d")).first()[0] or 0
     if largest <= small_limit:
         return embed_small(cells, dims, value)
-    return embed_large(cells, dims, value=value, steps=max(8, -(-2 * dims // 24)))
+    return embed_large(cells, dims, value=value)
 
 
 def cosine_to_anchor(vectors: DataFrame, key: str, anchor, vec: str = "vec") -> DataFrame:

@@ -92,7 +92,9 @@ def area_metrics(df: DataFrame, **names) -> DataFrame:
         (F.sum(wins) / F.nullif(F.max(F.col("pos_total") * F.col("neg_total")), F.lit(0))).alias(
             "auroc"
         ),
-        F.sum(F.col("pos") / F.col("pos_total") * at_or_above_pos / at_or_above).alias("auprc"),
+        F.sum(
+            F.try_divide(F.col("pos"), F.col("pos_total")) * at_or_above_pos / at_or_above
+        ).alias("auprc"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from longspan.functions import columns as C
 from longspan.operators.joins import lookup_join, salted_join
@@ -14,17 +14,23 @@ from longspan.operators.ranking import dense_ids
 NAMESPACES = ["RXNORM", "PheCode", "LOINC", "CCS"]
 PROCEDURE_PREFIX = ("CCS-PCS:", "CCS:")
 
+RUN = 10_000
+
+
+def main_counts(main_code: str, main_concept: str) -> list[Column]:
+    return [
+        F.count("*").alias("utl"),
+        F.count_if(F.col("feature_id") == main_code).alias("code"),
+        F.count_if(F.col("feature_id") == main_concept).alias("concept"),
+    ]
+
 
 def patient_counts(events: DataFrame, main_code: str, main_concept: str) -> DataFrame:
     """Events, main-code events, main-concept events and the latter two's sum per patient."""
     return (
         events.where(F.col("patient_num").isNotNull())
         .groupBy("patient_num")
-        .agg(
-            F.count("*").alias("utl"),
-            F.count_if(F.col("feature_id") == main_code).alias("code"),
-            F.count_if(F.col("feature_id") == main_concept).alias("concept"),
-        )
+        .agg(*main_counts(main_code, main_concept))
         .withColumn("code_concept", F.col("code") + F.col("concept"))
     )
 
@@ -41,15 +47,24 @@ def feature_set(lists: Sequence[DataFrame], drop: Sequence[str]) -> DataFrame:
     return out.distinct().where(C.not_in_set(F.col("feature_id"), drop))
 
 
-def wide_matrix(events: DataFrame, base: DataFrame, features: Sequence[str]) -> DataFrame:
-    """One row per patient of `base`, one 0-filled count column per listed feature."""
-    counts = (
-        events.where(F.col("feature_id").isin(list(features)))
+def wide_matrix(
+    events: DataFrame, main_code: str, main_concept: str, features: Sequence[str]
+) -> DataFrame:
+    """The counts of `patient_counts` and one count column per listed feature, 0 where absent.
+
+    The column list is known, so the pivot is one aggregate: one pass and one shuffle.
+    """
+    place = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature_id"))
+    return (
+        events.where(F.col("patient_num").isNotNull())
+        .select("patient_num", "feature_id", place.alias("_place"))
         .groupBy("patient_num")
-        .pivot("feature_id", list(features))
-        .agg(F.count(F.lit(1)))
+        .agg(
+            *main_counts(main_code, main_concept),
+            *[F.count_if(F.col("_place") == k).alias(f) for k, f in enumerate(features, 1)],
+        )
+        .withColumn("code_concept", F.col("code") + F.col("concept"))
     )
-    return base.join(counts, "patient_num", "left").na.fill(0, list(features))
 
 
 def harmonise(events: DataFrame) -> DataFrame:
@@ -92,12 +107,19 @@ def pseudo_events(monthly: DataFrame, starts: DataFrame, anchor: str) -> DataFra
         .agg(F.min("month").alias("_origin"))
         .join(starts.withColumnRenamed("start_date", "_start"), "patient_num")
     )
+    # A very large count is cut into runs, so that no row unfolds into more than RUN events and
+    # the runs of one month can go to different tasks.
+    last = F.floor((F.col("n") - 1) / F.lit(RUN))
+    runs = coded.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    within = F.sequence(
+        F.col("_run") * RUN, F.least((F.col("_run") + 1) * RUN, F.col("n")) - F.lit(1)
+    )
     days = (F.col("month") - F.col("_origin")) * 30 + F.rint(
         F.col("_k") / F.col("n") * 30
     ).cast("int")
     return (
-        salted_join(coded, origin, ["patient_num"])
-        .withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+        salted_join(runs, origin, ["patient_num"])
+        .withColumn("_k", F.explode(within))
         .withColumn("start_date", F.date_add("_start", days.cast("int")))
         .select(
             "patient_num", "start_date", "feature_id", F.year("start_date").alias("year"), "namespace"

@@ -9,15 +9,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 from longspan.sources.stages import stage
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], share: float) -> DataFrame:
-    """Keys that hold at least `share` of the rows.
+def shuffle_width(df: DataFrame) -> int:
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    At most 1/share keys can do so, which bounds the result whatever the size of the input. The
-    count is combined on the map side, so a hot key is a few rows by the time it is shuffled.
+
+def hot_keys(df: DataFrame, on: Sequence[str], width: int) -> DataFrame:
+    """Keys with at least 1/width of the rows, and the number of parts to split each into.
+
+    At most `width` keys can have that many, which bounds the result whatever the size of the
+    input. The count is combined on the map side, so a hot key is a few rows by the time it is
+    shuffled. A part is about a quarter of an even shuffle partition.
     """
     counts = df.groupBy(*on).agg(F.count("*").alias("_rows"))
-    least = df.agg(F.count("*") * F.lit(float(share)))
-    return counts.where(F.col("_rows") >= least.scalar()).select(*on)
+    total = df.agg(F.count("*")).scalar()
+    return counts.where(F.col("_rows") * F.lit(width) >= total).select(
+        *on, F.ceil(F.col("_rows") * F.lit(4 * width) / total).cast("int").alias("_parts")
+    )
 
 
 def salted_join(
@@ -25,28 +32,29 @@ def salted_join(
     small: DataFrame,
     on: Sequence[str],
     how: str = "inner",
-    share: float = 1e-3,
-    salts: int = 32,
+    width: int | None = None,
 ) -> DataFrame:
-    """Equi-join whose hot keys are spread over `salts` tasks.
+    """Equi-join whose hot keys are spread over tasks in proportion to their rows.
 
     `how` keeps or drops rows of `big` (inner, left, left_semi, left_anti). A hot key's rows are
     split by a hash of the whole row, which a re-run task repeats exactly; the other side's rows
     for that key are copied to every part. All other keys take an ordinary shuffle join.
     """
     on = list(on)
-    hot = F.broadcast(hot_keys(big, on, share).withColumn("_hot", F.lit(True)))
-    part = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)).cast("int")
+    hot = F.broadcast(hot_keys(big, on, width or shuffle_width(big)))
+    parts = F.coalesce(F.col("_parts"), F.lit(1))
+    row = F.xxhash64(*[F.col(c) for c in big.columns])
     left = (
         big.join(hot, on, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), part).otherwise(0))
-        .drop("_hot")
+        .withColumn("_part", F.pmod(row, parts.cast("bigint")).cast("int"))
+        .drop("_parts")
     )
-    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
+    right = (
+        small.join(hot, on, "left")
+        .withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .drop("_parts")
     )
-    right = small.join(hot, on, "left").withColumn("_salt", F.explode(parts)).drop("_hot")
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    return left.join(right, [*on, "_part"], how).drop("_part")
 
 
 def first_per_key(df: DataFrame, on: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
@@ -56,6 +64,8 @@ def first_per_key(df: DataFrame, on: Sequence[str], order: Sequence[str] = ()) -
     """
     on = list(on)
     rest = [c for c in df.columns if c not in on]
+    if not rest:
+        return df.distinct()
     ranked = [*order, *[c for c in rest if c not in order]]
     nulls_last = []
     for name in ranked:

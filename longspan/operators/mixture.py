@@ -71,7 +71,7 @@ def normal_step(n: float, s1: float, sx1: float, sx: float, sxx: float) -> Norma
     return NormalPair(share, low, high, variance)
 
 
-def fit_normal_bins(x: np.ndarray, w: np.ndarray, rounds: int = 500) -> NormalPair:
+def fit_normal_bins(x: np.ndarray, w: np.ndarray, rounds: int = 3000) -> NormalPair:
     """Fit to weighted points; the start splits the points at their mean."""
     mean = float(np.average(x, weights=w))
     above = x > mean
@@ -91,7 +91,7 @@ def fit_normal_bins(x: np.ndarray, w: np.ndarray, rounds: int = 500) -> NormalPa
             n, float((w * post).sum()), float((w * post * x).sum()),
             float((w * x).sum()), float((w * x * x).sum()),
         )
-        done = abs(new.high - pair.high) + abs(new.low - pair.low) < 1e-8
+        done = abs(new.high - pair.high) + abs(new.low - pair.low) < 1e-10
         pair = new
         if done:
             break
@@ -174,7 +174,7 @@ def poisson_step(n, s1, sy1, sy, se1, se) -> PoissonPair:
 
 
 def fit_poisson_cells(
-    y: np.ndarray, e: np.ndarray, w: np.ndarray, rounds: int = 500
+    y: np.ndarray, e: np.ndarray, w: np.ndarray, rounds: int = 3000
 ) -> PoissonPair:
     rate = float((w * y).sum() / max((w * e).sum(), 1e-12))
     pair = PoissonPair(0.5, max(rate / 2, 1e-9), max(rate * 2, 2e-9))

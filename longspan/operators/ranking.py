@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-HASH_BUCKET_BITS = 10
+HASH_BUCKET_BITS = 16
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -111,27 +111,31 @@ def hash_sample(df: DataFrame, key: str, seed: int, fraction: float, name: str)
     """Mark rint(fraction * rows) rows as picked, in column `name`.
 
     Rows are ranked by a hash of a unique key, so the pick depends on the key and seed only and
-    not on partitions or run order. The hash's leading bits form even buckets; only the bucket in
-    which the quota runs out needs an order.
+    not on partitions or run order. The hash's leading bits form even buckets; their counts tell
+    in which bucket the quota runs out, only that bucket is sorted, and the rows themselves are
+    marked where they are by comparing with the last picked hash.
     """
-    buckets = 2**HASH_BUCKET_BITS
-    hashed = df.withColumn("_hash", F.xxhash64(F.col(key), F.lit(seed))).withColumn(
-        "_bucket", F.shiftrightunsigned("_hash", 64 - HASH_BUCKET_BITS).cast("int")
-    )
+    code = F.xxhash64(F.col(key), F.lit(seed))
+    bucket = F.shiftrightunsigned(code, 64 - HASH_BUCKET_BITS).cast("int")
+    hashed = df.select(code.alias("_hash"), F.col(key).alias("_key"), bucket.alias("_bucket"))
     counts = hashed.groupBy("_bucket").agg(F.count("*").alias("_rows"))
     # At most 2**HASH_BUCKET_BITS rows, so one window over all of them is bounded.
-    offsets = counts.select(
-        "_bucket",
-        (F.sum("_rows").over(W.orderBy("_bucket")) - F.col("_rows")).alias("_before"),
-        F.rint(F.sum("_rows").over(W.partitionBy()) * F.lit(fraction)).alias("_quota"),
-    ).where(F.col("_bucket").between(0, buckets - 1))
-    order = W.partitionBy("_bucket").orderBy("_hash", key)
-    return (
-        hashed.withColumn("_place", F.row_number().over(order))
-        .join(F.broadcast(offsets), "_bucket")
-        .withColumn(name, F.col("_before") + F.col("_place") <= F.col("_quota"))
-        .drop("_hash", "_bucket", "_place", "_before", "_quota")
+    running = F.sum("_rows").over(W.orderBy("_bucket"))
+    quota = F.rint(F.sum("_rows").over(W.partitionBy()) * F.lit(float(fraction)))
+    last = (
+        counts.select("_bucket", "_rows", running.alias("_upto"), quota.alias("_quota"))
+        .where((F.col("_quota") <= F.col("_upto")) & (F.col("_quota") > F.col("_upto") - F.col("_rows")))
+        .select("_bucket", (F.col("_quota") - F.col("_upto") + F.col("_rows")).alias("_need"))
+    )
+    place = F.row_number().over(W.partitionBy("_bucket").orderBy("_hash", "_key"))
+    edge = (
+        hashed.join(F.broadcast(last), "_bucket")
+        .withColumn("_place", place)
+        .where(F.col("_place") == F.col("_need"))
+        .agg(F.max(F.struct("_bucket", "_hash", "_key")))
     )
+    mine = F.struct(bucket, code, F.col(key))
+    return df.withColumn(name, F.coalesce(mine <= edge.scalar(), F.lit(False)))
 
 
 def dense_ids(df: DataFrame, key: str, name: str = "id", prefix: int = 9) -> DataFrame:

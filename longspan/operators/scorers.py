@@ -21,7 +21,7 @@ from longspan.operators.mixture import (
     fit_normals,
     fit_poissons,
 )
-from longspan.operators.ranking import hash_sample
+from longspan.operators.ranking import hash_sample, quantiles
 
 SURROGATES = ["code", "concept", "code_concept"]
 ALPHAS = [k / 10 for k in range(11)]
@@ -80,7 +80,9 @@ def covariance(df: DataFrame, columns: Sequence[str], by: str) -> DataFrame:
         .agg(*[F.sum(c).alias(c) for c in ("sxy", "sx", "sy", "n")])
         .select(
             by, "a", "b",
-            ((F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("n") - 1)).alias("cov"),
+            F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"), F.col("n") - 1).alias(
+                "cov"
+            ),
             F.col("n").cast("bigint").alias("n"),
             (F.col("sx") / F.col("n")).alias("mean_a"),
         )
@@ -135,12 +137,17 @@ def long_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
     )
 
 
-def mixture_score(df: DataFrame, stage) -> tuple[Column, Column]:
-    """Case probability and cut from code, concept and joint counts.
+def share_cut(df: DataFrame, score: str, share: float) -> DataFrame:
+    """One row: the score above which the given share of rows lies."""
+    marks = quantiles(df.withColumn("_all", F.lit(1)), ["_all"], score, [1 - share])
+    return marks.select(F.col("quantiles")[0].alias("cut"))
+
+
+def mixture_score(df: DataFrame, stage) -> tuple[Column, float]:
+    """Case probability from code, concept and joint counts, and the estimated share of cases.
 
     Per count: a two-rate Poisson mixture with utilisation as exposure, and a two-normal mixture
     of the log count less its regression on log utilisation; the six posteriors are averaged.
-    The cut is the score above which the estimated share of cases lies.
     """
     counts = stage(long_counts(df, SURROGATES), "counts")
     rates = fit_poissons(counts)
@@ -169,7 +176,7 @@ def mixture_score(df: DataFrame, stage) -> tuple[Column, Column]:
     share = float(
         np.mean([rates[s].share for s in SURROGATES] + [normals[s].share for s in SURROGATES])
     )
-    return score, F.lit(share)
+    return score, share
 
 
 # --- normalised score: surrogates divided by utilisation, denoised by regression ----------------

@@ -72,17 +72,24 @@ def ols_trend(df: DataFrame, key: str = "drug", x: str = "year", y: str = "cos")
         F.regr_sxy(b, a).alias("_sxy"),
     )
     enough = F.col("n") > 2
-    left = F.greatest(F.lit(0.0), F.col("_syy") - F.col("_sxy") * F.col("_sxy") / F.col("_sxx"))
-    se = F.sqrt(left / (F.col("n") - 2) / F.col("_sxx"))
+    explained = F.try_divide(F.col("_sxy") * F.col("_sxy"), F.col("_sxx"))
+    left = F.greatest(F.lit(0.0), F.col("_syy") - explained)
+    se = F.sqrt(F.try_divide(F.try_divide(left, F.col("n") - 2), F.col("_sxx")))
     return (
         fit.withColumn("beta", F.when(enough, F.col("_slope")))
         .withColumn("se_beta", F.when(enough, se))
-        .withColumn("t", F.when(F.col("se_beta") > 0, F.col("beta") / F.col("se_beta")))
-        .withColumn("p", student.two_sided_p(F.col("t"), F.col("n") - 2))
+        .withColumn("t", ratio("beta", "se_beta"))
+        .withColumn("p", student.two_sided_p("t", "n - 2"))
         .select(key, "n", "beta", "se_beta", "t", "p")
     )
 
 
+def ratio(beta: str, se: str) -> Column:
+    """t statistic; a slope without error is infinitely far from zero."""
+    certain = F.when(F.col(beta) == 0, F.lit(0.0)).otherwise(F.lit(float("inf")))
+    return F.when(F.col(se) == 0, certain).otherwise(F.try_divide(F.col(beta), F.col(se)))
+
+
 def direction(p: Column, beta: Column, alpha: float = 0.05) -> Column:
     return (
         F.when((p < alpha) & (beta > 0), "Increase")
@@ -114,60 +121,60 @@ def series_span(df: DataFrame, key: str = "drug", x: str = "year", y: str = "cos
     )
 
 
+def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    dx = x - x.mean()
+    slope = float(dx @ y / (dx @ dx))
+    return float(y.mean() - slope * x.mean()), slope
+
+
+def best_break(x: np.ndarray, y: np.ndarray) -> float | None:
+    """Break of the least-squares continuous two-piece line.
+
+    The residual sum has one smooth piece between neighbouring points. Where the separate lines of
+    the points left and right of a gap cross inside the gap, the crossing is that piece's best
+    break; otherwise the best lies at an interior point. All of these are tried.
+    """
+    knots = np.unique(x)
+    candidates = list(knots[1:-1])
+    for low, high in zip(knots[1:-2], knots[2:-1]):
+        a, b = x <= low, x >= high
+        base_a, slope_a = _line(x[a], y[a])
+        base_b, slope_b = _line(x[b], y[b])
+        if slope_a != slope_b:
+            cross = (base_a - base_b) / (slope_b - slope_a)
+            if low < cross < high:
+                candidates.append(cross)
+    best = None
+    for psi in candidates:
+        cols = np.column_stack([np.ones(len(x)), x, np.maximum(x - psi, 0)])
+        fit = np.linalg.lstsq(cols, y, rcond=None)[0]
+        score = float(((y - cols @ fit) ** 2).sum())
+        if best is None or score < best[0] * (1 - 1e-12):
+            best = (score, float(psi))
+    return None if best is None else best[1]
+
+
 def break_fit(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray] | None:
     """Break, two slopes and their standard errors of a continuous two-piece line, or None.
 
-    From every interior start the break moves by the ratio of the gap and slope-change terms of
-    the linearised fit until the gap closes; the best residual sum of squares wins.
+    Errors come from the fit linearised at the break, with four terms; one that cannot be
+    computed is infinite.
     """
     n = len(x)
-    if n < 5:
-        return None
     centre = x.mean()
     u = x - centre
-
-    def design(psi: float) -> np.ndarray:
-        return np.column_stack([np.ones(n), u, np.maximum(u - psi, 0), -(u > psi).astype(float)])
-
-    def residual(psi: float) -> float:
-        cols = design(psi)[:, :3]
-        fit = np.linalg.lstsq(cols, y, rcond=None)[0]
-        return float(((y - cols @ fit) ** 2).sum())
-
-    ordered = np.unique(u)
-    low, high = ordered[1], ordered[-2]
-    if not low < high:
+    psi = best_break(u, y) if len(np.unique(u)) >= 4 else None
+    if psi is None:
         return None
-    grid = np.linspace(low, high, 8 * (len(ordered) - 3) + 1)
-    best = None
-    for start in grid[1:-1]:
-        psi = float(start)
-        for _ in range(30):
-            coef, _, rank, _ = np.linalg.lstsq(design(psi), y, rcond=None)
-            if rank < 4 or abs(coef[2]) < 1e-14:
-                break
-            step = coef[3] / coef[2]
-            moved = min(max(psi + step, low), high)
-            if residual(moved) > residual(psi):
-                moved = psi + (moved - psi) / 2
-            if abs(moved - psi) < 1e-9:
-                psi = moved
-                break
-            psi = moved
-        score = residual(psi)
-        if best is None or score < best[0] - 1e-15:
-            best = (score, psi)
-    _, psi = best
-    cols = design(psi)
+    cols = np.column_stack([np.ones(n), u, np.maximum(u - psi, 0), -(u > psi).astype(float)])
     coef, _, rank, _ = np.linalg.lstsq(cols[:, :3], y, rcond=None)
     if rank < 3:
         return None
     slopes = np.array([coef[1], coef[1] + coef[2]])
-    spare = n - 4
     errors = np.full(2, np.inf)
-    if spare > 0 and np.linalg.matrix_rank(cols) == 4:
+    if n > 4 and np.linalg.matrix_rank(cols) == 4:
         full = np.linalg.lstsq(cols, y, rcond=None)[0]
-        sigma = float(((y - cols @ full) ** 2).sum()) / spare
+        sigma = float(((y - cols @ full) ** 2).sum()) / (n - 4)
         cov = sigma * np.linalg.inv(cols.T @ cols)
         spread = np.array([cov[1, 1], cov[1, 1] + cov[2, 2] + 2 * cov[1, 2]])
         errors = np.where(spread >= 0, np.sqrt(np.maximum(spread, 0)), np.inf)
@@ -208,7 +215,6 @@ def classified_trends(
     x: str = "year",
     y: str = "cos",
     alpha: float = 0.05,
-    max_points: int = 200,
 ) -> DataFrame:
     """Five-way trend class with global and per-segment slopes, p values and half-widths.
 
@@ -225,21 +231,19 @@ def classified_trends(
         {
             "beta": F.when(enough, F.col("beta")),
             "p": F.when(enough, F.col("p")),
-            "w": F.when(
-                enough,
-                F.col("se_beta") * student.critical_column(F.col("n") - 2, alpha, max_points),
-            ),
+            "w": F.when(enough, F.col("se_beta") * student.critical_value(alpha, "n - 2")),
+            "t1": ratio("beta1", "se1"),
+            "t2": ratio("beta2", "se2"),
+            "critical": F.when(fitted, student.critical_value(alpha, "n - 4")),
+        }
+    ).withColumns(
+        {
+            "p1": student.two_sided_p("t1", "n - 4"),
+            "p2": student.two_sided_p("t2", "n - 4"),
+            "w1": F.col("se1") * F.col("critical"),
+            "w2": F.col("se2") * F.col("critical"),
         }
     )
-    for k in ("1", "2"):
-        t = F.col(f"beta{k}") / F.col(f"se{k}")
-        joined = joined.withColumns(
-            {
-                f"p{k}": F.when(fitted, student.two_sided_p(t, F.col("n") - 4)),
-                f"w{k}": F.col(f"se{k}")
-                * student.critical_column(F.col("n") - 4, alpha, max_points),
-            }
-        )
     overall = (
         F.when(~enough | F.col("p").isNull() | (F.col("p") > alpha), "None")
         .when(F.col("beta") > 0, "Increase")

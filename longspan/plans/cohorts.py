@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from longspan.functions import columns as C
 from longspan.operators import cohort, summary
+from longspan.operators.joins import lookup_join
 from longspan.plans.base import Inputs, query, rounded
 from longspan.sources import files
 from longspan.sources.stages import scratch_path
@@ -220,7 +221,7 @@ def first_event_per_code(spark, sf_dir):
     listed = data.drug.select("feature_id").union(
         spark.range(1).select(F.lit(ANCHOR).alias("feature_id"))
     )
-    return firsts.join(listed.distinct(), "feature_id", "left_semi").select(
+    return lookup_join(firsts, listed, ["feature_id"], "left_semi").select(
         "patient_num", "feature_id", "first_date"
     )
 

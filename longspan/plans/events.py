@@ -28,7 +28,7 @@ def counts(data: Inputs):
 
 
 def wide(data: Inputs):
-    return features.wide_matrix(data.ehr, counts(data), WIDE_FEATURES)
+    return features.wide_matrix(data.ehr, ANCHOR, CONCEPT, WIDE_FEATURES)
 
 
 @query("patient_counts", COUNTS_SQL, ("ehr",))

@@ -36,17 +36,22 @@ SYM_SQL = (
 
 def pair_counts(data: Inputs):
     vocab = features.vocabulary(data.ehr)
-    return cooccur.cooccurrence(features.with_ids(data.ehr, vocab), 30, "id"), vocab
+    return cooccur.cooccurrence(features.with_ids(data.ehr, vocab), 30, "id")
+
+
+def symmetric_counts(data: Inputs, passes: int):
+    """The symmetric table, written once: row sums, totals and cells all read it."""
+    return stage(cooccur.symmetrise(pair_counts(data), passes), "cooccurrence")
 
 
 @query("cooccurrence", f"with {PAIRS_SQL.strip()} select * from pairs", ("ehr",))
 def cooccurrence(spark, sf_dir):
-    return pair_counts(Inputs(spark, sf_dir))[0]
+    return pair_counts(Inputs(spark, sf_dir))
 
 
 @query("symmetrise", f"with {SYM_SQL.strip()} select * from sym", ("ehr",))
 def symmetrise(spark, sf_dir):
-    return cooccur.symmetrise(pair_counts(Inputs(spark, sf_dir))[0], passes=2)
+    return cooccur.symmetrise(pair_counts(Inputs(spark, sf_dir)), passes=2)
 
 
 @query(
@@ -64,8 +69,7 @@ def symmetrise(spark, sf_dir):
     ("ehr",),
 )
 def sppmi(spark, sf_dir):
-    pairs, _ = pair_counts(Inputs(spark, sf_dir))
-    return rounded(cooccur.positive_pmi(cooccur.symmetrise(pairs, passes=2)), "pmi")
+    return rounded(cooccur.positive_pmi(symmetric_counts(Inputs(spark, sf_dir), 2)), "pmi")
 
 
 @query(
@@ -89,13 +93,15 @@ def sppmi(spark, sf_dir):
 )
 def sppmi_recomputed(spark, sf_dir):
     """One symmetrising pass, and row sums taken again after the cut."""
-    pairs, _ = pair_counts(Inputs(spark, sf_dir))
-    return rounded(cooccur.positive_pmi(cooccur.symmetrise(pairs), 300, True), "pmi")
+    counts = symmetric_counts(Inputs(spark, sf_dir), 1)
+    return rounded(cooccur.positive_pmi(counts, 300, True), "pmi")
 
 
 def yearly_vectors(events, vocab):
+    vocab = stage(vocab, "vocabulary")
     pairs = cooccur.cooccurrence(features.with_ids(events, vocab), 30, "id")
-    matrix = cooccur.positive_pmi(cooccur.symmetrise(pairs, passes=2))
+    counts = stage(cooccur.symmetrise(pairs, passes=2), "cooccurrence")
+    matrix = cooccur.positive_pmi(counts)
     names = vocab.select(F.col("id").alias("i"), "feature_id")
     return embed.embed(matrix).join(names, "i").select("period", "feature_id", "vec")
 
@@ -297,7 +303,7 @@ def zscore_series(spark, sf_dir):
 
 @query("segmented_trend")
 def segmented_trend(spark, sf_dir):
-    return trend.classified_trends(stand_in_series(Inputs(spark, sf_dir)))
+    return trend.classified_trends(stage(stand_in_series(Inputs(spark, sf_dir)), "series"))
 
 
 @query("smooth_series")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from longspan.operators import cohort, evaluate, report, scorers
-from longspan.operators.ranking import hash_sample
 from longspan.plans.base import Inputs, query, rounded
 from longspan.plans.events import COUNTS_SQL, WIDE_FEATURES, counts, wide
 from longspan.sources.stages import stage
@@ -50,8 +49,8 @@ def mixture_scores(spark, sf_dir):
     rows = stage(counts(Inputs(spark, sf_dir)).where(F.col("code") > 0), "counts")
     score, share = scorers.mixture_score(rows, stage)
     scored = rows.select("patient_num", *COUNT_COLUMNS, score.alias("score"))
-    picked = hash_sample(scored, "patient_num", 1, 1.0, "_all").drop("_all")
-    return picked.withColumn("estimated_share", share)
+    cut = scorers.share_cut(scored, "score", share)
+    return scored.withColumn("above_cut", F.col("score") > cut.scalar())
 
 
 @query("normalised_scores")
