@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from longspan.functions import columns as C
+from longspan.sources.stages import stage
 
 
 def daily_counts(events: DataFrame, code: str = "feature_id") -> DataFrame:
@@ -28,52 +29,42 @@ def cooccurrence(
 
     Gives (period, i, j, n) with i the later day's code. Days fall in buckets as wide as the
     window, so an earlier day within the window lies in the same bucket or the one before and the
-    range condition becomes an equi-join on (period, patient, bucket). After `daily_counts` a
-    bucket holds at most window x vocabulary rows per side however many records a patient has; a
-    bucket whose later side still exceeds `split_rows` is divided over several tasks. The joined
-    pairs go straight into the partial sum and are never shuffled.
+    range condition becomes an equi-join on (period, patient, bucket). After `daily_counts`, which
+    is written once because both sides read it, a bucket holds at most window x vocabulary rows
+    per side however many records a patient has; the later side of a bucket with more than
+    `split_rows` rows is divided over several tasks. The joined pairs go straight into the partial
+    sum and are never shuffled.
     """
-    daily = daily_counts(events, code).withColumn(
-        "bucket", F.floor(F.col("day") / F.lit(window)).cast("int")
-    )
+    bucket = F.floor(F.col("day") / F.lit(window)).cast("int")
+    daily = stage(daily_counts(events, code).withColumn("bucket", bucket), "daily")
     key = ["period", "patient_num", "bucket"]
-    crowded = (
-        daily.groupBy(*key)
-        .agg(F.count("*").alias("_rows"))
-        .where(F.col("_rows") > split_rows)
-        .select(*key, F.ceil(F.col("_rows") / F.lit(split_rows)).cast("int").alias("_parts"))
+    later = daily.select(
+        *key, F.col("day").alias("day_later"), F.col("code").alias("i"), F.col("m").alias("m_later")
     )
-    later = daily.join(crowded, key, "left").select(
-        *key,
-        F.when(
-            F.col("_parts").isNotNull(),
-            F.pmod(F.xxhash64("day", "code"), F.col("_parts").cast("bigint")).cast("int"),
-        )
-        .otherwise(0)
-        .alias("_part"),
-        F.col("day").alias("day_later"),
-        F.col("code").alias("i"),
-        F.col("m").alias("m_later"),
+    earlier = daily.select(
+        "period",
+        "patient_num",
+        F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"),
+        F.col("day").alias("day_earlier"),
+        F.col("code").alias("j"),
+        F.col("m").alias("m_earlier"),
     )
-    earlier = (
-        daily.select(
-            "period",
-            "patient_num",
-            F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"),
-            F.col("day").alias("day_earlier"),
-            F.col("code").alias("j"),
-            F.col("m").alias("m_earlier"),
-        )
-        .join(crowded, key, "left")
-        .withColumn(
-            "_part",
-            F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)),
-        )
-        .drop("_parts")
+    crowded = stage(
+        daily.groupBy(*key)
+        .agg(F.ceil(F.count("*") / F.lit(split_rows)).cast("int").alias("_parts"))
+        .where(F.col("_parts") > 1),
+        "crowded",
     )
+    if not crowded.isEmpty():
+        parts = F.coalesce(F.col("_parts"), F.lit(1))
+        place = F.pmod(F.xxhash64("day_later", "i"), parts.cast("bigint")).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), parts - 1))
+        later = later.join(crowded, key, "left").withColumn("_part", place).drop("_parts")
+        earlier = earlier.join(crowded, key, "left").withColumn("_part", copies).drop("_parts")
+        key = [*key, "_part"]
     gap = F.col("day_later") - F.col("day_earlier")
     return (
-        later.join(earlier, [*key, "_part"])
+        later.join(earlier, key)
         .where(gap.between(1, window))
         .groupBy("period", "i", "j")
         .agg(F.sum(F.col("m_later") * F.col("m_earlier")).alias("n"))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from longspan.operators.joins import null_safe_join
 from longspan.operators.ranking import quantiles, running_sums
 
 CUTOFFS = [0.97, 0.95, 0.90, 0.80]
@@ -168,15 +169,14 @@ def phenotype_list(
     `patients(patient_num, is_labeled, is_case, is_registry)`; `scored` has the first three and
     `score`. The label is nullable, so the join matches null to null.
     """
-    from longspan.operators.joins import null_safe_join
-
     out = scored
     for cutoff in cutoffs:
         # One row.
         cut = cuts.where((F.col("method") == method) & (F.col("cutoff") == cutoff)).select(
             "threshold"
         )
-        out = out.withColumn(f"pred_{round(cutoff * 100)}", F.col("score") > cut.scalar())
+        above = (F.col("score") > cut.scalar()).cast("int")
+        out = out.withColumn(f"pred_{round(cutoff * 100)}", above)
     return null_safe_join(
         patients, out.drop("score"), ["patient_num", "is_labeled", "is_case"], "left"
     )

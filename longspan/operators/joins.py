@@ -21,7 +21,7 @@ def hot_keys(df: DataFrame, on: Sequence[str], width: int) -> DataFrame:
     shuffled. A part is about a quarter of an even shuffle partition.
     """
     counts = df.groupBy(*on).agg(F.count("*").alias("_rows"))
-    total = df.agg(F.count("*")).scalar()
+    total = counts.agg(F.sum("_rows")).scalar()
     return counts.where(F.col("_rows") * F.lit(width) >= total).select(
         *on, F.ceil(F.col("_rows") * F.lit(4 * width) / total).cast("int").alias("_parts")
     )
@@ -36,12 +36,16 @@ def salted_join(
 ) -> DataFrame:
     """Equi-join whose hot keys are spread over tasks in proportion to their rows.
 
-    `how` keeps or drops rows of `big` (inner, left, left_semi, left_anti). A hot key's rows are
+    `how` keeps or drops rows of `big` (inner, left, left_semi, left_anti). Key shares are measured
+    first, over the key columns only; without a hot key this is a plain join. A hot key's rows are
     split by a hash of the whole row, which a re-run task repeats exactly; the other side's rows
     for that key are copied to every part. All other keys take an ordinary shuffle join.
     """
     on = list(on)
-    hot = F.broadcast(hot_keys(big, on, width or shuffle_width(big)))
+    hot = stage(hot_keys(big, on, width or shuffle_width(big)), "hot")
+    if hot.isEmpty():
+        return big.join(small, on, how)
+    hot = F.broadcast(hot)
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     row = F.xxhash64(*[F.col(c) for c in big.columns])
     left = (

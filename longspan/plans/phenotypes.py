@@ -268,10 +268,10 @@ LABELS_SQL = """
     f"""
     with {ROC_SQL.strip()}, {AREA_SQL.strip()}, {CUT_SQL.strip()}, {LABELS_SQL.strip()}
     select l.patient_num, l.is_labeled, l.is_case, l.is_registry,
-      s.score_b > (select threshold from cuts where method = 'score_b' and cutoff = 0.90::double)
-        as pred_90,
-      s.score_b > (select threshold from cuts where method = 'score_b' and cutoff = 0.95::double)
-        as pred_95
+      cast(s.score_b > (select threshold from cuts where method = 'score_b'
+        and cutoff = 0.90::double) as int) as pred_90,
+      cast(s.score_b > (select threshold from cuts where method = 'score_b'
+        and cutoff = 0.95::double) as int) as pred_95
     from lab l left join scored s on l.patient_num = s.patient_num
     """,
     ("scored", "ehr", "ann", "reg"),
