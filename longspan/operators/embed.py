@@ -92,9 +92,15 @@ def _blocks(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _extend(
-    rows: DataFrame, shadow: dict[int, np.ndarray], turn: dict[int, np.ndarray]
+    rows: DataFrame,
+    shadow: dict[int, np.ndarray],
+    turn: dict[int, np.ndarray],
+    keep: dict[int, np.ndarray],
 ) -> DataFrame:
-    """Take the basis out of w, make w orthonormal and append it to the basis."""
+    """Take the basis out of w, make w orthonormal and append it to the basis.
+
+    Where `keep` names a period, its old basis is first reduced to those combinations.
+    """
 
     def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -103,6 +109,8 @@ def _extend(
                 if int(period) in shadow:
                     block = block - basis @ shadow[int(period)]
                 block = block @ turn[int(period)]
+                if int(period) in keep:
+                    basis = basis @ keep[int(period)]
                 yield pd.DataFrame(
                     {
                         "period": period,
@@ -153,15 +161,19 @@ def embed_large(
     value: str = "pmi",
     seed: int = 7,
     tolerance: float = 1e-6,
+    max_width: int | None = None,
 ) -> DataFrame:
     """Largest positive eigenpairs by block Lanczos, for vocabularies too big for one task.
 
     Row vectors stay in Spark; only matrices as wide as the basis reach the driver. Each step
     multiplies the newest block by the matrix, takes the basis out of the product twice, and
-    writes the grown basis as a table so that lineage stays short. It ends when what the last
-    product adds outside the basis moves no wanted eigenpair by more than `tolerance` of the
-    largest eigenvalue, at the latest when the basis is as wide as the vocabulary.
+    writes the grown basis as a table so that lineage stays short. A basis that would pass
+    `max_width` columns is reduced to its best dims + block directions and grows again. It ends
+    when what the last product adds outside the basis moves no wanted eigenpair by more than
+    `tolerance` of the largest eigenvalue, or when the basis is as wide as the vocabulary.
     """
+    max_width = max_width or max(3 * dims, dims + 4 * block)
+    kept = dims + block
     matrix = stage(matrix.select("period", "i", "j", value), "matrix")
     codes = matrix.select("period", "i").distinct()
     sizes = codes.groupBy("period").count().agg(F.max("count")).first()[0] or 0
@@ -179,7 +191,14 @@ def embed_large(
     width = 0
     while True:
         turn = {p: _orthonormal(g, scale[p]) for p, g in gram.items()}
-        rows = stage(_extend(rows, shadow, turn), "basis")
+        keep: dict[int, np.ndarray] = {}
+        if width + block > max_width and width > kept:
+            for p, t in small.items():
+                values, vectors = np.linalg.eigh(t)
+                best = np.argsort(values)[::-1][:kept]
+                keep[p], small[p] = vectors[:, best], np.diag(values[best])
+            width = kept
+        rows = stage(_extend(rows, shadow, turn, keep), "basis")
         width += block
         moved = rows.drop("w").join(_times(matrix, rows, block, value), ["period", "i"])
         moved = stage(moved, "product")
@@ -207,7 +226,7 @@ def embed_large(
 
 
 def embed(
-    matrix: DataFrame, dims: int = 100, small_limit: int = 4000, value: str = "pmi"
+    matrix: DataFrame, dims: int = 100, small_limit: int = 2000, value: str = "pmi"
 ) -> DataFrame:
     """Embedding rows per period; the vocabulary size decides the way it is solved."""
     cells = stage(matrix, "pmi")

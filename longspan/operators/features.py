@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from longspan.functions import columns as C
 from longspan.operators.joins import lookup_join, salted_join
@@ -181,26 +181,29 @@ def yearly_prevalence(
 ) -> DataFrame:
     """Patients with a code over patients active, and event count, per year and code.
 
-    Events shrink once to (patient, year, code, count); all three measures come from that table.
+    Each event counts once for its code and once for the year's total; both shrink to one row per
+    (year, patient, code or total) on the map side, so one pass and one large shuffle give the
+    numerators, the denominators and the event counts.
     """
-    years = events.select("patient_num", F.year("start_date").alias("year"), "feature_id")
+    code = F.struct(F.lit(False).alias("_all"), F.col("feature_id"))
+    total = F.struct(F.lit(True).alias("_all"), F.lit(None).cast("string").alias("feature_id"))
+    years = events.withColumn("year", F.year("start_date"))
     if first_year is not None:
         years = years.where(F.col("year") >= first_year)
     if last_year is not None:
         years = years.where(F.col("year") <= last_year)
-    cells = years.groupBy("year", "patient_num", "feature_id").agg(F.count("*").alias("_events"))
-    features = cells.groupBy("year", "feature_id").agg(
-        F.count("*").alias("n"), F.sum("_events").alias("totalcount")
+    cells = (
+        years.select("year", "patient_num", F.inline(F.array(code, total)))
+        .groupBy("year", "patient_num", "_all", "feature_id")
+        .agg(F.count("*").alias("_events"))
     )
-    active = (
-        cells.select("year", "patient_num")
-        .distinct()
-        .groupBy("year")
-        .agg(F.count("*").alias("npe"))
-    )
-    # One row per calendar year.
+    # From here one row per year and code.
+    active = F.max(F.when(F.col("_all"), F.col("n"))).over(W.partitionBy("year"))
     return (
-        features.join(F.broadcast(active), "year")
+        cells.groupBy("year", "_all", "feature_id")
+        .agg(F.count("*").alias("n"), F.sum("_events").alias("totalcount"))
+        .withColumn("npe", active)
+        .where(~F.col("_all"))
         .withColumn("freq", F.col("n") / F.col("npe"))
         .select("year", "feature_id", "n", "npe", "freq", "totalcount")
     )
@@ -209,18 +212,17 @@ def yearly_prevalence(
 def in_range_counts(events: DataFrame, first: str, last: str) -> DataFrame:
     """Yearly code counts of patients none of whose records lie outside the dates.
 
-    Records shrink to (patient, year, code) before patients are excluded, so the exclusion join
-    never sees more than one row per cell.
+    Records shrink to (patient, year, code) before patients are looked at as a whole, so a patient
+    is at most years x codes rows there, and one pass over the events serves both steps.
     """
-    outside = (F.col("start_date") < F.lit(first).cast("date")) | (
-        F.col("start_date") > F.lit(last).cast("date")
+    day = F.lit(first).cast("date"), F.lit(last).cast("date")
+    outside = (F.col("start_date") < day[0]) | (F.col("start_date") > day[1])
+    cells = events.groupBy("patient_num", F.year("start_date").alias("year"), "feature_id").agg(
+        F.count("*").alias("_n"), F.bool_or(F.coalesce(outside, F.lit(False))).alias("_out")
     )
-    cells = events.groupBy(
-        "patient_num", F.year("start_date").alias("year"), "feature_id"
-    ).agg(F.count("*").alias("_n"), F.bool_or(F.coalesce(outside, F.lit(False))).alias("_out"))
-    excluded = cells.where("_out").select("patient_num").distinct()
     return (
-        cells.join(excluded, "patient_num", "left_anti")
+        cells.withColumn("_any", F.bool_or("_out").over(W.partitionBy("patient_num")))
+        .where(~F.col("_any"))
         .groupBy("feature_id", "year")
         .agg(F.sum("_n").alias("n"))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from longspan.operators.cooccur import daily_counts
 from longspan.operators.embed import leading_vectors
@@ -63,12 +63,13 @@ def patient_cosines(
     patient's (day, code, count) rows of one year, at most 366 rows per code, whatever the number
     of records. A patient without a usable vector gives one row with null code and cosine.
     """
-    daily = daily_counts(events)
-    busy = (
-        daily.groupBy("period", "patient_num")
-        .agg(F.sum("m").alias("_records"))
+    # The record count is a window over the grouping that the solve needs anyway.
+    whole = W.partitionBy("period", "patient_num")
+    rows = (
+        daily_counts(events)
+        .withColumn("_records", F.sum("m").over(whole))
         .where(F.col("_records") > least_records)
-        .select("period", "patient_num")
+        .drop("_records")
     )
 
     def solve(key, table):
@@ -91,7 +92,6 @@ def patient_cosines(
             }
         )
 
-    rows = daily.join(busy, ["period", "patient_num"], "left_semi")
     return rows.groupBy("period", "patient_num").applyInArrow(solve, COSINE_SCHEMA)
 
 

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from longspan.functions import columns as C
 from longspan.operators import cohort, summary
-from longspan.operators.joins import lookup_join
+from longspan.operators.joins import first_per_key, lookup_join
 from longspan.plans.base import Inputs, query, rounded
 from longspan.sources import files
-from longspan.sources.stages import scratch_path
+from longspan.sources.stages import load_table, save_table, scratch_path
 from longspan.sources.views import ANCHOR
 
 YEARS = range(1990, 2004)
@@ -70,6 +70,72 @@ def scan_name_pattern(spark, sf_dir):
     )
 
 
+@query(
+    "dimension_scan",
+    """
+    select e.feature_id, d.generic_name, d.treatment_class
+    from (select distinct feature_id from ehr where feature_id like 'RXNORM:%') e
+      left join drug d on e.feature_id = d.feature_id
+    """,
+    ("ehr", "drug"),
+)
+def dimension_scan(spark, sf_dir):
+    """A code sheet written and read as text under its schema, then looked up by code."""
+    data = Inputs(spark, sf_dir)
+    path = scratch_path(spark, "codes")
+    files.write_csv(data.drug, path)
+    codes = files.read_csv(spark, path, files.CODE_SCHEMA)
+    wanted = data.ehr.where(F.col("feature_id").startswith("RXNORM:")).select("feature_id")
+    return lookup_join(wanted.distinct(), codes, ["feature_id"])
+
+
+@query(
+    "period_partitions",
+    """
+    select year(start_date)::int as year, feature_id, count(*) as n from ehr
+    where year(start_date) between 1996 and 1998 group by 1, 2
+    """,
+    ("ehr",),
+)
+def period_partitions(spark, sf_dir):
+    """Yearly counts kept as one table partitioned by year, of which some years are read."""
+    path = scratch_path(spark, "yearly")
+    counts = (
+        Inputs(spark, sf_dir)
+        .ehr.groupBy(F.year("start_date").alias("year"), "feature_id")
+        .agg(F.count("*").alias("n"))
+    )
+    save_table(counts, path, ["year"])
+    return load_table(spark, path).where(F.col("year").between(1996, 1998))
+
+
+@query(
+    "complete_cases",
+    """
+    select patient_num, sex, race_title, ethnicity_code, firstdiag_year from pat
+    where sex is not null and race_title is not null and ethnicity_code is not null
+      and firstdiag_year is not null
+    """,
+    ("pat",),
+)
+def complete_cases(spark, sf_dir):
+    columns = ["patient_num", "sex", "race_title", "ethnicity_code", "firstdiag_year"]
+    return Inputs(spark, sf_dir).pat.select(*columns).dropna("any")
+
+
+@query(
+    "first_row_per_patient",
+    """
+    select patient_num, start_date, feature_id from (
+      select *, row_number() over (partition by patient_num order by start_date, feature_id) as rn
+      from ehr) where rn = 1
+    """,
+    ("ehr",),
+)
+def first_row_per_patient(spark, sf_dir):
+    return first_per_key(Inputs(spark, sf_dir).ehr, ["patient_num"], ["start_date"])
+
+
 @query(
     "cohort_build",
     """

@@ -112,6 +112,13 @@ def embedding_svd(spark, sf_dir):
     return yearly_vectors(data.ehr, features.vocabulary(data.ehr))
 
 
+@query("embedding_lanczos")
+def embedding_lanczos(spark, sf_dir):
+    """The way taken for large vocabularies, whatever the size."""
+    counts = symmetric_counts(Inputs(spark, sf_dir), 2)
+    return embed.embed_large(cooccur.positive_pmi(counts), 20, block=32)
+
+
 @query(
     "cosine_anchor_given",
     """

@@ -138,6 +138,14 @@ def test_large_embedding_agrees_with_small(matrices):
         assert np.allclose(gram_of(small, period), gram_of(large, period), atol=1e-5)
 
 
+def test_large_embedding_with_reduced_basis(matrices):
+    dense, table = matrices
+    small = embed.embed_small(table, 3).toPandas()
+    large = embed.embed_large(table, 3, block=4, max_width=16, tolerance=1e-5).toPandas()
+    for period in dense:
+        assert np.allclose(gram_of(small, period), gram_of(large, period), atol=1e-3)
+
+
 def test_size_decides_the_way(matrices, monkeypatch):
     _, table = matrices
     called = []
