@@ -22,6 +22,27 @@ def daily_counts(events: DataFrame, code: str = "feature_id") -> DataFrame:
     )
 
 
+def crowded_buckets(
+    daily: DataFrame, key: list[str], window: int, split_rows: int
+) -> DataFrame | None:
+    """Buckets with more than `split_rows` rows and their number of parts; None if there are none.
+
+    With ids 1..d for codes a bucket cannot pass window x d rows, so a small vocabulary needs no
+    count at all.
+    """
+    if dict(daily.dtypes)["code"] == "int":
+        largest = daily.agg(F.max("code")).first()[0] or 0
+        if window * largest <= split_rows:
+            return None
+    crowded = stage(
+        daily.groupBy(*key)
+        .agg(F.ceil(F.count("*") / F.lit(split_rows)).cast("int").alias("_parts"))
+        .where(F.col("_parts") > 1),
+        "crowded",
+    )
+    return None if crowded.isEmpty() else crowded
+
+
 def cooccurrence(
     events: DataFrame, window: int = 30, code: str = "feature_id", split_rows: int = 20_000
 ) -> DataFrame:
@@ -49,13 +70,8 @@ def cooccurrence(
         F.col("code").alias("j"),
         F.col("m").alias("m_earlier"),
     )
-    crowded = stage(
-        daily.groupBy(*key)
-        .agg(F.ceil(F.count("*") / F.lit(split_rows)).cast("int").alias("_parts"))
-        .where(F.col("_parts") > 1),
-        "crowded",
-    )
-    if not crowded.isEmpty():
+    crowded = crowded_buckets(daily, key, window, split_rows)
+    if crowded is not None:
         parts = F.coalesce(F.col("_parts"), F.lit(1))
         place = F.pmod(F.xxhash64("day_later", "i"), parts.cast("bigint")).cast("int")
         copies = F.explode(F.sequence(F.lit(0), parts - 1))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from longspan.operators.joins import null_safe_join
 from longspan.operators.ranking import quantiles, running_sums
+from longspan.sources.stages import stage
 
 CUTOFFS = [0.97, 0.95, 0.90, 0.80]
 
@@ -55,37 +56,46 @@ def roc_curve(df: DataFrame, **names) -> DataFrame:
     Thresholds are minus infinity, the midpoints between distinct scores, and plus infinity; a
     score at or above the threshold counts as positive.
     """
-    ranked = ranked_groups(df, **names)
+    return roc_rows(ranked_groups(df, **names))
+
+
+def roc_rows(ranked: DataFrame) -> DataFrame:
     infinity = F.lit(float("inf"))
-    after = ranked.select(
-        "method",
-        F.coalesce((F.col("score") + F.col("next_score")) / 2, infinity).alias("threshold"),
+    midpoint = (F.col("score") + F.col("next_score")) / 2
+    above = F.struct(
+        F.coalesce(midpoint, infinity).alias("threshold"),
         (F.col("pos_total") - F.col("pos_before") - F.col("pos")).alias("tp"),
         (F.col("neg_total") - F.col("neg_before") - F.col("neg")).alias("fp"),
-        F.col("pos_total").alias("n_pos"),
-        F.col("neg_total").alias("n_neg"),
     )
-    start = (
-        score_groups(df, **names)
-        .groupBy("method")
-        .agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-        .select(
-            "method", (-infinity).alias("threshold"),
-            F.col("n_pos").alias("tp"), F.col("n_neg").alias("fp"), "n_pos", "n_neg",
-        )
+    start = F.struct(
+        (-infinity).alias("threshold"),
+        F.col("pos_total").alias("tp"),
+        F.col("neg_total").alias("fp"),
     )
-    return after.unionByName(start).select(
+    # The lowest score also stands for the threshold below all scores.
+    lowest = (F.col("pos_before") == 0) & (F.col("neg_before") == 0)
+    points = F.when(lowest, F.array(start, above)).otherwise(F.array(above))
+    none = F.lit(0)
+    return ranked.select(
+        "method",
+        F.inline(points),
+        F.col("pos_total").alias("n_pos"),
+        F.col("neg_total").alias("n_neg"),
+    ).select(
         "method",
         "threshold",
-        (F.col("tp") / F.nullif(F.col("n_pos"), F.lit(0))).alias("sensitivity"),
-        ((F.col("n_neg") - F.col("fp")) / F.nullif(F.col("n_neg"), F.lit(0))).alias("specificity"),
+        (F.col("tp") / F.nullif(F.col("n_pos"), none)).alias("sensitivity"),
+        ((F.col("n_neg") - F.col("fp")) / F.nullif(F.col("n_neg"), none)).alias("specificity"),
         "tp", "fp", "n_pos", "n_neg",
     )
 
 
 def area_metrics(df: DataFrame, **names) -> DataFrame:
     """(method, auroc, auprc): rank-sum area with ties at half, and average precision."""
-    ranked = ranked_groups(df, **names)
+    return area_rows(ranked_groups(df, **names))
+
+
+def area_rows(ranked: DataFrame) -> DataFrame:
     at_or_above_pos = F.col("pos_total") - F.col("pos_before")
     at_or_above = at_or_above_pos + F.col("neg_total") - F.col("neg_before")
     wins = F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)
@@ -101,7 +111,11 @@ def area_metrics(df: DataFrame, **names) -> DataFrame:
 
 def cut_points(df: DataFrame, cutoffs: Sequence[float] = CUTOFFS, **names) -> DataFrame:
     """Per method and target specificity the ROC row nearest to it; the lowest threshold on ties."""
-    rows = roc_curve(df, **names).withColumn(
+    return cut_rows(ranked_groups(df, **names), cutoffs)
+
+
+def cut_rows(ranked: DataFrame, cutoffs: Sequence[float]) -> DataFrame:
+    rows = roc_rows(ranked).withColumn(
         "cutoff", F.explode(F.array(*[F.lit(float(c)) for c in cutoffs]))
     )
     best = rows.groupBy("method", "cutoff").agg(
@@ -118,18 +132,22 @@ def cut_points(df: DataFrame, cutoffs: Sequence[float] = CUTOFFS, **names) -> Da
 def metrics_at_specificity(
     df: DataFrame, cutoffs: Sequence[float] = CUTOFFS, **names
 ) -> DataFrame:
-    """(method, cutoff, threshold, specificity, sensitivity, ppv, npv, auroc, auprc)."""
+    """(method, cutoff, threshold, specificity, sensitivity, ppv, npv, auroc, auprc).
+
+    The ranked distinct scores are written once; areas and cuts both read them.
+    """
+    ranked = stage(ranked_groups(df, **names), "ranked")
     tn = F.col("n_neg") - F.col("fp")
     missed = F.col("n_pos") - F.col("tp")
     none = F.lit(0)
-    cuts = cut_points(df, cutoffs, **names).withColumns(
+    cuts = cut_rows(ranked, cutoffs).withColumns(
         {
             "ppv": F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), none),
             "npv": tn / F.nullif(tn + missed, none),
         }
     )
     # One row per method.
-    return cuts.join(F.broadcast(area_metrics(df, **names)), "method").select(
+    return cuts.join(F.broadcast(area_rows(ranked)), "method").select(
         "method", "cutoff", "threshold", "specificity", "sensitivity", "ppv", "npv",
         "auroc", "auprc",
     )
@@ -216,12 +234,9 @@ def case_only_bootstrap(
         )
     )
     ranked = running_sums(grouped, ["method"], "score", ["pos", "neg"])
-    wins = F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)
-    areas = ranked.groupBy("method").agg(
-        (F.sum(wins) / F.nullif(F.max(F.col("pos_total") * F.col("neg_total")), F.lit(0))).alias("a")
-    )
     return (
-        areas.withColumn("method", F.split_part("method", F.lit("|"), F.lit(1)))
+        area_rows(ranked)
+        .withColumn("method", F.split_part("method", F.lit("|"), F.lit(1)))
         .groupBy("method")
-        .agg(F.avg("a").alias("auroc_mean"), F.stddev_samp("a").alias("auroc_sd"))
+        .agg(F.avg("auroc").alias("auroc_mean"), F.stddev_samp("auroc").alias("auroc_sd"))
     )
