@@ -296,14 +296,19 @@ def linear_smooth(df: DataFrame, key: str = "drug", x: str = "year", y: str = "c
 
 
 def local_quadratic(x: np.ndarray, y: np.ndarray, span: float = 0.75) -> np.ndarray:
-    """Local quadratic fit at each x with tricube weights on the nearest points."""
+    """Local quadratic fit at each x with tricube weights on the nearest points.
+
+    The reach is the distance of the last of the nearest points; it widens until three points
+    carry weight, as the fit needs.
+    """
     n = len(x)
     near = max(int(np.floor(span * n + 1e-9)), min(n, 4))
     out = np.empty(n)
     for k in range(n):
         gap = np.abs(x - x[k])
-        reach = np.sort(gap)[near - 1]
-        weight = np.clip(1 - (gap / max(reach, 1e-300)) ** 3, 0, None) ** 3
+        reaches = [r for r in np.sort(gap)[near - 1 :] if (gap < r).sum() >= 3]
+        reach = reaches[0] if reaches else 2 * max(gap.max(), 1e-300)
+        weight = np.clip(1 - (gap / reach) ** 3, 0, None) ** 3
         root = np.sqrt(weight)
         cols = np.vander(x - x[k], 3, increasing=True)
         fit = np.linalg.lstsq(cols * root[:, None], y * root, rcond=None)[0]

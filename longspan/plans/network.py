@@ -247,15 +247,30 @@ def class_panel(spark, sf_dir):
     )
 
 
-TAIL_SQL = """
-    case when n % 2 = 0 then
-      1 - sin(th) * list_sum(list_transform(range(0, (n - 2) // 2), lambda k:
+def tail_sql(df: str, th: str) -> str:
+    """Two-sided Student tail with angle `th`, for the SQL side."""
+    return f"""case when ({df}) % 2 = 0 then
+      1 - sin({th}) * list_sum(list_transform(range(0, ({df}) // 2), lambda k:
         coalesce(list_aggregate(list_transform(range(0, k),
-          lambda m: (2.0 * m + 1) / (2 * m + 2) * cos(th) * cos(th)), 'product'), 1.0)))
+          lambda m: (2.0 * m + 1) / (2 * m + 2) * cos({th}) * cos({th})), 'product'), 1.0)))
     else
-      1 - 2 / pi() * (th + sin(th) * cos(th) * coalesce(list_sum(list_transform(
-        range(1, (n - 3) // 2 + 1), lambda k: coalesce(list_aggregate(list_transform(range(1, k),
-          lambda m: 2.0 * m / (2 * m + 1) * cos(th) * cos(th)), 'product'), 1.0))), 0.0)) end"""
+      1 - 2 / pi() * ({th} + sin({th}) * cos({th}) * coalesce(list_sum(list_transform(
+        range(1, (({df}) - 1) // 2 + 1), lambda k: coalesce(list_aggregate(list_transform(
+          range(1, k), lambda m: 2.0 * m / (2 * m + 1) * cos({th}) * cos({th})), 'product'), 1.0))),
+        0.0)) end"""
+
+
+# Two-sided 5% critical values of Student's t for 1 to 10 degrees of freedom.
+CRITICAL = [
+    12.706204736432095, 4.302652729911275, 3.182446305284263, 2.7764451051977987,
+    2.570581836614739, 2.446911848791681, 2.3646242510102993, 2.306004135033371,
+    2.2621571627409915, 2.2281388519649385,
+]
+
+
+def critical_sql(df: str) -> str:
+    return f"list_extract([{', '.join(f'{c!r}::double' for c in CRITICAL)}], cast({df} as int))"
+
 
 OLS_SQL = f"""
     fit as (
@@ -267,7 +282,7 @@ OLS_SQL = f"""
            from fit),
     tt as (select *, beta / se_beta as t, atan(abs(beta / se_beta) / sqrt(n - 2)) as th from se),
     ols as (select drug, n, round(beta, 6) as beta, round(se_beta, 6) as se_beta,
-              round(t, 4) as t, round(case when n > 2 then {TAIL_SQL} end, 6) as p from tt)"""
+              round(t, 4) as t, round(case when n > 2 then {tail_sql('n - 2', 'th')} end, 6) as p from tt)"""
 
 DIRECTION_SQL = """case when p < 0.05 and beta > 0 then 'Increase'
       when p < 0.05 and beta < 0 then 'Decrease' else 'None' end"""
@@ -308,14 +323,125 @@ def zscore_series(spark, sf_dir):
     return out.join(span, "drug").select("drug", "year", "z", "start", "end", "n_points")
 
 
-@query("segmented_trend")
+BREAK_SQL = """
+    b as (select drug, year - avg(year) over (partition by drug) as u,
+            avg(year) over (partition by drug) as centre, cos as y,
+            count(*) over (partition by drug) as n,
+            row_number() over (partition by drug order by year) as k from s),
+    gaps as (select l.drug, l.u as lo, h.u as hi from b l join b h on l.drug = h.drug
+               and h.k = l.k + 1 where l.k >= 2 and h.k <= l.n - 1),
+    sides as (
+      select g.drug, lo, hi, regr_slope(y, u) filter (u <= lo) as sa,
+        regr_intercept(y, u) filter (u <= lo) as ia, regr_slope(y, u) filter (u >= hi) as sb,
+        regr_intercept(y, u) filter (u >= hi) as ib
+      from gaps g join b on g.drug = b.drug group by 1, 2, 3),
+    candidates as (
+      select drug, u as psi from b where k between 2 and n - 1
+      union all select drug, (ia - ib) / (sb - sa) from sides
+      where sa <> sb and (ia - ib) / (sb - sa) > lo and (ia - ib) / (sb - sa) < hi),
+    terms as (
+      select c.drug, c.psi, b.n, b.centre, b.u, b.y, greatest(b.u - c.psi, 0) as h,
+        case when b.u > c.psi then -1.0::double else 0.0::double end as g
+      from candidates c join b on c.drug = b.drug where b.n >= 6),
+    m as (
+      select drug, psi, max(n) as n, max(centre) as centre, regr_sxx(y, u) as uu,
+        regr_sxx(y, h) as hh, regr_sxx(y, g) as gg, regr_sxy(u, h) as uh, regr_sxy(u, g) as ug,
+        regr_sxy(h, g) as hg, regr_sxy(u, y) as uy, regr_sxy(h, y) as hy, regr_sxy(g, y) as gy,
+        regr_syy(y, u) as yy from terms group by 1, 2),
+    scoredm as (select *, (hy - uh * uy / uu) / (hh - uh * uh / uu) as delta,
+        yy - uy * uy / uu - pow(hy - uh * uy / uu, 2) / (hh - uh * uh / uu) as rss,
+        uu * (hh * gg - hg * hg) - uh * (uh * gg - hg * ug) + ug * (uh * hg - hh * ug) as det
+      from m),
+    best as (select *, row_number() over (partition by drug order by rss) as pick from scoredm),
+    inv as (
+      select *, (uy - delta * uh) / uu as beta1, det <= 1e-9 * uu * hh * gg as spent,
+        (hh * gg - hg * hg) / nullif(det, 0) as i11, (uu * gg - ug * ug) / nullif(det, 0) as i22,
+        (uu * hh - uh * uh) / nullif(det, 0) as i33, (ug * hg - uh * gg) / nullif(det, 0) as i12,
+        (uh * hg - hh * ug) / nullif(det, 0) as i13, (ug * uh - uu * hg) / nullif(det, 0) as i23
+      from best where pick = 1),
+    noise as (
+      select *, (yy - uy * uy * i11 - hy * hy * i22 - gy * gy * i33
+        - 2 * (uy * hy * i12 + uy * gy * i13 + hy * gy * i23)) / (n - 4) as v from inv),
+    br as (
+      select drug, n, psi + centre as change_point, beta1, beta1 + delta as beta2,
+        case when spent then 'inf'::double else sqrt(v * i11) end as se1,
+        case when spent then 'inf'::double else sqrt(v * (i11 + i22 + 2 * i12)) end as se2
+      from noise),
+    br_t as (select *, atan(abs(beta1 / se1) / sqrt(n - 4)) as th1,
+               atan(abs(beta2 / se2) / sqrt(n - 4)) as th2 from br)"""
+
+CLASS_SQL = f"""
+    span as (select drug, count(*) as n, min(year) as start, max(year) as "end",
+               regr_slope(cos, year) as b, regr_sxx(cos, year) as sxx, regr_syy(cos, year) as syy,
+               regr_sxy(cos, year) as sxy from s group by 1),
+    line as (select *, sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx) as se from span where n > 3),
+    line_t as (select *, atan(abs(b / se) / sqrt(n - 2)) as th from line),
+    joined as (
+      select span.drug, span.n, span.start, span."end", l.b as beta, x.change_point, x.beta1,
+        x.beta2, {tail_sql('l.n - 2', 'l.th')} as p, {tail_sql('x.n - 4', 'x.th1')} as p1,
+        {tail_sql('x.n - 4', 'x.th2')} as p2, l.se * {critical_sql('l.n - 2')} as w,
+        x.se1 * {critical_sql('x.n - 4')} as w1, x.se2 * {critical_sql('x.n - 4')} as w2
+      from span left join line_t l on span.drug = l.drug left join br_t x on span.drug = x.drug),
+    classed as (
+      select *, case
+        when p1 < 0.05 and p2 < 0.05 and beta1 > 0 and beta2 < 0 then 'I-D'
+        when p1 < 0.05 and p2 < 0.05 and beta1 < 0 and beta2 > 0 then 'D-I'
+        when p1 < 0.05 then case when beta1 > 0 then 'Increase' else 'Decrease' end
+        when p2 < 0.05 then case when beta2 > 0 then 'Increase' else 'Decrease' end
+        when p is null or p > 0.05 then 'None'
+        when beta > 0 then 'Increase' else 'Decrease' end as type from joined)"""
+
+CLASS_NUMBERS = ["change_point", "beta", "beta1", "beta2", "p", "p1", "p2", "w", "w1", "w2"]
+
+
+@query(
+    "segmented_trend",
+    f"""
+    with {SERIES_SQL.strip()}, {BREAK_SQL.strip()}, {CLASS_SQL.strip()}
+    select drug, type, n, start, "end",
+      {', '.join(f'round({c}, 6) as {c}' for c in CLASS_NUMBERS)} from classed
+    """,
+    ("ehr",),
+)
 def segmented_trend(spark, sf_dir):
-    return trend.classified_trends(stage(stand_in_series(Inputs(spark, sf_dir)), "series"))
+    series = stage(stand_in_series(Inputs(spark, sf_dir)), "series")
+    return rounded(trend.classified_trends(series), *CLASS_NUMBERS)
 
 
-@query("smooth_series")
+@query(
+    "smooth_series",
+    f"""
+    with {SERIES_SQL.strip()},
+    pairs as (
+      select a.drug, a.year, a.cos, b.year - a.year as dx, abs(b.year - a.year) as d, b.cos as y,
+        count(*) over w as n, row_number() over (w order by abs(b.year - a.year), b.year) as k,
+        rank() over (w order by abs(b.year - a.year)) - 1 as closer
+      from s a join s b on a.drug = b.drug window w as (partition by a.drug, a.year)),
+    reach as (
+      select drug, year, coalesce(min(d) filter (k >= greatest(floor(0.75 * n), least(n, 4))
+        and closer >= 3), 2 * max(d)) as h from pairs where n >= 4 group by 1, 2),
+    weighted as (
+      select p.*, pow(greatest(0, 1 - pow(d / h, 3)), 3) as w
+      from pairs p join reach r on p.drug = r.drug and p.year = r.year),
+    m as (
+      select drug, year, max(cos) as cos, sum(w) as a, sum(w * dx) as b, sum(w * dx * dx) as c,
+        sum(w * dx * dx * dx) as d, sum(w * dx * dx * dx * dx) as e, sum(w * y) as t0,
+        sum(w * dx * y) as t1, sum(w * dx * dx * y) as t2 from weighted group by 1, 2)
+    select drug, year, round(cos, 6) as cos,
+      round((t0 * (c * e - d * d) - b * (t1 * e - d * t2) + c * (t1 * d - c * t2))
+        / (a * (c * e - d * d) - b * (b * e - d * c) + c * (b * d - c * c)), 6) as smooth,
+      'loess' as method from m
+    union all
+    select drug, year, round(cos, 6), round(regr_intercept(cos, year) over w
+      + regr_slope(cos, year) over w * year, 6), 'lm'
+    from s where drug in (select drug from s group by 1 having count(*) < 4)
+    window w as (partition by drug)
+    """,
+    ("ehr",),
+)
 def smooth_series(spark, sf_dir):
-    return trend.smooth_series(stand_in_series(Inputs(spark, sf_dir)))
+    series = stage(stand_in_series(Inputs(spark, sf_dir)), "series")
+    return rounded(trend.smooth_series(series), "cos", "smooth")
 
 
 @query(
@@ -352,11 +478,24 @@ def trend_export(spark, sf_dir):
     return trend.export_trends(data.drug.withColumnRenamed("feature_id", "drug"), line)
 
 
-@query("trend_comparison")
+@query(
+    "trend_comparison",
+    f"""
+    with {SERIES_SQL.strip()}, {BREAK_SQL.strip()}, {CLASS_SQL.strip()},
+    kept as (select * from s),
+    {OLS_SQL.strip()}
+    select c.drug, c.type, c.n, c.start, c."end",
+      {', '.join(f'round(c.{c}, 6) as {c}' for c in CLASS_NUMBERS)},
+      o.n as n_lm, o.beta as beta_lm, o.se_beta as se_beta_lm, o.t as t_lm, o.p as p_lm
+    from classed c join ols o on c.drug = o.drug
+    """,
+    ("ehr",),
+)
 def trend_comparison(spark, sf_dir):
     """Linear and classified trends side by side."""
     series = stage(stand_in_series(Inputs(spark, sf_dir)), "series")
-    return trend.compare_trends(trend.ols_trend(series), trend.classified_trends(series))
+    line = rounded(rounded(trend.ols_trend(series), "beta", "se_beta", "p"), "t", places=4)
+    return trend.compare_trends(line, rounded(trend.classified_trends(series), *CLASS_NUMBERS))
 
 
 @query("anchor_trends")
