@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from longspan.functions import columns as C
 from longspan.operators.joins import lookup_join, salted_join
 from longspan.operators.ranking import dense_ids
+from longspan.sources.stages import stage
 
 # Code namespaces that are kept, and the procedure prefix that is shortened.
 NAMESPACES = ["RXNORM", "PheCode", "LOINC", "CCS"]
@@ -135,7 +136,8 @@ def vocabulary(events: DataFrame, curated: DataFrame | None = None, least: int =
         counts = counts.join(listed, "feature_id", "left").where(
             F.coalesce("_listed", F.lit(False)) | (F.col("n") > least)
         ).drop("_listed")
-    return dense_ids(counts, "feature_id")
+    # One row per code; numbering reads it twice.
+    return dense_ids(stage(counts, "codes"), "feature_id")
 
 
 def with_ids(events: DataFrame, vocab: DataFrame) -> DataFrame:

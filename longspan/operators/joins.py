@@ -107,8 +107,3 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     for c in on:
         condition = condition & left[c].eqNullSafe(renamed[f"_r_{c}"])
     return left.join(renamed, condition, how).drop(*[f"_r_{c}" for c in on])
-
-
-def suffix_columns(df: DataFrame, suffix: str, keep: Sequence[str]) -> DataFrame:
-    """Rename all columns but the join keys, so that two tables can stand side by side."""
-    return df.withColumnsRenamed({c: f"{c}{suffix}" for c in df.columns if c not in keep})

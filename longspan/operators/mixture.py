@@ -201,12 +201,12 @@ def fit_poissons(
 ) -> dict[str, PoissonPair]:
     """Counts with exposure, all keys at once.
 
-    The start comes from means over cells of the two log values, at most 64 x 64 per key.
+    The start comes from means over cells of the two log values, at most 256 x 256 per key.
     """
     w, count, expo = F.col(weight), F.col(y), F.col(exposure)
 
     def cell(value: Column) -> Column:
-        return F.least(F.floor(F.log1p(value) * 4), F.lit(63))
+        return F.least(F.floor(F.log1p(value) * 16), F.lit(255))
 
     cells = (
         df.groupBy(key, cell(count).alias("_cy"), cell(expo).alias("_ce"))

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from longspan.sources.stages import stage
+
 HASH_BUCKET_BITS = 16
 
 
@@ -28,11 +30,13 @@ def running_sums(
 ) -> DataFrame:
     """For rows unique by (keys, order): `<s>_before`, `<s>_total` and `next_<order>`.
 
-    `<s>_before` sums the rows with a smaller order value. Bucket edges are approximate quantiles,
+    `<s>_before` sums the rows with a smaller order value. The rows are read three times and so are
+    written once, which also keeps their source from being scanned again. Bucket edges are approximate quantiles,
     so buckets are even; the sums are exact wherever the edges fall. The edges are one row per
     key, and the totals one row per key and bucket. Keys name a few groups, such as score methods.
     """
     keys = list(keys)
+    df = stage(df, "ranked")
     buckets = buckets or bucket_count(df)
     points = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
     edges = df.groupBy(*keys).agg(

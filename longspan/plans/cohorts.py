@@ -283,13 +283,10 @@ def first_event_age(spark, sf_dir):
 def first_event_per_code(spark, sf_dir):
     """First date per patient and code, for anchor events and listed drugs."""
     data = Inputs(spark, sf_dir)
-    firsts = cohort.first_dates(data.ehr)
     listed = data.drug.select("feature_id").union(
         spark.range(1).select(F.lit(ANCHOR).alias("feature_id"))
     )
-    return lookup_join(firsts, listed, ["feature_id"], "left_semi").select(
-        "patient_num", "feature_id", "first_date"
-    )
+    return cohort.first_dates(lookup_join(data.ehr, listed, ["feature_id"], "left_semi"))
 
 
 @query(

@@ -199,7 +199,7 @@ def stand_in_series(data: Inputs):
 )
 def series_ci(spark, sf_dir):
     data = Inputs(spark, sf_dir)
-    series = stand_in_series(data)
+    series = stage(stand_in_series(data), "series")
     cosines = series.select("drug", F.col("year").alias("period"), "cos")
     grid = embed.anchor_series(
         cosines, series.select("drug"), "drug", range(1995, 2003)
@@ -234,7 +234,7 @@ def series_ci(spark, sf_dir):
 )
 def class_panel(spark, sf_dir):
     data = Inputs(spark, sf_dir)
-    series = stand_in_series(data)
+    series = stage(stand_in_series(data), "series")
     members = data.drug.select("treatment_class", F.col("feature_id").alias("drug"))
     classes = (
         series.join(members, "drug")
@@ -317,7 +317,7 @@ def ols_trend(spark, sf_dir):
     ("ehr",),
 )
 def zscore_series(spark, sf_dir):
-    series = stand_in_series(Inputs(spark, sf_dir))
+    series = stage(stand_in_series(Inputs(spark, sf_dir)), "series")
     span = trend.series_span(series).withColumnRenamed("n", "n_points")
     out = rounded(trend.zscores(series), "z")
     return out.join(span, "drug").select("drug", "year", "z", "start", "end", "n_points")
