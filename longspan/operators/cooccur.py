@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from longspan.functions import columns as C
 from longspan.sources.stages import stage
 
+BLOCK_CELLS = 4_000_000
+
 
 def daily_counts(events: DataFrame, code: str = "feature_id") -> DataFrame:
     """(period, patient_num, day, code, m): repeated records of a day become one row."""
@@ -22,69 +28,126 @@ def daily_counts(events: DataFrame, code: str = "feature_id") -> DataFrame:
     )
 
 
+def lagged_products(
+    day: np.ndarray, place: np.ndarray, m: np.ndarray, later: np.ndarray, size: int, window: int
+) -> Iterator[tuple[int, np.ndarray]]:
+    """later'earlier counts over lags 1..window, as (first row, block of rows).
+
+    A running sum over days turns the earlier days' counts of each day into one row, so the work
+    is one small matrix product instead of a pass over all pairs. `later` marks the rows that may
+    stand on the later side.
+    """
+    days, row = np.unique(day, return_inverse=True)
+    counts = np.zeros((len(days), size))
+    np.add.at(counts, (row, place), m)
+    running = np.vstack([np.zeros((1, size)), np.cumsum(counts, axis=0)])
+    low = np.searchsorted(days, days - window, side="left")
+    earlier = running[np.arange(len(days))] - running[low]
+    own = np.zeros((len(days), size))
+    np.add.at(own, (row[later], place[later]), m[later])
+    step = max(1, BLOCK_CELLS // max(size, 1))
+    for first in range(0, size, step):
+        yield first, own[:, first : first + step].T @ earlier
+
+
 def crowded_buckets(
-    daily: DataFrame, key: list[str], window: int, split_rows: int
+    daily: DataFrame, key: list[str], window: int, crowd: int
 ) -> DataFrame | None:
-    """Buckets with more than `split_rows` rows and their number of parts; None if there are none.
+    """Keys of buckets with more than `crowd` rows; None if there are none.
 
     With ids 1..d for codes a bucket cannot pass window x d rows, so a small vocabulary needs no
     count at all.
     """
     if dict(daily.dtypes)["code"] == "int":
         largest = daily.agg(F.max("code")).first()[0] or 0
-        if window * largest <= split_rows:
+        if window * largest <= crowd:
             return None
     crowded = stage(
-        daily.groupBy(*key)
-        .agg(F.ceil(F.count("*") / F.lit(split_rows)).cast("int").alias("_parts"))
-        .where(F.col("_parts") > 1),
+        daily.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > crowd).drop("_n"),
         "crowded",
     )
     return None if crowded.isEmpty() else crowded
 
 
+def crowded_pairs(rows: DataFrame, key: list[str], window: int, kind: str) -> DataFrame:
+    """Pair counts of crowded buckets, (period, i, j, n), already summed within a bucket.
+
+    A group has the daily counts of one person's bucket and the bucket before, at most
+    2 x window rows per code.
+    """
+
+    def solve(
+        bucket: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
+    ) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        codes, place = np.unique(
+            table["code"].to_numpy(zero_copy_only=False), return_inverse=True
+        )
+        later = table["own"].to_numpy(zero_copy_only=False).astype(bool)
+        day, m = table["day"].to_numpy(), table["m"].to_numpy()
+        for first, block in lagged_products(day, place, m, later, len(codes), window):
+            i, j = np.nonzero(block)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(i), bucket[0].as_py()), pa.int32()),
+                    pa.array(codes[i + first], table.schema.field("code").type),
+                    pa.array(codes[j], table.schema.field("code").type),
+                    pa.array(block[i, j].round().astype(np.int64), pa.int64()),
+                ],
+                names=["period", "i", "j", "n"],
+            )
+
+    return rows.groupBy(*key).applyInArrow(solve, f"period int, i {kind}, j {kind}, n bigint")
+
+
 def cooccurrence(
-    events: DataFrame, window: int = 30, code: str = "feature_id", split_rows: int = 20_000
+    events: DataFrame, window: int = 30, code: str = "feature_id", crowd: int = 2_000
 ) -> DataFrame:
     """Pairs of a code with codes 1..window days earlier, same patient and year.
 
     Gives (period, i, j, n) with i the later day's code. Days fall in buckets as wide as the
     window, so an earlier day within the window lies in the same bucket or the one before and the
-    range condition becomes an equi-join on (period, patient, bucket). After `daily_counts`, which
-    is written once because both sides read it, a bucket holds at most window x vocabulary rows
-    per side however many records a patient has; the later side of a bucket with more than
-    `split_rows` rows is divided over several tasks. The joined pairs go straight into the partial
-    sum and are never shuffled.
+    range condition becomes an equi-join on (period, patient, bucket). `daily_counts` is written
+    once because both sides read it; after it a bucket holds at most window x vocabulary rows
+    however many records a patient has. The joined pairs go straight into the partial sum and are
+    never shuffled. Buckets with more than `crowd` rows are not joined: there a running sum over
+    days and a matrix product give the same counts without forming the pairs.
     """
     bucket = F.floor(F.col("day") / F.lit(window)).cast("int")
     daily = stage(daily_counts(events, code).withColumn("bucket", bucket), "daily")
     key = ["period", "patient_num", "bucket"]
-    later = daily.select(
-        *key, F.col("day").alias("day_later"), F.col("code").alias("i"), F.col("m").alias("m_later")
-    )
-    earlier = daily.select(
+    crowded = crowded_buckets(daily, key, window, crowd)
+    later, both = daily, daily.select(
         "period",
         "patient_num",
-        F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"),
-        F.col("day").alias("day_earlier"),
-        F.col("code").alias("j"),
-        F.col("m").alias("m_earlier"),
+        F.posexplode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("_shift", "bucket"),
+        "day",
+        "code",
+        "m",
     )
-    crowded = crowded_buckets(daily, key, window, split_rows)
+    dense = None
     if crowded is not None:
-        parts = F.coalesce(F.col("_parts"), F.lit(1))
-        place = F.pmod(F.xxhash64("day_later", "i"), parts.cast("bigint")).cast("int")
-        copies = F.explode(F.sequence(F.lit(0), parts - 1))
-        later = later.join(crowded, key, "left").withColumn("_part", place).drop("_parts")
-        earlier = earlier.join(crowded, key, "left").withColumn("_part", copies).drop("_parts")
-        key = [*key, "_part"]
+        rows = both.withColumn("own", F.col("_shift") == 0).drop("_shift")
+        dense = crowded_pairs(
+            rows.join(crowded, key, "left_semi"), key, window, dict(daily.dtypes)["code"]
+        )
+        later = daily.join(crowded, key, "left_anti")
+    later = later.select(
+        *key, F.col("day").alias("day_later"), F.col("code").alias("i"), F.col("m").alias("m_later")
+    )
+    earlier = both.select(
+        *key, F.col("day").alias("day_earlier"), F.col("code").alias("j"),
+        F.col("m").alias("m_earlier"),
+    )
     gap = F.col("day_later") - F.col("day_earlier")
-    return (
+    pairs = (
         later.join(earlier, key)
         .where(gap.between(1, window))
-        .groupBy("period", "i", "j")
-        .agg(F.sum(F.col("m_later") * F.col("m_earlier")).alias("n"))
+        .select("period", "i", "j", (F.col("m_later") * F.col("m_earlier")).alias("n"))
     )
+    if dense is not None:
+        pairs = pairs.unionByName(dense)
+    return pairs.groupBy("period", "i", "j").agg(F.sum("n").alias("n"))
 
 
 def symmetrise(triplets: DataFrame, passes: int = 1) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-BINS = 512
+BINS = 4096
 
 
 @dataclass(frozen=True)

@@ -6,23 +6,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from longspan.operators.cooccur import daily_counts
+from longspan.operators.cooccur import daily_counts, lagged_products
 from longspan.operators.embed import leading_vectors
 
 COSINE_SCHEMA = "period int, patient_num bigint, feature_id string, cos double"
 
 
-def _pair_counts(day: np.ndarray, place: np.ndarray, m: np.ndarray, size: int, window: int):
-    """later'earlier counts for lags 1..window from day-by-code count matrices."""
-    days, row = np.unique(day, return_inverse=True)
-    daily = np.zeros((len(days), size))
-    np.add.at(daily, (row, place), m)
-    running = np.vstack([np.zeros((1, size)), np.cumsum(daily, axis=0)])
-    low = np.searchsorted(days, days - window, side="left")
-    earlier = running[np.arange(len(days))] - running[low]
-    return daily.T @ earlier
-
-
 def _anchor_cosines(
     day: np.ndarray, code: np.ndarray, m: np.ndarray, anchor: str, window: int
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -31,7 +20,9 @@ def _anchor_cosines(
     codes, place = np.unique(code, return_inverse=True)
     if anchor not in codes:
         return none
-    pairs = _pair_counts(day, place, m, len(codes), window)
+    later = np.ones(len(day), dtype=bool)
+    blocks = lagged_products(day, place, m, later, len(codes), window)
+    pairs = np.vstack([block for _, block in blocks])
     both = pairs + pairs.T
     np.fill_diagonal(both, np.diag(pairs))
     kept = both.sum(axis=1) > 5

@@ -49,7 +49,7 @@ def test_pairs_equal_record_by_record_count(spark, rows, window):
 
 def test_pairs_with_crowded_buckets_split(spark):
     rows = random_rows(1, 250, people=2)
-    got = cooccur.cooccurrence(events_frame(spark, rows), 10, split_rows=4)
+    got = cooccur.cooccurrence(events_frame(spark, rows), 10, crowd=4)
     assert as_dict(got) == brute_pairs(rows, 10)
 
 
