@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -42,15 +44,19 @@ def salted_join(
     for that key are copied to every part. All other keys take an ordinary shuffle join.
     """
     on = list(on)
-    hot = stage(hot_keys(big, on, width or shuffle_width(big)), "hot")
+    width = width or shuffle_width(big)
+    hot = stage(hot_keys(big, on, width), "hot")
     if hot.isEmpty():
         return big.join(small, on, how)
     hot = F.broadcast(hot)
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     row = F.xxhash64(*[F.col(c) for c in big.columns])
+    # Rows with a null key match nothing, so they may lie anywhere.
+    nowhere = reduce(or_, [F.col(c).isNull() for c in on])
+    spread = F.when(nowhere, F.lit(4 * width)).otherwise(parts).cast("bigint")
     left = (
         big.join(hot, on, "left")
-        .withColumn("_part", F.pmod(row, parts.cast("bigint")).cast("int"))
+        .withColumn("_part", F.pmod(row, spread).cast("int"))
         .drop("_parts")
     )
     right = (

@@ -22,6 +22,7 @@ from longspan.operators.mixture import (
     fit_poissons,
 )
 from longspan.operators.ranking import hash_sample, quantiles
+from longspan.sources.stages import stage
 
 SURROGATES = ["code", "concept", "code_concept"]
 ALPHAS = [k / 10 for k in range(11)]
@@ -143,7 +144,7 @@ def share_cut(df: DataFrame, score: str, share: float) -> DataFrame:
     return marks.select(F.col("quantiles")[0].alias("cut"))
 
 
-def mixture_score(df: DataFrame, stage) -> tuple[Column, float]:
+def mixture_score(df: DataFrame) -> tuple[Column, float]:
     """Case probability from code, concept and joint counts, and the estimated share of cases.
 
     Per count: a two-rate Poisson mixture with utilisation as exposure, and a two-normal mixture
@@ -200,7 +201,7 @@ def normalised_configs(features: Sequence[str]) -> list[NormalisedConfig]:
     ]
 
 
-def choose_exponents(df: DataFrame, surrogates: Sequence[str], stage) -> dict[str, float]:
+def choose_exponents(df: DataFrame, surrogates: Sequence[str]) -> dict[str, float]:
     """Utilisation exponent per surrogate whose normalised log count is closest to a two-normal fit.
 
     The grid's distributions are binned in one aggregate; the driver sees bins only.
@@ -229,7 +230,7 @@ def least_squares(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
 
 
 def normalised_scores(
-    df: DataFrame, features: Sequence[str], stage, key: str = "patient_num",
+    df: DataFrame, features: Sequence[str], key: str = "patient_num",
     rate: float = 0.3, seed: int = 1234,
 ) -> dict[str, Column]:
     """Case probability per configuration.
@@ -239,7 +240,7 @@ def normalised_scores(
     hashed share of cells takes the column mean; the fitted line on intact columns is the score.
     Posteriors of a two-normal fit are averaged over a configuration's surrogates.
     """
-    exponents = choose_exponents(df, SURROGATES, stage)
+    exponents = choose_exponents(df, SURROGATES)
     columns = [*SURROGATES, "utl", *features]
     logged = log_counts(df, columns, [key])
     normal = {
@@ -406,7 +407,7 @@ class CovarianceFit:
 
 
 def covariance_scores(
-    df: DataFrame, coded: Sequence[str], concepts: Sequence[str], stage,
+    df: DataFrame, coded: Sequence[str], concepts: Sequence[str],
     key: str = "patient_num", seed: int = 2023,
 ) -> CovarianceFit:
     """Case probability from covariances of log counts: code with coded features, and both.
@@ -462,17 +463,17 @@ def compare_coefficients(table: DataFrame, first: str, second: str) -> DataFrame
 
 
 def score_table(
-    df: DataFrame, coded: Sequence[str], concepts: Sequence[str], stage, keep: Sequence[str],
+    df: DataFrame, coded: Sequence[str], concepts: Sequence[str], keep: Sequence[str],
     key: str = "patient_num",
 ) -> tuple[DataFrame, CovarianceFit]:
     """Nine scores per patient with at least one main code, next to the kept columns."""
     main = stage(df.where(F.col("code") > 0), "main")
-    mixture, _ = mixture_score(main, stage)
-    by_covariance = covariance_scores(main, coded, concepts, stage, key)
+    mixture, _ = mixture_score(main)
+    by_covariance = covariance_scores(main, coded, concepts, key)
     scores = {
         "mixture": mixture,
         **by_covariance.scores,
-        **normalised_scores(main, [*coded, *concepts], stage, key),
+        **normalised_scores(main, [*coded, *concepts], key),
         **baseline_scores(),
     }
     return main.select(*keep, *[c.alias(n) for n, c in scores.items()]), by_covariance

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from longspan.functions import columns as C
 from longspan.operators import cohort, summary
+from longspan.operators.features import patient_counts
 from longspan.operators.joins import first_per_key, lookup_join
 from longspan.plans.base import Inputs, query, rounded
 from longspan.sources import files
 from longspan.sources.stages import load_table, save_table, scratch_path
-from longspan.sources.views import ANCHOR
+from longspan.sources.views import ANCHOR, CONCEPT
 
 YEARS = range(1990, 2004)
 
@@ -142,17 +143,20 @@ def first_row_per_patient(spark, sf_dir):
     select f.patient_num, m.mapping_index, d.sex, d.race_code, d.ethnicity_code,
       case when d.race_code = 7 and d.ethnicity_code = 2 then 1
            when not (d.race_code = 7 and d.ethnicity_code = 2) then 0 end as majority
-    from (select patient_num from pat where patient_num % 10 <> 0) f
+    from (select patient_num from ehr group by 1
+          having count_if(feature_id = 'PheCode:335') >= 3) f
       left join (select patient_num, mapping_index from pat) m on f.patient_num = m.patient_num
       left join pat d on m.mapping_index = d.mapping_index
     where d.sex is not null
     """,
-    ("pat",),
+    ("ehr", "pat"),
 )
 def cohort_build(spark, sf_dir):
-    pat = Inputs(spark, sf_dir).pat
-    flags = pat.select(
-        "patient_num", F.when(F.col("patient_num") % 10 != 0, 1).otherwise(0).alias("flagged")
+    """Patients flagged by three or more main-code events."""
+    data = Inputs(spark, sf_dir)
+    pat = data.pat
+    flags = patient_counts(data.ehr, ANCHOR, CONCEPT).select(
+        "patient_num", F.when(F.col("code") >= 3, 1).otherwise(0).alias("flagged")
     )
     return cohort.build_cohort(
         flags,
@@ -168,14 +172,14 @@ def cohort_build(spark, sf_dir):
       case when p.race_title is null or p.race_title in ('UNREPORTED', 'Unknown')
         then q.race_imputed else p.race_title end as race_filled,
       nullif(p.sex, 'O') as sex, upper(p.race_imputed) as imputed_upper
-    from pat p left join (select patient_num, race_imputed from pat where patient_num % 3 <> 0) q
+    from pat p left join (select patient_num, race_imputed from pat where race_imputed <> 'Unknown') q
       on p.patient_num = q.patient_num
     """,
     ("pat",),
 )
 def recode_impute(spark, sf_dir):
     pat = Inputs(spark, sf_dir).pat
-    second = pat.where(F.col("patient_num") % 3 != 0).select(
+    second = pat.where(F.col("race_imputed") != "Unknown").select(
         "patient_num", F.col("race_imputed").alias("race_filled")
     )
     base = pat.select(

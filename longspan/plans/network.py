@@ -247,6 +247,12 @@ def class_panel(spark, sf_dir):
     )
 
 
+def series_with_gaps(data: Inputs):
+    """Years with few patients have no value."""
+    enough = F.col("n") >= 15
+    return stand_in_series(data).withColumn("cos", F.when(enough, F.col("cos")))
+
+
 def tail_sql(df: str, th: str) -> str:
     """Two-sided Student tail with angle `th`, for the SQL side."""
     return f"""case when ({df}) % 2 = 0 then
@@ -292,14 +298,14 @@ DIRECTION_SQL = """case when p < 0.05 and beta > 0 then 'Increase'
     "ols_trend",
     f"""
     with {SERIES_SQL.strip()},
-    kept as (select * from s where n % 7 <> 0),
+    kept as (select drug, year, case when n >= 15 then cos end as cos from s),
     {OLS_SQL.strip()}
     select *, {DIRECTION_SQL} as trend from ols
     """,
     ("ehr",),
 )
 def ols_trend(spark, sf_dir):
-    series = stand_in_series(Inputs(spark, sf_dir)).where(F.col("n") % 7 != 0)
+    series = series_with_gaps(Inputs(spark, sf_dir))
     out = rounded(trend.ols_trend(series), "beta", "se_beta", "p")
     return rounded(out, "t", places=4).withColumn(
         "trend", trend.direction(F.col("p"), F.col("beta"))
@@ -463,7 +469,7 @@ def linear_smooth(spark, sf_dir):
     "trend_export",
     f"""
     with {SERIES_SQL.strip()},
-    kept as (select * from s where n % 7 <> 0),
+    kept as (select drug, year, case when n >= 15 then cos end as cos from s),
     {OLS_SQL.strip()}
     select coalesce(d.feature_id, o.drug) as drug, d.generic_name, d.treatment_class,
       o.n, o.beta, o.se_beta, o.t, o.p
@@ -473,7 +479,7 @@ def linear_smooth(spark, sf_dir):
 )
 def trend_export(spark, sf_dir):
     data = Inputs(spark, sf_dir)
-    series = stand_in_series(data).where(F.col("n") % 7 != 0)
+    series = series_with_gaps(data)
     line = rounded(rounded(trend.ols_trend(series), "beta", "se_beta", "p"), "t", places=4)
     return trend.export_trends(data.drug.withColumnRenamed("feature_id", "drug"), line)
 

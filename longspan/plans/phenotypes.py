@@ -47,7 +47,7 @@ def corrupt_split(spark, sf_dir):
 @query("mixture_scores")
 def mixture_scores(spark, sf_dir):
     rows = stage(counts(Inputs(spark, sf_dir)).where(F.col("code") > 0), "counts")
-    score, share = scorers.mixture_score(rows, stage)
+    score, share = scorers.mixture_score(rows)
     scored = rows.select("patient_num", *COUNT_COLUMNS, score.alias("score"))
     cut = scorers.share_cut(scored, "score", share)
     return scored.withColumn("above_cut", F.col("score") > cut.scalar())
@@ -56,14 +56,14 @@ def mixture_scores(spark, sf_dir):
 @query("normalised_scores")
 def normalised_scores(spark, sf_dir):
     rows = stage(wide(Inputs(spark, sf_dir)).where(F.col("code") > 0), "wide")
-    scores = scorers.normalised_scores(rows, CODED, stage)
+    scores = scorers.normalised_scores(rows, CODED)
     return rows.select("patient_num", *COUNT_COLUMNS, *[c.alias(n) for n, c in scores.items()])
 
 
 @query("covariance_scores")
 def covariance_scores(spark, sf_dir):
     rows = stage(wide(Inputs(spark, sf_dir)).where(F.col("code") > 0), "wide")
-    fit = scorers.covariance_scores(rows, CODED, [], stage)
+    fit = scorers.covariance_scores(rows, CODED, [])
     return rows.select(
         "patient_num", *COUNT_COLUMNS, *[c.alias(n) for n, c in fit.scores.items()]
     )
@@ -72,14 +72,14 @@ def covariance_scores(spark, sf_dir):
 @query("coef_compare")
 def coef_compare(spark, sf_dir):
     rows = stage(wide(Inputs(spark, sf_dir)).where(F.col("code") > 0), "wide")
-    fit = scorers.covariance_scores(rows, CODED, [], stage)
+    fit = scorers.covariance_scores(rows, CODED, [])
     return scorers.compare_coefficients(fit.table(spark), "cov_code", "cov_both")
 
 
 def all_scores(data: Inputs):
     rows = labelled(data, wide(data))
     return scorers.score_table(
-        rows, CODED, [], stage, ["patient_num", "is_case", "is_registry", "is_labeled"]
+        rows, CODED, [], ["patient_num", "is_case", "is_registry", "is_labeled"]
     )[0]
 
 

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from longspan.operators import cooccur, embed, uncertainty
 
@@ -53,6 +54,14 @@ def test_pairs_with_crowded_buckets_split(spark):
     assert as_dict(got) == brute_pairs(rows, 10)
 
 
+def test_crowded_buckets_with_ids(spark):
+    rows = random_rows(6, 200, people=2)
+    events = events_frame(spark, rows).withColumn("id", (F.ascii("feature_id") - 96).cast("int"))
+    got = as_dict(cooccur.cooccurrence(events, 7, "id", crowd=5))
+    want = brute_pairs([(p, d, ord(f) - 96) for p, d, f in rows], 7)
+    assert got == want
+
+
 def test_pairs_stay_within_a_year(spark):
     events = spark.createDataFrame(
         [(1, dt.date(2020, 12, 31), "a"), (1, dt.date(2021, 1, 2), "b")], SCHEMA

@@ -60,7 +60,7 @@ def cohort(spark):
 
 
 def test_all_scores_separate_cases(spark, cohort):
-    table, fit = scorers.score_table(cohort, ["F:1", "F:2"], [], stage, ["patient_num", "y"])
+    table, fit = scorers.score_table(cohort, ["F:1", "F:2"], [], ["patient_num", "y"])
     methods = [c for c in table.columns if c not in ("patient_num", "y")]
     assert len(methods) == 9
     frame = table.toPandas()

@@ -114,6 +114,12 @@ def test_race_levels(spark):
     assert got == ["Unknown or Not Reported", "Asian", "Unknown or Not Reported", "WHITE"]
 
 
+def test_ethnicity_levels(spark):
+    rows = spark.createDataFrame([(None,), ("UNREPORTED",), ("HISPANIC",)], "t string")
+    got = [r.x for r in rows.select(cohort.recode_ethnicity(F.col("t")).alias("x")).collect()]
+    assert got == ["unknown", "unknown", "HISPANIC"]
+
+
 def test_registry_overrides_review_and_control_overrides_case(spark):
     people = spark.createDataFrame([(k,) for k in range(1, 6)], "patient_num bigint")
     review = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (3, 1)], "patient_num bigint, ms int")

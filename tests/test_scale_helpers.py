@@ -27,6 +27,17 @@ def test_salted_join_equals_plain(spark, skewed, how):
     )
 
 
+@pytest.mark.parametrize("how", ["left", "left_anti"])
+def test_null_keys_are_kept_and_spread(spark, how):
+    big = spark.range(900).select(
+        F.when(F.col("id") % 3 > 0, F.col("id") % 40).alias("k"), "id"
+    )
+    small = spark.range(20).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = joins.salted_join(big, small, ["k"], how, 8)
+    want = big.join(small, "k", how)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
 def test_hot_keys_are_split_in_proportion(skewed):
     hot = {r.k: r._parts for r in joins.hot_keys(skewed, ["k"], 8).collect()}
     assert set(hot) == {7} and 10 <= hot[7] <= 12
