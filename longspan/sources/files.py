@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 EVENT_SCHEMA = "patient_num bigint, start_date date, feature_id string"
 MONTHLY_SCHEMA = "patient_num bigint, feature_id string, month int, n bigint"
 CODE_SCHEMA = "feature_id string, generic_name string, treatment_class string"
-TRIPLET_SCHEMA = "period int, i int, j int, n double"
+PAIR_SCHEMA = "i int, j int, count double"
 
 
 def read_csv(
@@ -61,6 +61,12 @@ def with_file_year(df: DataFrame, column: str = "year") -> DataFrame:
     return df.withColumn(column, name.cast("int"))
 
 
+def read_yearly_pairs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Pair counts kept as one file per year, as (period, i, j, n); missing years are skipped."""
+    rows = with_file_year(read_batches(spark, paths, PAIR_SCHEMA), "period")
+    return rows.select("period", "i", "j", F.col("count").alias("n"))
+
+
 def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     writer = df.write.option("header", True).mode("errorifexists")
     if partition_by:

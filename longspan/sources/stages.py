@@ -26,7 +26,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/longspan/{name}-{uuid.uuid4().hex}"
+    """A fresh path in this application's part of the shared folder."""
+    application = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/longspan/{application}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str = "stage", partition_by: list[str] | None = None) -> DataFrame:

@@ -24,6 +24,14 @@ def test_missing_batches_are_skipped_and_rows_filtered(spark, tmp_path):
     assert {r.year: r["count"] for r in got} == {2001: 2, 2003: 2}
 
 
+def test_yearly_pair_files(spark, tmp_path):
+    for year in (2001, 2002):
+        (tmp_path / f"pairs_{year}.csv").write_text(f"i,j,count\n1,2,{year - 1990}\n")
+    names = [f"{tmp_path}/pairs_{y}.csv" for y in (2000, 2001, 2002)]
+    got = sorted(map(tuple, files.read_yearly_pairs(spark, names).collect()))
+    assert got == [(2001, 1, 2, 11.0), (2002, 1, 2, 12.0)]
+
+
 def test_no_batch_at_all_is_an_empty_table(spark, tmp_path):
     df = files.read_batches(spark, [f"{tmp_path}/none.csv"], files.EVENT_SCHEMA)
     assert df.count() == 0 and df.columns == ["patient_num", "start_date", "feature_id"]
