@@ -63,7 +63,10 @@ def with_file_year(df: DataFrame, column: str = "year") -> DataFrame:
 
 def read_yearly_pairs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Pair counts kept as one file per year, as (period, i, j, n); missing years are skipped."""
-    rows = with_file_year(read_batches(spark, paths, PAIR_SCHEMA), "period")
+    found = existing_paths(spark, paths)
+    if not found:
+        return spark.createDataFrame([], "period int, i int, j int, n double")
+    rows = with_file_year(read_csv(spark, found, PAIR_SCHEMA), "period")
     return rows.select("period", "i", "j", F.col("count").alias("n"))
 
 

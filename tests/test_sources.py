@@ -30,6 +30,7 @@ def test_yearly_pair_files(spark, tmp_path):
     names = [f"{tmp_path}/pairs_{y}.csv" for y in (2000, 2001, 2002)]
     got = sorted(map(tuple, files.read_yearly_pairs(spark, names).collect()))
     assert got == [(2001, 1, 2, 11.0), (2002, 1, 2, 12.0)]
+    assert files.read_yearly_pairs(spark, names[:1]).isEmpty()
 
 
 def test_no_batch_at_all_is_an_empty_table(spark, tmp_path):
