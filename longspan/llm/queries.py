@@ -6,7 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import public_tokenizers
+
 from longspan.llm.op1_line_dedup import line_dedup
+from longspan.llm.op4_token_ids import read_tokens, write_tokens
+from longspan.llm.op6_decontaminate import decontaminate
+from longspan.sources.stages import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +26,22 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids in directly addressable code files, read back by document."""
+    path = scratch_path(spark, "tokens")
+    write_tokens(given(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 10 benchmark words in every document."""
+    found = decontaminate(given(spark, sf_dir, "documents"), given(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 OP1_SQL = r"""
 with split as (
   select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents
@@ -42,5 +63,38 @@ from keyed k left join frequent f on f.key = k.key
 group by k.doc_id
 """
 
-QUERIES: dict[str, Query] = {"op1_line_dedup": op1_line_dedup}
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL.strip()}
+OP6_SQL = r"""
+with doc as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), item as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), place as (
+  select item_id, w, least(len(w), 10) as size, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i
+  from item where len(w) > 0
+), win as (
+  select distinct item_id, size, array_to_string(w[i:i + size - 1], ' ') as words from place
+), gram as (
+  select doc_id, s.size, w, unnest(range(1, len(w) - s.size + 2)) as i
+  from doc, (select distinct size from win) s
+), hit as (
+  select g.doc_id, g.i, g.size, win.item_id from gram g
+  join win on win.size = g.size and win.words = array_to_string(g.w[g.i:g.i + g.size - 1], ' ')
+), hit_word as (
+  select doc_id, count(distinct spot) as n from (select doc_id, unnest(range(i, i + size)) as spot from hit) group by doc_id
+), hit_item as (
+  select doc_id, count(*) as n, string_agg(id, ',' order by id) as ids
+  from (select distinct doc_id, cast(item_id as varchar) as id from hit) group by doc_id
+)
+select doc.doc_id, len(doc.w) as n_words, coalesce(hw.n, 0) as n_hit, coalesce(hi.n, 0) as n_items,
+       sha256(coalesce(hi.ids, '')) as items_sha256, coalesce(hw.n, 0) > 0 as contaminated
+from doc left join hit_word hw on hw.doc_id = doc.doc_id left join hit_item hi on hi.doc_id = doc.doc_id
+"""
+
+QUERIES: dict[str, Query] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op4_token_ids": op4_token_ids,
+    "op6_decontaminate": op6_decontaminate,
+}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL.strip(), "op6_decontaminate": OP6_SQL.strip()}
