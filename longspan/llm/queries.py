@@ -11,6 +11,7 @@ import public_tokenizers
 from longspan.llm.op1_line_dedup import line_dedup
 from longspan.llm.op4_token_ids import read_tokens, write_tokens
 from longspan.llm.op6_decontaminate import decontaminate
+from longspan.llm.op10_simhash import simhash_groups
 from longspan.sources.stages import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +43,13 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints and the groups linked at 2 or fewer differing bits."""
+    found = simhash_groups(given(spark, sf_dir, "documents"))
+    digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
 OP1_SQL = r"""
 with split as (
   select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents
@@ -96,5 +104,6 @@ QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op4_token_ids": op4_token_ids,
     "op6_decontaminate": op6_decontaminate,
+    "op10_simhash": op10_simhash,
 }
 ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL.strip(), "op6_decontaminate": OP6_SQL.strip()}
