@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import public_tokenizers
 
 from longspan.llm.op1_line_dedup import line_dedup
+from longspan.llm.op2_language_id import language_id
 from longspan.llm.op4_token_ids import read_tokens, write_tokens
 from longspan.llm.op6_decontaminate import decontaminate
+from longspan.llm.op8_mix import mix
 from longspan.llm.op10_simhash import simhash_groups
 from longspan.sources.stages import scratch_path
 
@@ -27,6 +29,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by rank-order profiles of its n-grams."""
+    return language_id(given(spark, sf_dir, "documents"))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids in directly addressable code files, read back by document."""
     path = scratch_path(spark, "tokens")
@@ -43,6 +50,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources mixed to weights 3, 1, 2 over 150% of all words."""
+    found = mix(given(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints and the groups linked at 2 or fewer differing bits."""
     found = simhash_groups(given(spark, sf_dir, "documents"))
@@ -102,8 +115,10 @@ from doc left join hit_word hw on hw.doc_id = doc.doc_id left join hit_item hi o
 
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_language_id": op2_language_id,
     "op4_token_ids": op4_token_ids,
     "op6_decontaminate": op6_decontaminate,
+    "op8_mix": op8_mix,
     "op10_simhash": op10_simhash,
 }
 ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL.strip(), "op6_decontaminate": OP6_SQL.strip()}
