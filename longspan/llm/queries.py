@@ -11,6 +11,7 @@ import public_tokenizers
 from longspan.llm.op1_line_dedup import line_dedup
 from longspan.llm.op2_language_id import language_id
 from longspan.llm.op4_token_ids import read_tokens, write_tokens
+from longspan.llm.op5_toxicity import toxicity
 from longspan.llm.op6_decontaminate import decontaminate
 from longspan.llm.op8_mix import mix
 from longspan.llm.op10_simhash import simhash_groups
@@ -41,6 +42,12 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a classifier trained on weak labels."""
+    found = toxicity(given(spark, sf_dir, "documents"), given(spark, sf_dir, "labels"))
+    return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 10 benchmark words in every document."""
     found = decontaminate(given(spark, sf_dir, "documents"), given(spark, sf_dir, "benchmark"))
@@ -117,6 +124,7 @@ QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
     "op4_token_ids": op4_token_ids,
+    "op5_toxicity": op5_toxicity,
     "op6_decontaminate": op6_decontaminate,
     "op8_mix": op8_mix,
     "op10_simhash": op10_simhash,
