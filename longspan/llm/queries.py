@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
@@ -13,6 +13,7 @@ from longspan.llm.op2_language_id import language_id
 from longspan.llm.op4_token_ids import read_tokens, write_tokens
 from longspan.llm.op5_toxicity import toxicity
 from longspan.llm.op6_decontaminate import decontaminate
+from longspan.llm.op7_secrets import secrets
 from longspan.llm.op8_mix import mix
 from longspan.llm.op10_simhash import simhash_groups
 from longspan.sources.stages import scratch_path
@@ -57,6 +58,22 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets by fixed patterns, and what a conditional random field adds."""
+    found = secrets(given(spark, sf_dir, "documents"))
+
+    def shown(spans: Column) -> Column:
+        text = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+        return F.array_join(text, ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != "tagged")
+    digest = F.sha2(shown(base), 256).alias("base_sha256")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), digest, shown(F.col("spans")).alias("spans"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources mixed to weights 3, 1, 2 over 150% of all words."""
     found = mix(given(spark, sf_dir, "documents"))
@@ -126,6 +143,7 @@ QUERIES: dict[str, Query] = {
     "op4_token_ids": op4_token_ids,
     "op5_toxicity": op5_toxicity,
     "op6_decontaminate": op6_decontaminate,
+    "op7_secrets": op7_secrets,
     "op8_mix": op8_mix,
     "op10_simhash": op10_simhash,
 }
