@@ -15,6 +15,7 @@ from longspan.llm.op5_toxicity import toxicity
 from longspan.llm.op6_decontaminate import decontaminate
 from longspan.llm.op7_secrets import secrets
 from longspan.llm.op8_mix import mix
+from longspan.llm.op9_embedding_dedup import embedding_groups
 from longspan.llm.op10_simhash import simhash_groups
 from longspan.sources.stages import scratch_path
 
@@ -80,6 +81,11 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings of one label linked at a cosine of 0.93 or more, by cells."""
+    return embedding_groups(given(spark, sf_dir, "embeddings"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints and the groups linked at 2 or fewer differing bits."""
     found = simhash_groups(given(spark, sf_dir, "documents"))
@@ -145,6 +151,7 @@ QUERIES: dict[str, Query] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_secrets": op7_secrets,
     "op8_mix": op8_mix,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_simhash": op10_simhash,
 }
 ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL.strip(), "op6_decontaminate": OP6_SQL.strip()}
