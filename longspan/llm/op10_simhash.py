@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from longspan.llm.batches import slices, texts
 from longspan.llm.components import components, join_up
@@ -147,3 +147,17 @@ def simhash_groups(docs: DataFrame, distance: int = 2) -> DataFrame:
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = stage(rooted.join(names, "root").select("fingerprint", "component_id"), "named")
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def one_of_each(docs: DataFrame, distance: int = 2) -> DataFrame:
+    """The rows, as they are, of the smallest doc_id of each group; equal rows stay once.
+
+    Where no row of a group has a doc_id, all its different texts stay.
+    """
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
+    groups = simhash_groups(docs, distance)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("key")).distinct()
+    packed = docs.select(key.alias("key"), F.xxhash64("text").alias("digest"), F.struct("*").alias("row"))
+    place = F.row_number().over(W.partitionBy("key", "digest").orderBy("key"))
+    kept = packed.join(first, "key", "left_semi").withColumn("place", place).where("place = 1")
+    return kept.select("row.*")

@@ -139,24 +139,30 @@ def fit_profiles(docs: DataFrame, folds: int = 5, docs_per_language: int = 5000,
     return Profiles({k: [c for _, c in sorted(v)] for k, v in found.items()}, top)
 
 
-def language_id(docs: DataFrame, profiles: Profiles | None = None, folds: int = 5, carry: bool = False) -> DataFrame:
-    """doc_id, held_out, lang_pred and score for each row; with `carry`, the row's own columns and
-    `_lang_pred`, `_score` instead. Profiles are learned from the rows unless given."""
-    profiles = profiles or fit_profiles(docs, folds)
-    sent = docs.sparkSession.sparkContext.broadcast(profiles)
+def _predicted(rows: DataFrame, profiles: Profiles, keep: str, kind: str) -> DataFrame:
+    """The column `keep`, lang_pred and score of rows with the columns `keep` and text (binary)."""
+    sent = rows.sparkSession.sparkContext.broadcast(profiles)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            column = part.schema.get_field_index("text")
-            found = [sent.value.predict(t) for t in part.column(column).cast(pa.binary()).to_pylist()]
-            kept = [part.column(k) for k in range(part.num_columns)] if carry else [part.column(0)]
-            names = part.schema.names if carry else ["doc_id"]
-            columns = [*kept, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "_lang_pred", "_score"])
-
-    if carry:
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        return docs.mapInArrow(predict, f"{kinds}, _lang_pred string, _score double")
-    found = texts(docs).mapInArrow(predict, "doc_id bigint, _lang_pred string, _score double")
+            found = [sent.value.predict(t) for t in part.column("text").to_pylist()]
+            languages, scores = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
+            yield pa.RecordBatch.from_arrays([part.column(keep), languages, scores], [keep, "lang_pred", "score"])
+
+    return rows.mapInArrow(predict, f"{keep} {kind}, lang_pred string, score double")
+
+
+def language_id(docs: DataFrame, profiles: Profiles | None = None, folds: int = 5) -> DataFrame:
+    """doc_id, held_out, lang_pred and score for each row. Profiles are learned unless given."""
+    found = _predicted(texts(docs), profiles or fit_profiles(docs, folds), "doc_id", "bigint")
     held = F.coalesce(remainder("doc_id", folds) == 0, F.lit(False))
-    return found.select("doc_id", held.alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def in_known_language(docs: DataFrame, least_score: float = 0.2, profiles: Profiles | None = None, folds: int = 5) -> DataFrame:
+    """The rows, as they are, whose language is known with at least that score: a text that shares
+    hardly an n-gram with any profile is in none of the languages."""
+    packed = docs.select(F.struct("*").alias("row"), F.col("text").cast("binary").alias("text"))
+    kind = packed.schema["row"].dataType.simpleString()
+    found = _predicted(packed, profiles or fit_profiles(docs, folds), "row", kind)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("row.*")

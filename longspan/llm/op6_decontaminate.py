@@ -199,6 +199,14 @@ def decontaminate(
     )
 
 
+def without_benchmark(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+    """The rows, as they are, of documents that hold no window of the benchmark."""
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
+    found = decontaminate(docs, items, window).where("contaminated").select(key.alias("key")).distinct()
+    packed = docs.select(key.alias("key"), F.struct("*").alias("row"))
+    return packed.join(found, "key", "left_anti").select("row.*")
+
+
 def _matcher(docs: DataFrame, block: Block):
     sent = docs.sparkSession.sparkContext.broadcast(block)
 

@@ -178,5 +178,6 @@ def mixed(
 ) -> DataFrame:
     """The mix itself: each row as often as it is taken, with its own columns."""
     _, plans = mix_plan(docs.select("doc_id", "text", "source"), weights, share, most, seed)
-    found = _copies(_sized(docs, seed), plans).where("_copies > 0")
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    packed = _sized(docs.select("doc_id", "text", "source", F.struct("*").alias("row")), seed)
+    found = _copies(packed.select("row", "source", "_size", "_hash"), plans).where("_copies > 0")
+    return found.select("row", F.explode(F.sequence(F.lit(1), "_copies"))).select("row.*")

@@ -10,6 +10,7 @@ import public_tokenizers
 
 from longspan.llm.op1_line_dedup import line_dedup
 from longspan.llm.op2_language_id import language_id
+from longspan.llm.op3_suffix_dedup import suffix_dedup
 from longspan.llm.op4_token_ids import read_tokens, write_tokens
 from longspan.llm.op5_toxicity import toxicity
 from longspan.llm.op6_decontaminate import decontaminate
@@ -37,6 +38,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(given(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by a 200-byte string that also starts elsewhere, removed."""
+    found = suffix_dedup(given(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids in directly addressable code files, read back by document."""
     path = scratch_path(spark, "tokens")
@@ -146,6 +153,7 @@ from doc left join hit_word hw on hw.doc_id = doc.doc_id left join hit_item hi o
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_ids": op4_token_ids,
     "op5_toxicity": op5_toxicity,
     "op6_decontaminate": op6_decontaminate,
