@@ -10,9 +10,9 @@ where each document begins, and the levels. A block ends with the document that
 `block_ids` ids, so a block holds at most one document more than that. Blocks are named by (shard,
 block); a shard is what one write task wrote.
 
-Words are looked up in a bounded memory of encoded words. Only ASCII white space, and a comma or
-full stop after an ASCII letter or digit at a word's end, part the words; both always part tokens
-in this tokenizer, so the ids are those of the whole text.
+Words are looked up in a bounded memory of encoded words. ASCII white space parts words, and ASCII
+marks that close a word are parted from a letter or digit before them; both always part tokens in
+this tokenizer, so the ids are those of the whole text.
 
 Defined cases: a null or empty text has only the end id. Rows with one doc_id are written side by
 side, in the order of their texts; a null doc_id comes first. Other columns are ignored. An empty
@@ -22,10 +22,12 @@ table gives files without rows and an empty result.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -33,49 +35,97 @@ from longspan.llm.batches import slices, texts
 from longspan.sources.stages import load_table, save_table
 
 SAMPLE_BITS = 512
+#: Words kept in each of two generations.
 KNOWN_WORDS = 400_000
+CLOSING = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LEVEL = "struct<chunks: binary, more: binary, ranks: binary>"
 BLOCK = f"shard int, block int, first bigint, doc_ids array<bigint>, starts array<bigint>, levels array<{LEVEL}>"
 _encoders: dict[str, "Encoder"] = {}
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 for
+    itself, the others in order from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
 class Encoder:
-    """Encodes texts word by word, keeping what it knows."""
+    """Encodes texts word by word, keeping what it has met lately."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def parts(self, word: bytes) -> tuple[bytes, ...]:
+        """A word without its closing ASCII marks, and the marks, if a letter or digit parts them."""
+        base = word.rstrip(CLOSING)
+        if base and base != word and base.decode("utf-8", "replace").lower()[-1].isalnum():
+            return base, word[len(base) :]
+        return (word,)
 
     def learn(self, words: set[bytes]) -> None:
-        base: dict[bytes, bytes] = {}
-        parted: dict[bytes, tuple[bytes, ...]] = {}
+        parted = {}
         for word in words:
-            if len(word) > 1 and word[-1:] in b",." and word[-2:-1].isalnum():
-                parted[word] = (word[:-1], word[-1:])
+            if (ids := self.older.get(word)) is not None:
+                self.known[word] = ids
+            else:
+                parted[word] = self.parts(word)
+        rest = []
+        for part in {p for parts in parted.values() for p in parts}:
+            if part in self.known:
+                continue
+            if part in self.older:
+                self.known[part] = self.older[part]
+                continue
+            text = part.decode("utf-8", "replace")
+            # Lower-case Latin letters in composed form are one token run, which the model takes as it is.
+            if text.isalpha() and text.islower() and max(text) < "\u0250":
+                tokens = self.model.tokenize(text if part.isascii() else "".join(self.letters[b] for b in part))
+                self.known[part] = array("I", [t.id for t in tokens]).tobytes()
             else:
-                parted[word] = (word,)
-        new = [w for w in {w for parts in parted.values() for w in parts} if w not in self.known]
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        for word, encoding in zip(new, found):
-            base[word] = np.array(encoding.ids, "<u4").tobytes()
+                rest.append(part)
+        if rest:
+            self.known.update(zip(rest, self.whole([p.decode("utf-8", "replace") for p in rest])))
         for word, parts in parted.items():
-            self.known[word] = b"".join(base[p] if p in base else self.known[p] for p in parts)
-        self.known.update(base)
+            if len(parts) > 1:
+                self.known[word] = b"".join(self.known[p] for p in parts)
 
-    def encode(self, values: list[bytes | None]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers."""
+    def encode(self, values: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a binary array."""
         if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        # Lower case is the tokenizer's own, but for the marks it looks for in the raw text.
-        lots = [(v if b"<|" in v else v.lower()).split() if v else [] for v in values]
-        new = {w for words in lots for w in words if w not in self.known}
-        if new:
+            self.known, self.older = {}, self.known
+        # A text that may hold the tokenizer's own marks is encoded whole.
+        raw = pc.fill_null(pc.match_substring(values, b"<|"), False)
+        plain = pc.if_else(raw, pa.scalar(b"", pa.binary()), pc.fill_null(values, b""))
+        lots = pc.ascii_split_whitespace(pc.ascii_lower(plain.cast(pa.string(), safe=False)))
+        words = lots.flatten().cast(pa.binary()).dictionary_encode()
+        distinct, codes = words.dictionary.to_pylist(), words.indices.to_numpy()
+        if new := {w for w in distinct if w not in self.known}:
             self.learn(new)
-        known = self.known.__getitem__
-        return [b"".join(map(known, words)) for words in lots]
+        held = [self.known[w] for w in distinct]
+        sizes = np.array([len(h) // 4 for h in held], np.int64)
+        ends = np.cumsum(sizes)
+        each = sizes[codes]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        places = np.repeat((ends - sizes)[codes] - upto[:-1], each) + np.arange(upto[-1])
+        ids = np.frombuffer(b"".join(held), "<u4")[places]
+        bounds = upto[lots.offsets.to_numpy() - lots.offsets[0].as_py()]
+        found = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+        for k in np.flatnonzero(raw.to_numpy(zero_copy_only=False)):
+            found[k] = np.frombuffer(self.whole([values[int(k)].as_py().decode("utf-8", "replace")])[0], "<u4")
+        return found
 
 
 def encoder(path: str) -> Encoder:
@@ -131,17 +181,17 @@ def ids_at(levels: list[dict[str, bytes]], begin: int, end: int) -> np.ndarray:
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block_ids: int = 1 << 18) -> None:
     """Encode every text, append the end id, and write blocks in ascending doc_id order."""
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], np.uint32)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard = encoder(tokenizer).encode, TaskContext.get().partitionId()
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         doc_ids: list[int | None] = []
         starts: list[int] = []
         block = first = size = 0
 
         def row() -> pa.RecordBatch:
-            levels = levels_of(np.frombuffer(b"".join(held), "<u4"))
+            levels = levels_of(np.concatenate(held))
             values = {"shard": [shard], "block": [block], "first": [first], "doc_ids": [doc_ids], "starts": [starts], "levels": [levels]}
             kinds = pa.schema(
                 [
@@ -152,12 +202,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, bl
             )
             return pa.RecordBatch.from_pydict(values, kinds)
 
-        for part in slices(batches):
-            for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
+        for part in slices(batches, 1024):
+            for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1))):
                 doc_ids.append(doc)
                 starts.append(size)
                 held += (ids, end)
-                size += len(ids) // 4 + 1
+                size += len(ids) + 1
                 if size >= block_ids:
                     yield row()
                     held, doc_ids, starts = [], [], []
