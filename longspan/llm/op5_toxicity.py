@@ -37,6 +37,8 @@ from longspan.sources.stages import stage
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6, 7)
 MARKS = re.compile(r"[!?]{2,}|\*{3,}")
+#: Least correlation within classes that counts as a dependence.
+TIED = 0.5
 PATTERNS = ("<capitals>", "<marks>", "<again>")
 
 
@@ -69,7 +71,7 @@ def signs(text: bytes | None) -> set[str]:
     return found
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 3) -> np.ndarray:
+def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 2) -> np.ndarray:
     """Posterior of the toxic class for each row of votes.
 
     `start` gives the labels that the rates start from. Each round estimates the voters' rates in
@@ -87,6 +89,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 3) -> np.nda
             spread += (off * w[:, None]).T @ off
             scale += (off * off * w[:, None]).sum(0)
         tied = np.clip(spread / np.sqrt(np.outer(scale, scale) + 1e-12), 0.0, 1.0)
+        tied[tied < TIED] = 0.0
         np.fill_diagonal(tied, 0.0)
         said = np.log(rate[1] / rate[0])
         silent = np.log((1 - rate[1]) / (1 - rate[0])) / (1 + tied.sum(0))
