@@ -142,20 +142,32 @@ def ever_flag(events: DataFrame, codes: DataFrame, name: str = "ever_treated") -
     )
 
 
-def site_summary(
-    first: DataFrame, ever: DataFrame, patients: DataFrame, site: str, reference: date
+def anchor_and_flag(
+    events: DataFrame, anchor: str, codes: DataFrame, name: str = "ever_treated"
 ) -> DataFrame:
-    """First dates and flags, full-joined, kept for the listed patients, tagged with the site."""
-    both = first.join(ever, "patient_num", "full")
+    """First anchor date and `ever_flag` per patient, in one pass over the events."""
+    listed = codes.select("feature_id").withColumn("_listed", F.lit(True))
+    own = F.min(F.when(F.col("feature_id") == anchor, F.col("start_date")))
     return (
-        both.join(patients, "patient_num", "right")
-        .withColumns(
-            {
-                "age_at_diag": C.years_between(F.col("first_date"), F.col("birth_date")),
-                "disease_duration": C.years_between(F.lit(reference), F.col("first_date")),
-                "site": F.lit(site),
-            }
-        )
+        lookup_join(events.select("patient_num", "start_date", "feature_id"), listed, ["feature_id"], "left")
+        .groupBy("patient_num")
+        .agg(own.alias("first_date"), F.bool_or(F.coalesce("_listed", F.lit(False))).alias("_any"))
+        .withColumn(name, F.when(F.col("_any"), "yes").otherwise("no"))
+        .drop("_any")
+    )
+
+
+def site_summary(found: DataFrame, patients: DataFrame) -> DataFrame:
+    """First dates and flags for the listed patients of all sites.
+
+    `found` is from `anchor_and_flag`, `patients(patient_num, birth_date, site, reference)` has
+    each site's reference date.
+    """
+    return found.join(patients, "patient_num", "right").withColumns(
+        {
+            "age_at_diag": C.years_between(F.col("first_date"), F.col("birth_date")),
+            "disease_duration": C.years_between(F.col("reference"), F.col("first_date")),
+        }
     )
 
 

@@ -198,9 +198,11 @@ def positive_pmi(
         cells = with_marginals(cells, kept)
     # One row per period.
     totals = kept.groupBy("period").agg(F.sum("r").alias("_total"))
-    pmi = F.log(F.col("n") * F.col("_total") / (F.col("r_i") * F.col("r_j")))
+    # Logs, as products of counts pass what a bigint holds. What rounding leaves of a ratio of one
+    # is not positive.
+    pmi = F.log("n") + F.log("_total") - F.log("r_i") - F.log("r_j")
     return (
         cells.join(F.broadcast(totals), "period")
         .select("period", "i", "j", pmi.alias("pmi"))
-        .where(F.col("pmi") > 0)
+        .where(F.col("pmi") > 1e-12)
     )

@@ -32,7 +32,7 @@ def leading_vectors(matrix: np.ndarray, dims: int) -> np.ndarray:
 
 
 def embed_small(matrix: DataFrame, dims: int = 100, value: str = "pmi") -> DataFrame:
-    """One dense solve per period; callers check the vocabulary size first (see `embed`)."""
+    """One dense solve per period, for small vocabularies: what the tests hold `embed` against."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         codes, place = np.unique(pdf["i"].to_numpy(), return_inverse=True)
@@ -154,7 +154,7 @@ def _times(matrix: DataFrame, rows: DataFrame, width: int, value: str) -> DataFr
     )
 
 
-def embed_large(
+def embed_blocks(
     matrix: DataFrame,
     dims: int = 100,
     block: int = 32,
@@ -163,7 +163,7 @@ def embed_large(
     tolerance: float = 1e-6,
     max_width: int | None = None,
 ) -> DataFrame:
-    """Largest positive eigenpairs by block Lanczos, for vocabularies too big for one task.
+    """Largest positive eigenpairs by block Lanczos.
 
     Row vectors stay in Spark; only matrices as wide as the basis reach the driver. Each step
     multiplies the newest block by the matrix, takes the basis out of the product twice, and
@@ -225,16 +225,9 @@ def embed_large(
         rows = moved
 
 
-def embed(
-    matrix: DataFrame, dims: int = 100, small_limit: int = 2000, value: str = "pmi"
-) -> DataFrame:
-    """Embedding rows per period; the vocabulary size decides the way it is solved."""
-    cells = stage(matrix, "pmi")
-    sizes = cells.groupBy("period").agg(F.count_distinct("i").alias("d"))
-    largest = sizes.agg(F.max("d")).first()[0] or 0
-    if largest <= small_limit:
-        return embed_small(cells, dims, value)
-    return embed_large(cells, dims, value=value)
+def embed(matrix: DataFrame, dims: int = 100, value: str = "pmi") -> DataFrame:
+    """Embedding rows per period, by the one solver that holds for every vocabulary."""
+    return embed_blocks(matrix, dims, value=value)
 
 
 def cosine_to_anchor(vectors: DataFrame, key: str, anchor, vec: str = "vec") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -98,11 +99,11 @@ def area_metrics(df: DataFrame, **names) -> DataFrame:
 def area_rows(ranked: DataFrame) -> DataFrame:
     at_or_above_pos = F.col("pos_total") - F.col("pos_before")
     at_or_above = at_or_above_pos + F.col("neg_total") - F.col("neg_before")
-    wins = F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)
+    # In double, as products of counts pass what a bigint holds.
+    wins = F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / 2)
+    pairs = F.max(F.col("pos_total").cast("double") * F.col("neg_total"))
     return ranked.groupBy("method").agg(
-        (F.sum(wins) / F.nullif(F.max(F.col("pos_total") * F.col("neg_total")), F.lit(0))).alias(
-            "auroc"
-        ),
+        (F.sum(wins) / F.nullif(pairs, F.lit(0.0))).alias("auroc"),
         F.sum(
             F.try_divide(F.col("pos"), F.col("pos_total")) * at_or_above_pos / at_or_above
         ).alias("auprc"),
@@ -200,29 +201,36 @@ def phenotype_list(
     )
 
 
-def case_only_bootstrap(
+def poisson_steps() -> list[float]:
+    """Distribution function of a Poisson(1) count at 0, 1, ... up to where it is 1 in double."""
+    steps, term, total = [], math.exp(-1), 0.0
+    while total + term > total:
+        total += term
+        steps.append(total)
+        term /= len(steps)
+    return steps
+
+
+def bootstrap_areas(
     df: DataFrame, key: str, rounds: int = 50, seed: int = 11, **names
 ) -> DataFrame:
     """Mean and spread of AUROC over resamples with hashed Poisson(1) weights.
 
-    A row's weight in a round comes from a hash of its key and the round, so resamples repeat
-    under any partitioning. Resamples are extra groups of the same job.
+    A row's weight in a round comes from the md5 of its key, the round and the seed, so resamples
+    repeat under any partitioning and in any engine. Resamples are extra groups of the same job.
     """
     method, label, score = (
         names.get(k, d) for k, d in (("method", "method"), ("label", "y"), ("score", "score"))
     )
     known = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
     draws = known.withColumn("_round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    unit = F.pmod(F.xxhash64(F.col(key), F.col("_round"), F.lit(seed)), F.lit(2**52)) / F.lit(
-        float(2**52)
-    )
-    weight, term, total = F.lit(0), 0.36787944117144233, 0.0
-    for k in range(1, 9):
-        total += term
-        weight = weight + F.when(unit >= F.lit(total), 1).otherwise(0)
-        term /= k
+    code = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("_round"), F.lit(seed)).cast("binary"))
+    unit = F.conv(F.substring(code, 1, 13), 16, 10).cast("bigint") / F.lit(float(2**52))
+    steps = F.array(*[F.lit(s) for s in poisson_steps()])
+    weight = F.size(F.filter(steps, lambda s: s <= F.col("_unit")))
     grouped = (
-        draws.withColumn("_w", weight)
+        draws.withColumn("_unit", unit)
+        .withColumn("_w", weight)
         .where(F.col("_w") > 0)
         .groupBy(
             F.concat_ws("|", F.col(method), F.col("_round").cast("string")).alias("method"),

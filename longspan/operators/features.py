@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from longspan.functions import columns as C
-from longspan.operators.joins import lookup_join, salted_join
+from longspan.operators.joins import lookup_join
 from longspan.operators.ranking import dense_ids
 from longspan.sources.stages import stage
 
@@ -48,6 +48,17 @@ def feature_set(lists: Sequence[DataFrame], drop: Sequence[str]) -> DataFrame:
     return out.distinct().where(C.not_in_set(F.col("feature_id"), drop))
 
 
+def flagged(curated: DataFrame, kind: str, most: int = 2_000) -> list[str]:
+    """Flagged features of one kind, sorted. They become columns, so the list must be short."""
+    rows = (
+        curated.where((F.col("flag") == 1) & (F.col("kind") == kind) & F.col("feature_id").isNotNull())
+        .select("feature_id").distinct().limit(most + 1).collect()
+    )
+    if len(rows) > most:
+        raise ValueError(f"more than {most} flagged features of kind {kind}")
+    return sorted(r.feature_id for r in rows)
+
+
 def wide_matrix(
     events: DataFrame, main_code: str, main_concept: str, features: Sequence[str]
 ) -> DataFrame:
@@ -81,14 +92,18 @@ def harmonise(events: DataFrame) -> DataFrame:
 
 
 def keep_patients(events: DataFrame, patients: DataFrame) -> DataFrame:
-    """Events of listed patients; a patient with very many events is split over tasks."""
+    """Events of listed patients.
+
+    Both sides are plain shuffles, so Spark's adaptive skew join splits a patient with very many
+    events as it runs, without a pass of its own over the events.
+    """
     ids = patients.select("patient_num").distinct()
-    return salted_join(events, ids, ["patient_num"], "left_semi")
+    return events.join(ids, "patient_num", "left_semi")
 
 
 def drop_patients(events: DataFrame, patients: DataFrame) -> DataFrame:
     ids = patients.select("patient_num").distinct()
-    return salted_join(events, ids, ["patient_num"], "left_anti")
+    return events.join(ids, "patient_num", "left_anti")
 
 
 def pseudo_events(monthly: DataFrame, starts: DataFrame, anchor: str) -> DataFrame:
@@ -119,7 +134,7 @@ def pseudo_events(monthly: DataFrame, starts: DataFrame, anchor: str) -> DataFra
         F.col("_k") / F.col("n") * 30
     ).cast("int")
     return (
-        salted_join(runs, origin, ["patient_num"])
+        runs.join(origin, "patient_num")
         .withColumn("_k", F.explode(within))
         .withColumn("start_date", F.date_add("_start", days.cast("int")))
         .select(
@@ -131,7 +146,9 @@ def pseudo_events(monthly: DataFrame, starts: DataFrame, anchor: str) -> DataFra
 def vocabulary(events: DataFrame, curated: DataFrame | None = None, least: int = 100) -> DataFrame:
     """Codes that are curated or have more than `least` events, with counts and dense ids."""
     counts = feature_counts(events)
-    if curated is not None:
+    if curated is None:
+        counts = counts.where(F.col("n") > least)
+    else:
         listed = curated.select("feature_id").distinct().withColumn("_listed", F.lit(True))
         counts = counts.join(listed, "feature_id", "left").where(
             F.coalesce("_listed", F.lit(False)) | (F.col("n") > least)
@@ -170,12 +187,15 @@ def class_events(events: DataFrame, codes: DataFrame) -> DataFrame:
     `codes(feature_id, treatment_class)`; a drug's first listed class counts.
     """
     classes = codes.select("feature_id", "treatment_class").where("treatment_class is not null")
-    copies = (
-        lookup_join(events, classes, ["feature_id"], "inner")
-        .drop("feature_id")
-        .withColumnRenamed("treatment_class", "feature_id")
+    both = F.when(F.col("treatment_class").isNull(), F.array("feature_id")).otherwise(
+        F.array("feature_id", "treatment_class")
+    )
+    # One pass: the row and its copy come out of one lookup.
+    return (
+        lookup_join(events, classes, ["feature_id"], "left")
+        .withColumn("feature_id", F.explode(both))
+        .select(*events.columns)
     )
-    return events.unionByName(copies)
 
 
 def yearly_prevalence(

@@ -118,7 +118,7 @@ def binned(df: DataFrame, key: str, x: str, weight: str, bins: int = BINS):
 
 def fit_normals(
     df: DataFrame, key: str = "method", x: str = "x", weight: str = "w",
-    rounds: int = 100, tolerance: float = 1e-6,
+    rounds: int = 1000, tolerance: float = 1e-6,
 ) -> dict[str, NormalPair]:
     """All keys' fits at once; one aggregate over the table per round."""
     pairs = {name: fit_normal_bins(*points) for name, points in binned(df, key, x, weight).items()}
@@ -126,15 +126,13 @@ def fit_normals(
     for _ in range(rounds):
         if not open_keys:
             break
-        rows = ", ".join(
-            f"('{name}', {math.log(p.share / (1 - p.share))!r}D, {(p.high - p.low) / p.variance!r}D,"
-            f" {(p.high + p.low) / 2!r}D)"
+        rows = [
+            (name, math.log(p.share / (1 - p.share)), (p.high - p.low) / p.variance, (p.high + p.low) / 2)
             for name, p in sorted(pairs.items())
             if name in open_keys
-        )
-        state = df.sparkSession.sql(
-            f"select * from values {rows} as t({key}, _odds, _gain, _middle)"
-        )
+        ]
+        kinds = f"`{key}` string, _odds double, _gain double, _middle double"
+        state = df.sparkSession.createDataFrame(rows, kinds)
         post = 1 / (1 + F.exp(-(F.col("_odds") + F.col("_gain") * (F.col(x) - F.col("_middle")))))
         w, v = F.col(weight), F.col(x)
         sums = (
@@ -162,6 +160,8 @@ def fit_normals(
             pairs[row[key]] = new
             if moved < tolerance:
                 open_keys.discard(row[key])
+    if open_keys:
+        raise RuntimeError(f"no convergence in {rounds} rounds: {sorted(open_keys)}")
     return pairs
 
 
@@ -197,16 +197,16 @@ def fit_poisson_cells(
 
 def fit_poissons(
     df: DataFrame, key: str = "method", y: str = "y", exposure: str = "e", weight: str = "w",
-    rounds: int = 100, tolerance: float = 1e-6,
+    rounds: int = 1000, tolerance: float = 1e-6,
 ) -> dict[str, PoissonPair]:
     """Counts with exposure, all keys at once.
 
-    The start comes from means over cells of the two log values, at most 256 x 256 per key.
+    The start comes from means over cells of the two log values, 16 to each power of e.
     """
     w, count, expo = F.col(weight), F.col(y), F.col(exposure)
 
     def cell(value: Column) -> Column:
-        return F.least(F.floor(F.log1p(value) * 16), F.lit(255))
+        return F.floor(F.log1p(value) * 16)
 
     cells = (
         df.groupBy(key, cell(count).alias("_cy"), cell(expo).alias("_ce"))
@@ -225,13 +225,13 @@ def fit_poissons(
     for _ in range(rounds):
         if not open_keys:
             break
-        rows = ", ".join(
-            f"('{name}', {math.log(p.share / (1 - p.share))!r}D, {math.log(p.high / p.low)!r}D,"
-            f" {p.high - p.low!r}D)"
+        rows = [
+            (name, math.log(p.share / (1 - p.share)), math.log(p.high / p.low), p.high - p.low)
             for name, p in sorted(pairs.items())
             if name in open_keys
-        )
-        state = df.sparkSession.sql(f"select * from values {rows} as t({key}, _odds, _ratio, _gap)")
+        ]
+        kinds = f"`{key}` string, _odds double, _ratio double, _gap double"
+        state = df.sparkSession.createDataFrame(rows, kinds)
         logit = F.col("_odds") + count * F.col("_ratio") - expo * F.col("_gap")
         sums = (
             df.join(F.broadcast(state), key)
@@ -256,6 +256,8 @@ def fit_poissons(
             pairs[row[key]] = new
             if moved < tolerance:
                 open_keys.discard(row[key])
+    if open_keys:
+        raise RuntimeError(f"no convergence in {rounds} rounds: {sorted(open_keys)}")
     return pairs
 
 

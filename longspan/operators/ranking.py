@@ -13,12 +13,11 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from longspan.sources.stages import stage
 
-HASH_BUCKET_BITS = 16
+HASH_BUCKET_DIGITS = 4
 
 
 def bucket_count(df: DataFrame) -> int:
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(partitions, 2000))
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def running_sums(
@@ -114,16 +113,16 @@ def quantiles(
 def hash_sample(df: DataFrame, key: str, seed: int, fraction: float, name: str) -> DataFrame:
     """Mark rint(fraction * rows) rows as picked, in column `name`.
 
-    Rows are ranked by a hash of a unique key, so the pick depends on the key and seed only and
-    not on partitions or run order. The hash's leading bits form even buckets; their counts tell
-    in which bucket the quota runs out, only that bucket is sorted, and the rows themselves are
-    marked where they are by comparing with the last picked hash.
+    Rows are ranked by the md5 of a unique key and the seed, so the pick depends on these only and
+    not on partitions, run order or engine. The leading digits form even buckets; their counts
+    tell in which bucket the quota runs out, only that bucket is sorted, and the rows themselves
+    are marked where they are by comparing with the last picked hash.
     """
-    code = F.xxhash64(F.col(key), F.lit(seed))
-    bucket = F.shiftrightunsigned(code, 64 - HASH_BUCKET_BITS).cast("int")
+    code = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(seed)).cast("binary"))
+    bucket = F.substring(code, 1, HASH_BUCKET_DIGITS)
     hashed = df.select(code.alias("_hash"), F.col(key).alias("_key"), bucket.alias("_bucket"))
     counts = hashed.groupBy("_bucket").agg(F.count("*").alias("_rows"))
-    # At most 2**HASH_BUCKET_BITS rows, so one window over all of them is bounded.
+    # At most 16**HASH_BUCKET_DIGITS rows, so one window over all of them is bounded.
     running = F.sum("_rows").over(W.orderBy("_bucket"))
     quota = F.rint(F.sum("_rows").over(W.partitionBy()) * F.lit(float(fraction)))
     last = (

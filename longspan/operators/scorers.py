@@ -338,7 +338,7 @@ def raw_products(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
 # --- covariance score: coefficients from covariances alone --------------------------------------
 
 
-def lasso(gram: np.ndarray, cross: np.ndarray, penalty: float, rounds: int = 2000) -> np.ndarray:
+def lasso(gram: np.ndarray, cross: np.ndarray, penalty: float, rounds: int = 100_000) -> np.ndarray:
     """Penalised coefficients from a covariance matrix by cyclic soft-thresholding."""
     beta = np.zeros(len(cross))
     for _ in range(rounds):
@@ -351,8 +351,8 @@ def lasso(gram: np.ndarray, cross: np.ndarray, penalty: float, rounds: int = 200
             moved = max(moved, abs(new - beta[k]))
             beta[k] = new
         if moved < 1e-10:
-            break
-    return beta
+            return beta
+    raise RuntimeError(f"no convergence in {rounds} rounds")
 
 
 def without(cov: np.ndarray, at: int) -> np.ndarray:

@@ -12,6 +12,31 @@ from longspan.operators.embed import leading_vectors
 COSINE_SCHEMA = "period int, patient_num bigint, feature_id string, cos double"
 
 
+def neighbour_sums(
+    day: np.ndarray, place: np.ndarray, m: np.ndarray, size: int, window: int
+) -> np.ndarray:
+    """Row sums of the symmetric co-occurrence table, without the table.
+
+    A record meets the records of the `window` days before and after it; differences of running
+    sums over days give their number, and those over a code's own days the diagonal, which the
+    table holds once.
+    """
+
+    def met(key: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(key, kind="stable")
+        running = np.concatenate([[0], np.cumsum(m[order])])
+        keys = key[order]
+        before = running[np.searchsorted(keys, key, "left")]
+        before = before - running[np.searchsorted(keys, np.maximum(key - window, floor), "left")]
+        after = running[np.searchsorted(keys, key + window, "right")]
+        return before, after - running[np.searchsorted(keys, key, "right")]
+
+    earlier, later = met(day, np.full(len(day), day.min()))
+    span = int(day.max() - day.min()) + window + 1
+    own, _ = met(place * span + day - day.min(), place * span)
+    return np.bincount(place, m * (earlier + later - own), size)
+
+
 def _anchor_cosines(
     day: np.ndarray, code: np.ndarray, m: np.ndarray, anchor: str, window: int
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -20,15 +45,17 @@ def _anchor_cosines(
     codes, place = np.unique(code, return_inverse=True)
     if anchor not in codes:
         return none
-    later = np.ones(len(day), dtype=bool)
-    blocks = lagged_products(day, place, m, later, len(codes), window)
+    kept = neighbour_sums(day, place, m, len(codes), window) > 5
+    if kept.sum() < 5 or not kept[np.searchsorted(codes, anchor)]:
+        return none
+    # Only codes that stay enter the dense table.
+    codes, rows = codes[kept], kept[place]
+    place = (np.cumsum(kept) - 1)[place[rows]]
+    later = np.ones(len(place), dtype=bool)
+    blocks = lagged_products(day[rows], place, m[rows], later, len(codes), window)
     pairs = np.vstack([block for _, block in blocks])
     both = pairs + pairs.T
     np.fill_diagonal(both, np.diag(pairs))
-    kept = both.sum(axis=1) > 5
-    if kept.sum() < 5 or not kept[np.searchsorted(codes, anchor)]:
-        return none
-    both, codes = both[np.ix_(kept, kept)], codes[kept]
     sums = both.sum(axis=1)
     live = sums > 0
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -54,14 +81,20 @@ def patient_cosines(
     patient's (day, code, count) rows of one year, at most 366 rows per code, whatever the number
     of records. A patient without a usable vector gives one row with null code and cosine.
     """
-    # The record count is a window over the grouping that the solve needs anyway.
+    # Windows over the grouping that the solve needs anyway. Who lacks the anchor can have no
+    # cosine and never reaches Python.
     whole = W.partitionBy("period", "patient_num")
     rows = (
         daily_counts(events)
         .withColumn("_records", F.sum("m").over(whole))
         .where(F.col("_records") > least_records)
         .drop("_records")
+        .withColumn("_anchor", F.bool_or(F.col("code") == anchor).over(whole))
+    )
+    without = rows.where(~F.col("_anchor")).select("period", "patient_num").distinct().select(
+        "period", "patient_num", F.lit(None).cast("string").alias("feature_id"), F.lit(None).cast("double").alias("cos")
     )
+    rows = rows.where("_anchor").drop("_anchor")
 
     def solve(key, table):
         codes, values = _anchor_cosines(
@@ -83,7 +116,7 @@ def patient_cosines(
             }
         )
 
-    return rows.groupBy("period", "patient_num").applyInArrow(solve, COSINE_SCHEMA)
+    return rows.groupBy("period", "patient_num").applyInArrow(solve, COSINE_SCHEMA).unionByName(without)
 
 
 def cosine_variance(cosines: DataFrame, events: DataFrame) -> DataFrame:

@@ -12,11 +12,9 @@ from longspan.operators.features import patient_counts
 from longspan.operators.joins import first_per_key, lookup_join
 from longspan.plans.base import Inputs, query, rounded
 from longspan.sources import files
-from longspan.sources.stages import load_table, save_table, scratch_path
+from longspan.sources.stages import load_table, save_table, scratch_path, stage
 from longspan.sources.views import ANCHOR, CONCEPT
 
-YEARS = range(1990, 2004)
-
 RACE_SQL = """
     case when race_title is null or race_title in ('OTHER', 'UNREPORTED', 'NOT SPECIFIED',
            'CHOSE NOT TO DISCLOSE RACE', 'Unknown or Not Reported',
@@ -43,8 +41,10 @@ def scan_multi_union(spark, sf_dir):
     """Year files written as text, read back from a generated list of which some are missing."""
     data = Inputs(spark, sf_dir)
     path = scratch_path(spark, "years")
-    files.write_csv(data.ehr.withColumn("year", F.year("start_date")), path, ["year"])
-    names = [f"{path}/year={y}" for y in YEARS]
+    dated = data.ehr.withColumn("year", F.year("start_date"))
+    files.write_csv(dated, path, ["year"])
+    first, last = dated.agg(F.min("year"), F.max("year")).first()
+    names = [f"{path}/year={y}" for y in range(first - 3, last + 4)]
     events = files.with_file_year(
         files.read_batches(spark, names, files.EVENT_SCHEMA), "file_year"
     )
@@ -308,9 +308,7 @@ def ever_flag(spark, sf_dir):
     return cohort.ever_flag(data.ehr, data.drug)
 
 
-@query(
-    "site_summary_join",
-    """
+SITES_SQL = """
     with births as (select patient_num, try_cast(birth_text as date) as birth_date from pat),
     firsts as (select patient_num, min(start_date) as first_date from ehr
                where feature_id = 'PheCode:335' group by 1),
@@ -327,30 +325,83 @@ def ever_flag(spark, sf_dir):
     select patient_num, site, first_date, ever_treated,
       round(date_diff('day', birth_date, first_date) / 365.25, 6) as age_at_diag,
       round(date_diff('day', first_date, ref) / 365.25, 6) as disease_duration
-    from joined
-    """,
+    from joined"""
+
+
+@query("site_summary_join", SITES_SQL, ("ehr", "pat", "drug"))
+def site_summary_join(spark, sf_dir):
+    return rounded(both_sites(Inputs(spark, sf_dir)), "age_at_diag", "disease_duration")
+
+
+def both_sites(data: Inputs):
+    """First main-code date, age then, duration and ever-treated flag of both sites' patients."""
+    odd = F.col("patient_num") % 2 == 1
+    patients = data.pat.select(
+        "patient_num",
+        C.parse_date(F.col("birth_text"), "yyyy-MM-dd").alias("birth_date"),
+        F.when(odd, "A").otherwise("B").alias("site"),
+        F.when(odd, F.lit(date(2022, 11, 30))).otherwise(F.lit(date(2023, 1, 31))).alias("reference"),
+    )
+    found = cohort.anchor_and_flag(data.ehr, ANCHOR, data.drug)
+    return cohort.site_summary(found, patients).select(
+        "patient_num", "site", "first_date", "ever_treated", "age_at_diag", "disease_duration"
+    )
+
+
+SITE_NUMBERS = ["age_at_diag", "disease_duration"]
+
+
+def site_table_sql(site: str, where: str) -> str:
+    return f"""
+      select '{site}' as site, variable, null as level, count(value) as n, count(*) - count(value) as missing,
+        round(avg(value), 6) as mean, round(stddev_samp(value), 6) as sd, null as percent
+      from numbers {where} group by variable
+      union all
+      select '{site}', 'ever_treated', ever_treated, count(*), (select count(*) - count(ever_treated) from s {where}),
+        null, null, round(count(*) * 100.0 / (select count(ever_treated) from s {where}), 6)
+      from s {where} {'and' if where else 'where'} ever_treated is not null group by ever_treated"""
+
+
+@query(
+    "table_one_sites",
+    f"with s as ({SITES_SQL}), numbers as ("
+    + " union all ".join(f"select site, '{c}' as variable, {c} as value from s" for c in SITE_NUMBERS)
+    + ")"
+    + " union all ".join(
+        [site_table_sql("all", "")] + [site_table_sql(x, f"where site = '{x}'") for x in "AB"]
+    ),
     ("ehr", "pat", "drug"),
 )
-def site_summary_join(spark, sf_dir):
-    data = Inputs(spark, sf_dir)
-    births = data.pat.select(
-        "patient_num", C.parse_date(F.col("birth_text"), "yyyy-MM-dd").alias("birth_date")
+def table_one_sites(spark, sf_dir):
+    """Age at diagnosis, duration and treatment of each site's patients and of both together."""
+    rows = stage(rounded(both_sites(Inputs(spark, sf_dir)), *SITE_NUMBERS), "sites")
+    wanted = [*SITE_NUMBERS, "ever_treated"]
+    tables = [
+        summary.table_one(part, wanted, ["ever_treated"]).withColumn("site", F.lit(name))
+        for name, part in [("all", rows)] + [(x, rows.where(F.col("site") == x)) for x in "AB"]
+    ]
+    out = tables[0].unionByName(tables[1]).unionByName(tables[2])
+    return rounded(out, "mean", "sd", "percent")
+
+
+@query(
+    "recode_site_levels",
+    f"""
+    select patient_num, {RACE_SQL} as race,
+      case when ethnicity_title is null or ethnicity_title in ('NOT SPECIFIED',
+        'UNREPORTED/CHOSE NOT TO DISCLOSE', 'UNREPORTED', 'CHOSE NOT TO DISCLOSE') then 'unknown'
+        else ethnicity_title end as ethnicity
+    from pat
+    """,
+    ("pat",),
+)
+def recode_site_levels(spark, sf_dir):
+    """Race and ethnicity titles of a site under the common levels."""
+    return Inputs(spark, sf_dir).pat.select(
+        "patient_num",
+        cohort.recode_race(F.col("race_title")).alias("race"),
+        cohort.recode_ethnicity(F.col("ethnicity_title")).alias("ethnicity"),
     )
-    sites = []
-    for site, odd, reference in (("A", 1, date(2022, 11, 30)), ("B", 0, date(2023, 1, 31))):
-        mine = F.col("patient_num") % 2 == odd
-        events = data.ehr.where(mine)
-        sites.append(
-            cohort.site_summary(
-                cohort.first_anchor(events, ANCHOR),
-                cohort.ever_flag(events, data.drug),
-                births.where(mine),
-                site,
-                reference,
-            )
-        )
-    out = sites[0].unionByName(sites[1]).drop("birth_date")
-    return rounded(out, "age_at_diag", "disease_duration")
 
 
 @query(

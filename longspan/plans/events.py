@@ -15,10 +15,9 @@ COUNTS_SQL = """
       cast(count_if(feature_id in ('PheCode:335', 'C0026769')) as bigint) as code_concept
     from ehr group by 1"""
 
-# The columns of the wide matrix: five codes of each namespace.
-WIDE_FEATURES = [
-    f"{space}:{k}" for space in ("PheCode", "RXNORM", "LOINC", "CCS-PCS") for k in range(1, 6)
-]
+# The curated features of the given tables, for the SQL side; Spark reads them from the table.
+CODED = [f"{space}:{k}" for space in ("PheCode", "RXNORM", "CCS-PCS") for k in range(1, 26)]
+CONCEPTS = [f"C00000{k}" for k in range(10, 26)]
 
 CARRIED = ["RXNORM:1", "RXNORM:2"]
 
@@ -27,8 +26,13 @@ def counts(data: Inputs):
     return features.patient_counts(data.ehr, ANCHOR, CONCEPT)
 
 
-def wide(data: Inputs):
-    return features.wide_matrix(data.ehr, ANCHOR, CONCEPT, WIDE_FEATURES)
+def curated(data: Inputs) -> tuple[list[str], list[str]]:
+    """Flagged coded features and concepts."""
+    return features.flagged(data.curated, "coded"), features.flagged(data.curated, "concept")
+
+
+def wide(data: Inputs, chosen: list[str]):
+    return features.wide_matrix(data.ehr, ANCHOR, CONCEPT, chosen)
 
 
 @query("patient_counts", COUNTS_SQL, ("ehr",))
@@ -57,14 +61,16 @@ def feature_sets(spark, sf_dir):
 @query(
     "wide_matrix",
     f"with c as ({COUNTS_SQL}), w as (select patient_num, "
-    + ", ".join(f"cast(count_if(feature_id = '{f}') as bigint) as \"{f}\"" for f in WIDE_FEATURES)
+    + ", ".join(f"cast(count_if(feature_id = '{f}') as bigint) as \"{f}\"" for f in CODED + CONCEPTS)
     + " from ehr group by 1) select c.*, "
-    + ", ".join(f'w."{f}"' for f in WIDE_FEATURES)
+    + ", ".join(f'w."{f}"' for f in CODED + CONCEPTS)
     + " from c join w on c.patient_num = w.patient_num",
     ("ehr",),
 )
 def wide_matrix(spark, sf_dir):
-    return wide(Inputs(spark, sf_dir))
+    data = Inputs(spark, sf_dir)
+    coded, concepts = curated(data)
+    return wide(data, coded + concepts)
 
 
 @query(
@@ -124,8 +130,11 @@ HARMONISED_SQL = """
     ("ehr", "pe", "reg"),
 )
 def harmonise_codes(spark, sf_dir):
+    return united_sites(Inputs(spark, sf_dir))
+
+
+def united_sites(data: Inputs):
     """Two sites' events, one kept by a patient list and one by exclusion, under common codes."""
-    data = Inputs(spark, sf_dir)
     site = F.col("patient_num") % 2
     first = features.keep_patients(data.ehr.where(site == 1), data.pe)
     second = features.drop_patients(data.ehr.where(site == 0), data.reg)
@@ -226,7 +235,7 @@ def carry_forward(spark, sf_dir):
 )
 def class_features(spark, sf_dir):
     data = Inputs(spark, sf_dir)
-    return features.vocabulary(features.class_events(data.ehr, data.drug))
+    return features.vocabulary(features.class_events(data.ehr, data.drug), least=0)
 
 
 PREVALENCE_SQL = """
@@ -242,12 +251,11 @@ PREVALENCE_SQL = """
     f"""
     with p as ({PREVALENCE_SQL})
     select year, feature_id, n, npe, round(freq, 6) as freq, totalcount from p
-    where year between 1995 and 2000
     """,
     ("ehr",),
 )
 def yearly_prevalence(spark, sf_dir):
-    return rounded(features.yearly_prevalence(Inputs(spark, sf_dir).ehr, 1995, 2000), "freq")
+    return rounded(features.yearly_prevalence(Inputs(spark, sf_dir).ehr), "freq")
 
 
 @query(

@@ -6,12 +6,11 @@ from pyspark.sql import functions as F
 
 from longspan.operators import cooccur, embed, features, trend, uncertainty
 from longspan.plans.base import Inputs, query, rounded
-from longspan.plans.events import CARRIED, PREVALENCE_SQL
-from longspan.sources.stages import stage
+from longspan.plans.events import CARRIED, HARMONISED_SQL, CARRIED_SQL, PREVALENCE_SQL, united_sites
+from longspan.sources import files
+from longspan.sources.stages import scratch_path, stage
 from longspan.sources.views import ANCHOR
 
-YEARS = list(range(1995, 2002))
-
 PAIRS_SQL = """
     ids as (select feature_id, cast(row_number() over (order by feature_id) as int) as id
             from (select distinct feature_id from ehr)),
@@ -34,8 +33,14 @@ SYM_SQL = (
 )
 
 
+def years_of(rows, column: str) -> range:
+    """All years from the first to the last."""
+    first, last = rows.agg(F.min(column), F.max(column)).first()
+    return range(0) if first is None else range(first, last + 1)
+
+
 def pair_counts(data: Inputs):
-    vocab = features.vocabulary(data.ehr)
+    vocab = features.vocabulary(data.ehr, least=0)
     return cooccur.cooccurrence(features.with_ids(data.ehr, vocab), 30, "id")
 
 
@@ -97,6 +102,31 @@ def sppmi_recomputed(spark, sf_dir):
     return rounded(cooccur.positive_pmi(counts, 300, True), "pmi")
 
 
+@query(
+    "yearly_pairs_sppmi",
+    f"""
+    with {SYM_SQL.strip()},
+    rs as (select period, i, sum(n) as r from sym group by 1, 2 having sum(n) > 10),
+    tot as (select period, sum(r) as total from rs group by 1)
+    select * from (
+      select s.period, s.i, s.j, round(ln(cast(s.n * t.total as double) / (a.r * b.r)), 6) as pmi
+      from sym s join rs a on s.period = a.period and s.i = a.i
+        join rs b on s.period = b.period and s.j = b.i join tot t on s.period = t.period
+      where cast(s.n * t.total as double) / (a.r * b.r) > 1)
+    """,
+    ("ehr",),
+)
+def yearly_pairs_sppmi(spark, sf_dir):
+    """Pair counts written as text by year and read back from a list of files, some missing."""
+    path = scratch_path(spark, "pairs")
+    pairs = stage(pair_counts(Inputs(spark, sf_dir)), "pairs")
+    files.write_csv(pairs.selectExpr("period as year", "i", "j", "n as count"), path, ["year"])
+    years = years_of(pairs, "period")
+    names = [f"{path}/year={y}" for y in range(years.start - 2, years.stop + 2)]
+    counts = cooccur.symmetrise(files.read_yearly_pairs(spark, names), passes=2)
+    return rounded(cooccur.positive_pmi(stage(counts, "cooccurrence")), "pmi")
+
+
 def yearly_vectors(events, vocab):
     vocab = stage(vocab, "vocabulary")
     pairs = cooccur.cooccurrence(features.with_ids(events, vocab), 30, "id")
@@ -109,14 +139,14 @@ def yearly_vectors(events, vocab):
 @query("embedding_svd")
 def embedding_svd(spark, sf_dir):
     data = Inputs(spark, sf_dir)
-    return yearly_vectors(data.ehr, features.vocabulary(data.ehr))
+    return yearly_vectors(data.ehr, features.vocabulary(data.ehr, least=0))
 
 
 @query("embedding_lanczos")
 def embedding_lanczos(spark, sf_dir):
-    """The way taken for large vocabularies, whatever the size."""
+    """Fewer dimensions than the vocabulary has."""
     counts = symmetric_counts(Inputs(spark, sf_dir), 2)
-    return embed.embed_large(cooccur.positive_pmi(counts), 20, block=32)
+    return embed.embed_blocks(cooccur.positive_pmi(counts), 20, block=32)
 
 
 @query(
@@ -140,19 +170,55 @@ def drugs_and_classes(codes):
     )
 
 
+def chain_events(data: Inputs):
+    """Both sites' events under common codes, selected, carried forward, with class labels."""
+    united = stage(united_sites(data), "united")
+    selected = features.with_ids(united, features.vocabulary(united, data.drug))
+    carried = features.carry_forward(selected.drop("id"), CARRIED)
+    return features.class_events(carried, data.drug)
+
+
 def full_series(data: Inputs):
-    """Anchor cosines of drugs and classes on the full year grid, through every step."""
-    events = stage(
-        features.class_events(features.carry_forward(data.ehr, CARRIED), data.drug), "events"
-    )
-    vectors = yearly_vectors(events, features.vocabulary(events))
+    """Anchor cosines of drugs and classes on the full year grid, from the sites' events on:
+    harmonise, unite, select, carry forward, add classes, count, embed, compare."""
+    events = stage(chain_events(data), "events")
+    vectors = yearly_vectors(events, features.vocabulary(events, least=0))
     cosines = embed.cosine_to_anchor(vectors, "feature_id", ANCHOR).withColumnRenamed(
         "feature_id", "drug"
     )
-    grid = embed.anchor_series(cosines, drugs_and_classes(data.drug), "drug", YEARS)
+    years = years_of(events.select(F.year("start_date").alias("year")), "year")
+    grid = embed.anchor_series(cosines, drugs_and_classes(data.drug), "drug", years)
     return events, grid.withColumnRenamed("period", "year")
 
 
+@query(
+    "chain_events",
+    f"""
+    with h as ({HARMONISED_SQL}),
+    united as (
+      select patient_num, start_date, feature_id from h
+      where patient_num in (select patient_num from pe) and patient_num % 2 = 1
+      union all select patient_num, start_date, feature_id from h
+      where patient_num % 2 = 0 and patient_num not in (select patient_num from reg)),
+    kept as (
+      select * from united where feature_id in (
+        select feature_id from united group by 1
+        having count(*) > 100 or feature_id in (select feature_id from drug))),
+    carried as (
+      select patient_num, start_date, feature_id from kept
+      where feature_id not in ('RXNORM:1', 'RXNORM:2')
+      union all select patient_num, start_date, feature_id from ({CARRIED_SQL.replace("from ehr", "from kept")}))
+    select patient_num, start_date, feature_id from carried
+    union all select c.patient_num, c.start_date, d.treatment_class
+    from carried c join drug d on c.feature_id = d.feature_id
+    """,
+    ("ehr", "pe", "reg", "drug"),
+)
+def chain_events_query(spark, sf_dir):
+    """The events that the yearly series start from."""
+    return chain_events(Inputs(spark, sf_dir))
+
+
 @query("cosine_series")
 def cosine_series(spark, sf_dir):
     return full_series(Inputs(spark, sf_dir))[1]
@@ -185,7 +251,8 @@ def stand_in_series(data: Inputs):
     f"""
     with {SERIES_SQL.strip()},
     grid as (select drug, cast(y as int) as year from (select distinct drug from s),
-             (select unnest(range(1995, 2003)) as y)),
+             (select unnest(range(first, last + 1)) as y from
+               (select min(year) as first, max(year) as last from s))),
     j as (select g.drug, g.year, s.cos, s.sd from grid g left join s
           on g.drug = s.drug and g.year = s.year)
     select j.drug, j.year, round(cos, 6) as cos, round(sd, 6) as sd,
@@ -202,7 +269,7 @@ def series_ci(spark, sf_dir):
     series = stage(stand_in_series(data), "series")
     cosines = series.select("drug", F.col("year").alias("period"), "cos")
     grid = embed.anchor_series(
-        cosines, series.select("drug"), "drug", range(1995, 2003)
+        cosines, series.select("drug"), "drug", years_of(series, "year")
     ).withColumnRenamed("period", "year")
     names = data.drug.select(F.col("feature_id").alias("drug"), F.col("generic_name").alias("name"))
     out = trend.series_table(
@@ -515,11 +582,16 @@ def anchor_trends(spark, sf_dir):
 
 @query("anchor_series_band")
 def anchor_series_band(spark, sf_dir):
-    """Yearly cosines of drugs and classes with prevalence and a band from patient-level spread."""
+    """Yearly cosines of drugs and classes with prevalence and a band from patient-level spread.
+
+    The given tables have few records per patient and year, so the record cut is 5 instead of 20
+    and the least effective number of patients 2 instead of 50.
+    """
     data = Inputs(spark, sf_dir)
     events, series = full_series(data)
     cosines = stage(uncertainty.patient_cosines(events, ANCHOR, least_records=5), "cosines")
-    spread = uncertainty.scaled_spread(uncertainty.cosine_variance(cosines, events)).select(
+    variance = uncertainty.cosine_variance(cosines, events)
+    spread = uncertainty.scaled_spread(variance, least_effective=2).select(
         F.col("feature_id").alias("drug"), F.col("period").alias("year"), "sd"
     )
     prevalence = features.yearly_prevalence(events).select(

@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from longspan.operators import cohort, evaluate, report, scorers
 from longspan.plans.base import Inputs, query, rounded
-from longspan.plans.events import COUNTS_SQL, WIDE_FEATURES, counts, wide
+from longspan.plans.events import COUNTS_SQL, counts, curated, wide
 from longspan.sources.stages import stage
 
 COUNT_COLUMNS = ["utl", *scorers.SURROGATES]
-CODED = WIDE_FEATURES
 METHODS = [
     "mixture", "cov_code", "cov_both", "norm_code", "norm_code_features", "norm_both",
     "norm_both_features", "log_code", "log_concept",
@@ -36,12 +35,38 @@ def log_baseline(spark, sf_dir):
     return rounded(out, "log_code", "log_concept")
 
 
-@query("corrupt_split")
+def with_main_code(data: Inputs):
+    """Counts of the curated features for patients with the main code, and the features."""
+    coded, concepts = curated(data)
+    rows = stage(wide(data, coded + concepts).where(F.col("code") > 0), "wide")
+    return rows, coded, concepts
+
+
+def picked_sql(seed: int, share: str) -> str:
+    order = f"md5(concat(patient_num, ':', {seed})), patient_num"
+    return f"row_number() over (order by {order}) <= round_even(count(*) over () * {share}, 0)"
+
+
+@query(
+    "corrupt_split",
+    f"""
+    with c as ({COUNTS_SQL}),
+    x as (select patient_num, ln(1 + code) as code, ln(1 + concept) as concept from c)
+    select patient_num, round(code, 6) as code, round(concept, 6) as concept,
+      round(case when {picked_sql(2023, '0.2::double')} then avg(code) over () else code end, 6) as corrupt_code,
+      round(case when {picked_sql(2024, '0.2::double')} then avg(concept) over () else concept end, 6)
+        as corrupt_concept,
+      {picked_sql(2025, '(2::double / 3)')} as is_train
+    from x
+    """,
+    ("ehr",),
+)
 def corrupt_split(spark, sf_dir):
     rows = counts(Inputs(spark, sf_dir)).select(
         "patient_num", *[F.log1p(c).alias(c) for c in ("code", "concept")]
     )
-    return scorers.corrupt_and_split(rows, ["code", "concept"])
+    split = scorers.corrupt_and_split(stage(rows, "counts"), ["code", "concept"])
+    return rounded(split, "code", "concept", "corrupt_code", "corrupt_concept")
 
 
 @query("mixture_scores")
@@ -55,15 +80,15 @@ def mixture_scores(spark, sf_dir):
 
 @query("normalised_scores")
 def normalised_scores(spark, sf_dir):
-    rows = stage(wide(Inputs(spark, sf_dir)).where(F.col("code") > 0), "wide")
-    scores = scorers.normalised_scores(rows, CODED)
+    rows, coded, concepts = with_main_code(Inputs(spark, sf_dir))
+    scores = scorers.normalised_scores(rows, [*coded, *concepts])
     return rows.select("patient_num", *COUNT_COLUMNS, *[c.alias(n) for n, c in scores.items()])
 
 
 @query("covariance_scores")
 def covariance_scores(spark, sf_dir):
-    rows = stage(wide(Inputs(spark, sf_dir)).where(F.col("code") > 0), "wide")
-    fit = scorers.covariance_scores(rows, CODED, [])
+    rows, coded, concepts = with_main_code(Inputs(spark, sf_dir))
+    fit = scorers.covariance_scores(rows, coded, concepts)
     return rows.select(
         "patient_num", *COUNT_COLUMNS, *[c.alias(n) for n, c in fit.scores.items()]
     )
@@ -71,15 +96,16 @@ def covariance_scores(spark, sf_dir):
 
 @query("coef_compare")
 def coef_compare(spark, sf_dir):
-    rows = stage(wide(Inputs(spark, sf_dir)).where(F.col("code") > 0), "wide")
-    fit = scorers.covariance_scores(rows, CODED, [])
+    rows, coded, concepts = with_main_code(Inputs(spark, sf_dir))
+    fit = scorers.covariance_scores(rows, coded, concepts)
     return scorers.compare_coefficients(fit.table(spark), "cov_code", "cov_both")
 
 
 def all_scores(data: Inputs):
-    rows = labelled(data, wide(data))
+    coded, concepts = curated(data)
+    rows = labelled(data, wide(data, coded + concepts))
     return scorers.score_table(
-        rows, CODED, [], ["patient_num", "is_case", "is_registry", "is_labeled"]
+        rows, coded, concepts, ["patient_num", "is_case", "is_registry", "is_labeled"]
     )[0]
 
 
@@ -286,6 +312,37 @@ def phenotype_list(spark, sf_dir):
     return evaluate.phenotype_list(patients, scored, cuts, "score_b")
 
 
+@query(
+    "phenotype_list_model",
+    f"""
+    with per_patient as ({COUNTS_SQL}), {LABELS_SQL.strip()},
+    model as (select patient_num, ln(1 + code) as score from per_patient where code > 0),
+    scored as (select l.patient_num, l.is_case as y, m.score as score_a, m.score as score_b
+               from lab l join model m on l.patient_num = m.patient_num
+               where l.is_labeled = 1 and not l.is_registry),
+    {ROC_SQL.strip()}, {AREA_SQL.strip()}, {CUT_SQL.strip()}
+    select l.patient_num, l.is_labeled, l.is_case, l.is_registry,
+      cast(m.score > (select threshold from cuts where method = 'score_a'
+        and cutoff = 0.90::double) as int) as pred_90,
+      cast(m.score > (select threshold from cuts where method = 'score_a'
+        and cutoff = 0.95::double) as int) as pred_95
+    from lab l left join model m on l.patient_num = m.patient_num
+    """,
+    ("ehr", "ann", "reg"),
+)
+def phenotype_list_model(spark, sf_dir):
+    """Patients with the main code scored by a model; cuts from labelled patients not in the registry."""
+    data = Inputs(spark, sf_dir)
+    patients = stage(labelled(data, data.ehr.select("patient_num").distinct()), "labels")
+    score = scorers.baseline_scores()["log_code"].alias("score")
+    model = counts(data).where(F.col("code") > 0).select("patient_num", score)
+    scored = stage(patients.drop("is_registry").join(model, "patient_num"), "scored")
+    known = scored.join(patients.where("not is_registry").select("patient_num"), "patient_num", "left_semi")
+    long = known.where("is_labeled = 1").select("patient_num", F.col("is_case").alias("y"), "score", F.lit("model").alias("method"))
+    cuts = stage(evaluate.cut_points(long), "cuts")
+    return evaluate.phenotype_list(patients, scored, cuts, "model")
+
+
 @query(
     "label_or_prediction",
     f"""
@@ -316,9 +373,32 @@ def labelled_both_sources(spark, sf_dir):
     return data.ann.select("patient_num").intersect(data.reg.select("patient_num"))
 
 
-@query("case_only_bootstrap")
+@query(
+    "case_only_bootstrap",
+    f"""
+    with {LONG_SQL.strip()},
+    draws as (select *, unnest(range(1, 51)) as draw from long where y is not null and score is not null),
+    units as (select *, cast(concat('0x', substr(md5(concat(patient_num, ':', draw, ':', 11)), 1, 13)) as bigint)
+                / 4503599627370496.0::double as unit from draws),
+    weighed as (select *, len(list_filter({evaluate.poisson_steps()}::double[], lambda s: s <= unit)) as w
+                from units),
+    g as (select method, draw, score, sum(w * y) as pos, sum(w * (1 - y)) as neg from weighed
+          where w > 0 group by 1, 2, 3),
+    ranked as (select *, sum(pos) over k as n_pos, sum(neg) over k as n_neg,
+                 coalesce(sum(neg) over (partition by method, draw order by score
+                   rows between unbounded preceding and 1 preceding), 0) as below
+               from g window k as (partition by method, draw)),
+    areas as (select method, draw, sum(pos * (below + neg / 2)) / nullif(max(n_pos * n_neg), 0) as auroc
+              from ranked group by 1, 2)
+    select method, round(avg(auroc), 6) as auroc_mean, round(stddev_samp(auroc), 6) as auroc_sd
+    from areas group by 1
+    """,
+    ("scored",),
+)
 def case_only_bootstrap(spark, sf_dir):
-    return evaluate.case_only_bootstrap(long_scored(Inputs(spark, sf_dir)), "patient_num")
+    """Spread of the area over resamples of all scored patients."""
+    areas = evaluate.bootstrap_areas(long_scored(Inputs(spark, sf_dir)), "patient_num")
+    return rounded(areas, "auroc_mean", "auroc_sd")
 
 
 @query(

@@ -17,7 +17,9 @@ TABLES = (
 VIEWS = {
     "ehr": """
         select o_custkey as patient_num, cast(l_shipdate as date) as start_date,
-          case p_type when 'ECONOMY' then 'PheCode:335' when 'SMALL' then 'C0026769'
+          case p_type when 'ECONOMY' then 'PheCode:335'
+            when 'SMALL' then case when length(p_brand) = 7 then 'C0026769'
+              else concat('C00000', substr(p_brand, 7)) end
             when 'MEDIUM' then concat('CCS-PCS:', substr(p_brand, 7))
             when 'LARGE' then concat('LOINC:', substr(p_brand, 7))
             when 'PROMO' then concat('RXNORM:', substr(p_brand, 7))
@@ -33,6 +35,8 @@ VIEWS = {
           case when n_nationkey % 5 = 0 then 'CHINESE' when n_nationkey % 5 = 1 then 'ALASKA NATIVE'
             when n_nationkey % 5 = 2 then 'UNREPORTED' when n_nationkey % 5 = 3 then null
             else 'WHITE' end as race_title,
+          case when n_nationkey % 4 = 0 then 'NOT SPECIFIED' when n_nationkey % 4 = 1 then 'HISPANIC'
+            when n_nationkey % 4 = 2 then null else 'NON HISPANIC' end as ethnicity_title,
           case when c_custkey % 4 = 0 then 'Unknown' when c_custkey % 4 = 1 then 'ASIAN'
             else 'WHITE' end as race_imputed,
           case when c_custkey % 10 = 0 then null else 1995 + c_custkey % 5 end as firstdiag_year,
@@ -50,6 +54,15 @@ VIEWS = {
           concat('generic_', cast(k as string)) as generic_name,
           concat('CLASS_', cast(k % 6 as string)) as treatment_class
         from (select distinct cast(substr(p_brand, 7) as int) as k from {part}) t where k <= 20""",
+    # Curated features: coded ones and concepts, and which of them the models take.
+    "curated": """
+        select concat('PheCode:', brand) as feature_id, 'coded' as kind, 1 as flag from {brands}
+        union all select concat('RXNORM:', brand), 'coded', 1 from {brands}
+        union all select concat('CCS-PCS:', brand), 'coded', 1 from {brands}
+        union all select concat('LOINC:', brand), 'coded', 0 from {brands}
+        union all select concat('C00000', brand), 'concept', 1 from {brands} where length(brand) = 2""",
+    "brands": "select distinct substr(p_brand, 7) as brand from {part}",
+    # Only some codes are in the drug list, so that lookups also miss.
     "mc": """
         select patient_num, feature_id,
           (year(start_date) - 1995) * 12 + month(start_date) as month, count(*) as n

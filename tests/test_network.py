@@ -142,7 +142,7 @@ def test_small_embedding_follows_the_sign_rule(matrices, dims):
 def test_large_embedding_agrees_with_small(matrices):
     dense, table = matrices
     small = embed.embed_small(table, 4).toPandas()
-    large = embed.embed_large(table, 4, block=8).toPandas()
+    large = embed.embed_blocks(table, 4, block=8).toPandas()
     for period in dense:
         assert np.allclose(gram_of(small, period), gram_of(large, period), atol=1e-5)
 
@@ -150,20 +150,11 @@ def test_large_embedding_agrees_with_small(matrices):
 def test_large_embedding_with_reduced_basis(matrices):
     dense, table = matrices
     small = embed.embed_small(table, 3).toPandas()
-    large = embed.embed_large(table, 3, block=4, max_width=16, tolerance=1e-5).toPandas()
+    large = embed.embed_blocks(table, 3, block=4, max_width=16, tolerance=1e-5).toPandas()
     for period in dense:
         assert np.allclose(gram_of(small, period), gram_of(large, period), atol=1e-3)
 
 
-def test_size_decides_the_way(matrices, monkeypatch):
-    _, table = matrices
-    called = []
-    monkeypatch.setattr(embed, "embed_large", lambda m, d, value: called.append(1) or m)
-    embed.embed(table, 3, small_limit=30)
-    assert called
-    assert embed.embed(table, 3, small_limit=40).columns == ["period", "i", "vec"]
-
-
 def test_anchor_series_has_the_whole_grid(spark):
     vectors = spark.createDataFrame(
         [(1, "a", [1.0, 0.0]), (1, "b", [1.0, 1.0]), (2, "b", [0.0, 2.0])],
@@ -225,3 +216,40 @@ def test_variance_counts_patients_without_a_vector(spark):
     assert row.sd == pytest.approx(0.08 / 2)
     none = uncertainty.scaled_spread(uncertainty.cosine_variance(cosines, events)).first()
     assert none.sd is None
+
+
+def test_neighbour_sums_equal_the_table(spark):
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        n, size, window = int(rng.integers(1, 60)), 5, int(rng.integers(1, 20))
+        cells = sorted({(int(d), int(c)) for d, c in zip(rng.integers(0, 50, n), rng.integers(0, size, n))})
+        day, place = np.array(cells).T
+        m = rng.integers(1, 4, len(day))
+        pairs = np.zeros((size, size))
+        for a in range(len(day)):
+            for b in range(len(day)):
+                if 1 <= day[a] - day[b] <= window:
+                    pairs[place[a], place[b]] += m[a] * m[b]
+        both = pairs + pairs.T
+        np.fill_diagonal(both, np.diag(pairs))
+        assert np.allclose(uncertainty.neighbour_sums(day, place, m, size, window), both.sum(1))
+
+
+def test_a_patient_with_very_many_codes(spark):
+    """20,000 codes of which few have neighbours: nothing wider than those is formed."""
+    day = np.concatenate([np.arange(20_000) * 40, np.arange(60) % 30])
+    place = np.concatenate([np.arange(20_000), np.arange(60) % 6])
+    sums = uncertainty.neighbour_sums(day, place, np.ones(len(day)), 20_000, 30)
+    assert (sums > 5).sum() == 6
+    codes, values = uncertainty._anchor_cosines(day, place.astype(str).astype(object), np.ones(len(day)), "0", 30)
+    assert set(codes) <= {str(k) for k in range(6)}
+
+
+def test_pmi_of_large_counts(spark):
+    cells = [(1, i, j, 10**12 * (1 + (i + j) % 3)) for i in (1, 2, 3) for j in (1, 2, 3)]
+    table = spark.createDataFrame(cells, "period int, i int, j int, n bigint")
+    small = table.withColumn("n", (F.col("n") / 10**11).cast("bigint"))
+    large, want = (
+        {(r.i, r.j): r.pmi for r in cooccur.positive_pmi(t).collect()} for t in (table, small)
+    )
+    assert set(large) == set(want) and all(large[k] == pytest.approx(want[k]) for k in want)

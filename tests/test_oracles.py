@@ -11,6 +11,8 @@ import __spark_entry__ as entry
 from longspan.sources.views import TABLES
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+BAND = ("sd", "high_se", "low_se")
+SCORES = ("mixture", "cov_code", "cov_both", "norm_code", "norm_both", "log_code", "log_concept")
 
 
 def cells(frame: pd.DataFrame) -> list[tuple]:
@@ -49,7 +51,23 @@ def test_matches_sql(spark, duck, sf_dir, name):
 def test_gives_rows(spark, sf_dir, name):
     frame = QUERIES[name](spark, sf_dir)
     assert len(set(frame.columns)) == len(frame.columns)
-    frame.toPandas()
+    rows = frame.toPandas()
+    assert len(rows) > 0
+    for column in rows.columns:
+        known = rows[column].notna().mean()
+        assert known > 0 or name == "anchor_series_band" and column in BAND, column
+        if rows[column].dtype == float:
+            assert np.isfinite(rows[column].dropna()).all(), column
+        if column in ("score", "cos", "auroc_mean") or column in SCORES:
+            assert rows[column].dropna().between(-1.0 - 1e-9, 20.0).all(), column
+
+
+def test_band_has_values(spark):
+    """The smallest tables have too few patients for a band; the next ones have some."""
+    rows = QUERIES["anchor_series_band"](spark, "/root/testdata/sf0.01").toPandas()
+    band = rows.dropna(subset=["sd"])
+    assert len(band) > 10 and (band["sd"] >= 0).all()
+    assert (band["low_se"] <= band["high_se"]).all()
 
 
 def test_entry(spark):

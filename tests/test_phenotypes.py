@@ -163,8 +163,31 @@ def test_one_class_only(spark):
 def test_bootstrap_repeats_and_centres(spark, labels):
     y, s = labels
     table = scored(spark, y, s)
-    a = evaluate.case_only_bootstrap(table, "patient_num", 30).first()
-    b = evaluate.case_only_bootstrap(table.repartition(5), "patient_num", 30).first()
+    a = evaluate.bootstrap_areas(table, "patient_num", 30).first()
+    b = evaluate.bootstrap_areas(table.repartition(5), "patient_num", 30).first()
     assert a.auroc_mean == pytest.approx(b.auroc_mean) and a.auroc_sd == pytest.approx(b.auroc_sd)
     whole = evaluate.area_metrics(table).first().auroc
     assert abs(a.auroc_mean - whole) < 0.03 and 0.01 < a.auroc_sd < 0.12
+
+
+def test_area_of_large_counts(spark):
+    rows = [("m", 1.0, 0, 4 * 10**9, 0, 0, 4 * 10**9, 8 * 10**9), ("m", 2.0, 4 * 10**9, 4 * 10**9, 0, 4 * 10**9, 4 * 10**9, 8 * 10**9)]
+    kinds = "method string, score double, pos bigint, neg bigint, pos_before bigint, neg_before bigint, pos_total bigint, neg_total bigint"
+    row = evaluate.area_rows(spark.createDataFrame(rows, kinds)).first()
+    assert row.auroc == pytest.approx(0.75)
+
+
+def test_poisson_steps_reach_one():
+    steps = evaluate.poisson_steps()
+    assert steps == sorted(set(steps)) and steps[-1] == pytest.approx(1.0, abs=1e-15) and len(steps) > 15
+
+
+def test_unconverged_fit_is_an_error(spark):
+    from longspan.operators import mixture
+
+    rows = [("m", float(k % 7) + (5 if k % 3 else 0), 1.0) for k in range(200)]
+    table = spark.createDataFrame(rows, "method string, x double, w double")
+    with pytest.raises(RuntimeError, match="convergence"):
+        mixture.fit_normals(table, rounds=1, tolerance=0.0)
+    quoted = table.withColumn("method", F.lit("it's"))
+    assert set(mixture.fit_normals(quoted)) == {"it's"}

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from longspan.operators import features
+from longspan.sources import stages
 from longspan.plans.base import Inputs
 
 PLAIN = [
@@ -25,6 +26,33 @@ def test_no_cartesian_product_and_no_python(spark, sf_dir, name):
         assert python not in text
 
 
+@pytest.fixture
+def staged(monkeypatch):
+    """Plans of everything that is written on the way."""
+    plans, save = [], stages.save_table
+
+    def record(df, *args):
+        plans.append(plan(df))
+        return save(df, *args)
+
+    monkeypatch.setattr(stages, "save_table", record)
+    return plans
+
+
+@pytest.mark.parametrize("name", ["cooccurrence", "sppmi", "metrics_at_specificity", "corrupt_split"])
+def test_staged_steps_have_no_cartesian_product_and_no_python(spark, sf_dir, staged, name):
+    plan(entry.queries()[name](spark, sf_dir))
+    assert staged
+    for text in staged:
+        assert "CartesianProduct" not in text and "Python" not in text and "InPandas" not in text
+
+
+@pytest.mark.parametrize("name,most", [("corrupt_split", 1), ("site_summary_join", 1), ("harmonise_codes", 4), ("class_features", 1), ("table_one_sites", 1)])
+def test_scans_of_the_event_source(spark, sf_dir, staged, name, most):
+    text = plan(entry.queries()[name](spark, sf_dir))
+    assert sum(t.count("lineitem.parquet") for t in [text, *staged]) <= most
+
+
 def test_scan_reads_only_used_columns(spark, sf_dir):
     text = plan(features.yearly_prevalence(Inputs(spark, sf_dir).ehr, 1996, 1997))
     assert "l_extendedprice" not in text and "p_retailprice" not in text

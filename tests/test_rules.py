@@ -155,3 +155,22 @@ def test_student_critical_value(spark, df, want):
 def test_student_null_when_no_freedom(spark):
     assert one(spark, "select 1D as t, 0 as df", student.two_sided_p("t", "df")) is None
     assert one(spark, "select 0 as df", student.critical_value(0.05, "df")) is None
+
+
+def test_vocabulary_needs_more_than_least(spark):
+    from longspan.operators import features
+
+    rows = [(1, "a")] * 5 + [(1, "b")] * 2 + [(1, "c")]
+    events = spark.createDataFrame(rows, "patient_num bigint, feature_id string")
+    assert {r.feature_id for r in features.vocabulary(events, least=2).collect()} == {"a"}
+    listed = spark.createDataFrame([("c",)], "feature_id string")
+    assert {r.feature_id for r in features.vocabulary(events, listed, 2).collect()} == {"a", "c"}
+
+
+def test_flagged_features_must_be_few(spark):
+    from longspan.operators import features
+
+    table = spark.createDataFrame([("b", "coded", 1), ("a", "coded", 1), ("c", "coded", 0), ("d", "concept", 1)], "feature_id string, kind string, flag int")
+    assert features.flagged(table, "coded") == ["a", "b"]
+    with pytest.raises(ValueError):
+        features.flagged(table, "coded", most=1)
