@@ -11,6 +11,10 @@ import __spark_entry__ as entry
 from longspan.sources.views import TABLES
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+# Queries whose spread is null where there are too few patients, as in the smallest tables.
+BANDS = ("anchor_series_band", "patient_cosine_var")
+# Tests of exact fits and thresholds above all scores are infinite.
+INFINITE = ("anchor_trends", "phenotype_quality")
 BAND = ("sd", "high_se", "low_se")
 SCORES = ("mixture", "cov_code", "cov_both", "norm_code", "norm_both", "log_code", "log_concept")
 
@@ -55,8 +59,8 @@ def test_gives_rows(spark, sf_dir, name):
     assert len(rows) > 0
     for column in rows.columns:
         known = rows[column].notna().mean()
-        assert known > 0 or name == "anchor_series_band" and column in BAND, column
-        if rows[column].dtype == float:
+        assert known > 0 or name in BANDS and column in BAND, column
+        if rows[column].dtype == float and name not in INFINITE:
             assert np.isfinite(rows[column].dropna()).all(), column
         if column in ("score", "cos", "auroc_mean") or column in SCORES:
             assert rows[column].dropna().between(-1.0 - 1e-9, 20.0).all(), column
