@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from longspan.functions import columns as C, student
+from longspan.sources.stages import stage
 
 Z95 = 1.96
 
@@ -121,92 +120,72 @@ def series_span(df: DataFrame, key: str = "drug", x: str = "year", y: str = "cos
     )
 
 
-def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    dx = x - x.mean()
-    slope = float(dx @ y / (dx @ dx))
-    return float(y.mean() - slope * x.mean()), slope
+BREAK_FIT = """
+    with b as (
+      select k, y, x - avg(x) over s as u, avg(x) over s as centre, count(*) over s as n
+      from {points} window s as (partition by k)),
+    knots as (
+      select k, u, row_number() over (partition by k order by u) as at, count(*) over (partition by k) as last
+      from (select distinct k, u from b where n >= {least})),
+    gaps as (
+      select k, u as low, lead(u) over (partition by k order by u) as high, at, last from knots),
+    sides as (
+      select g.k, low, high,
+        regr_slope(y, u) filter (where u <= low) as sa, regr_intercept(y, u) filter (where u <= low) as ia,
+        regr_slope(y, u) filter (where u >= high) as sb, regr_intercept(y, u) filter (where u >= high) as ib
+      from gaps g join b on g.k = b.k
+      where last >= 4 and at >= 2 and at + 1 <= last - 1 group by g.k, low, high),
+    crossings as (select k, low, high, try_divide(ia - ib, sb - sa) as psi from sides),
+    candidates as (
+      select k, u as psi from knots where last >= 4 and at between 2 and last - 1
+      union all select k, psi from crossings where psi > low and psi < high),
+    terms as (
+      select c.k, psi, n, centre, u, y, greatest(u - psi, 0D) as h, if(u > psi, -1D, 0D) as g
+      from candidates c join b on c.k = b.k),
+    sums as (
+      select k, psi, max(n) as n, max(centre) as centre, regr_sxx(y, u) as uu, regr_sxx(y, h) as hh,
+        regr_sxx(y, g) as gg, regr_sxy(u, h) as uh, regr_sxy(u, g) as ug, regr_sxy(h, g) as hg,
+        regr_sxy(u, y) as uy, regr_sxy(h, y) as hy, regr_sxy(g, y) as gy, regr_syy(y, u) as yy
+      from terms group by k, psi),
+    scored as (
+      select *, (hy - uh * uy / uu) / (hh - uh * uh / uu) as delta,
+        yy - uy * uy / uu - pow(hy - uh * uy / uu, 2) / (hh - uh * uh / uu) as rss,
+        uu * (hh * gg - hg * hg) - uh * (uh * gg - hg * ug) + ug * (uh * hg - hh * ug) as det
+      from sums where uu > 0 and hh * uu - uh * uh > 1e-12 * uu * hh),
+    best as (select *, row_number() over (partition by k order by rss, psi) as pick from scored),
+    inverse as (
+      select *, (uy - delta * uh) / uu as beta1, det <= 1e-9 * uu * hh * gg as spent,
+        try_divide(hh * gg - hg * hg, det) as i11, try_divide(uu * gg - ug * ug, det) as i22,
+        try_divide(uu * hh - uh * uh, det) as i33, try_divide(ug * hg - uh * gg, det) as i12,
+        try_divide(uh * hg - hh * ug, det) as i13, try_divide(ug * uh - uu * hg, det) as i23
+      from best where pick = 1),
+    noise as (
+      select *, greatest(0D, (yy - uy * uy * i11 - hy * hy * i22 - gy * gy * i33
+        - 2 * (uy * hy * i12 + uy * gy * i13 + hy * gy * i23)) / (n - 4)) as v
+      from inverse)
+    select k, psi + centre as change_point, beta1, beta1 + delta as beta2,
+      if(spent, double('infinity'), sqrt(greatest(0D, v * i11))) as se1,
+      if(spent, double('infinity'), sqrt(greatest(0D, v * (i11 + i22 + 2 * i12)))) as se2
+    from noise"""
+
+
+def _points(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    complete = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return complete.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
 
 
-def best_break(x: np.ndarray, y: np.ndarray) -> float | None:
-    """Break of the least-squares continuous two-piece line.
+def break_trends(df: DataFrame, key: str = "drug", x: str = "year", y: str = "cos") -> DataFrame:
+    """(key, change_point, beta1, beta2, se1, se2) for series with at least six points: the
+    least-squares continuous two-piece line.
 
     The residual sum has one smooth piece between neighbouring points. Where the separate lines of
     the points left and right of a gap cross inside the gap, the crossing is that piece's best
-    break; otherwise the best lies at an interior point. All of these are tried.
-    """
-    knots = np.unique(x)
-    candidates = list(knots[1:-1])
-    for low, high in zip(knots[1:-2], knots[2:-1]):
-        a, b = x <= low, x >= high
-        base_a, slope_a = _line(x[a], y[a])
-        base_b, slope_b = _line(x[b], y[b])
-        if slope_a != slope_b:
-            cross = (base_a - base_b) / (slope_b - slope_a)
-            if low < cross < high:
-                candidates.append(cross)
-    best = None
-    for psi in candidates:
-        cols = np.column_stack([np.ones(len(x)), x, np.maximum(x - psi, 0)])
-        fit = np.linalg.lstsq(cols, y, rcond=None)[0]
-        score = float(((y - cols @ fit) ** 2).sum())
-        if best is None or score < best[0] * (1 - 1e-12):
-            best = (score, float(psi))
-    return None if best is None else best[1]
-
-
-def break_fit(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray] | None:
-    """Break, two slopes and their standard errors of a continuous two-piece line, or None.
-
-    Errors come from the fit linearised at the break, with four terms; one that cannot be
-    computed is infinite.
+    break; otherwise the best lies at an interior point. All of these are tried. Errors come from
+    the fit linearised at the break, with four terms; one that cannot be computed is infinite.
+    A series has one row per period, so joining it with its own breaks stays small.
     """
-    n = len(x)
-    centre = x.mean()
-    u = x - centre
-    psi = best_break(u, y) if len(np.unique(u)) >= 4 else None
-    if psi is None:
-        return None
-    cols = np.column_stack([np.ones(n), u, np.maximum(u - psi, 0), -(u > psi).astype(float)])
-    coef, _, rank, _ = np.linalg.lstsq(cols[:, :3], y, rcond=None)
-    if rank < 3:
-        return None
-    slopes = np.array([coef[1], coef[1] + coef[2]])
-    errors = np.full(2, np.inf)
-    if n > 4 and np.linalg.matrix_rank(cols) == 4:
-        full = np.linalg.lstsq(cols, y, rcond=None)[0]
-        sigma = float(((y - cols @ full) ** 2).sum()) / (n - 4)
-        cov = sigma * np.linalg.inv(cols.T @ cols)
-        spread = np.array([cov[1, 1], cov[1, 1] + cov[2, 2] + 2 * cov[1, 2]])
-        errors = np.where(spread >= 0, np.sqrt(np.maximum(spread, 0)), np.inf)
-    return psi + centre, slopes, errors
-
-
-def break_trends(df: DataFrame, key: str = "drug", x: str = "year", y: str = "cos") -> DataFrame:
-    """(key, change_point, beta1, beta2, se1, se2) for series with at least six points.
-
-    A series has one row per period, so a group is as small as the number of periods.
-    """
-    complete = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    kind = dict(df.dtypes)[key]
-    schema = (
-        f"{key} {kind}, change_point double, beta1 double, beta2 double, se1 double, se2 double"
-    )
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = None
-        if len(pdf) >= 6:
-            found = break_fit(pdf["_x"].to_numpy(float), pdf["_y"].to_numpy(float))
-        if found is None:
-            return pd.DataFrame()
-        at, slopes, errors = found
-        return pd.DataFrame([[pdf[key].iloc[0], at, *slopes, *errors]], columns=names)
-
-    names = [key, "change_point", "beta1", "beta2", "se1", "se2"]
-    return (
-        complete.select(key, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-        .groupBy(key)
-        .applyInPandas(solve, schema)
-    )
+    fits = df.sparkSession.sql(BREAK_FIT, points=_points(df, key, x, y), least=6)
+    return fits.withColumnRenamed("k", key)
 
 
 def classified_trends(
@@ -295,25 +274,40 @@ def linear_smooth(df: DataFrame, key: str = "drug", x: str = "year", y: str = "c
     )
 
 
-def local_quadratic(x: np.ndarray, y: np.ndarray, span: float = 0.75) -> np.ndarray:
-    """Local quadratic fit at each x with tricube weights on the nearest points.
+LOCAL_FIT = """
+    with pairs as (
+      select a.k, a.x, a.y as own, b.x - a.x as dx, abs(b.x - a.x) as gap, b.y,
+        count(*) over w as n, row_number() over near as place, rank() over near - 1 as closer
+      from {points} a join {points} b on a.k = b.k
+      window w as (partition by a.k, a.x, a.y), near as (partition by a.k, a.x, a.y order by abs(b.x - a.x))),
+    reaches as (
+      select *, coalesce(
+        min(if(place >= greatest(floor({span} * n + 1e-9), least(n, 4)) and closer >= 3, gap, null)) over w,
+        2 * greatest(max(gap) over w, 1e-300)) as reach
+      from pairs window w as (partition by k, x, own)),
+    weighed as (select *, pow(greatest(0D, 1 - pow(gap / reach, 3)), 3) as w from reaches),
+    sums as (
+      select k, x, own, sum(w) as a, sum(w * dx) as b, sum(w * dx * dx) as c, sum(w * pow(dx, 3)) as d,
+        sum(w * pow(dx, 4)) as e, sum(w * y) as t0, sum(w * dx * y) as t1, sum(w * dx * dx * y) as t2
+      from weighed group by k, x, own)
+    select k, x, own, coalesce(try_divide(
+        t0 * (c * e - d * d) - b * (t1 * e - d * t2) + c * (t1 * d - c * t2),
+        a * (c * e - d * d) - b * (b * e - d * c) + c * (b * d - c * c)), t0 / a) as smooth
+    from sums"""
+
+
+def local_smooth(df: DataFrame, key: str, x: str, y: str, span: float = 0.75) -> DataFrame:
+    """Local quadratic fit at each point with tricube weights on the nearest points.
 
     The reach is the distance of the last of the nearest points; it widens until three points
-    carry weight, as the fit needs.
+    carry weight, as the fit needs. Where they do not fix a curve, their weighted mean stands.
     """
-    n = len(x)
-    near = max(int(np.floor(span * n + 1e-9)), min(n, 4))
-    out = np.empty(n)
-    for k in range(n):
-        gap = np.abs(x - x[k])
-        reaches = [r for r in np.sort(gap)[near - 1 :] if (gap < r).sum() >= 3]
-        reach = reaches[0] if reaches else 2 * max(gap.max(), 1e-300)
-        weight = np.clip(1 - (gap / reach) ** 3, 0, None) ** 3
-        root = np.sqrt(weight)
-        cols = np.vander(x - x[k], 3, increasing=True)
-        fit = np.linalg.lstsq(cols * root[:, None], y * root, rcond=None)[0]
-        out[k] = fit[0]
-    return out
+    kinds = dict(df.dtypes)
+    points = stage(_points(df, key, x, y), "points")
+    fits = df.sparkSession.sql(LOCAL_FIT, points=points, span=span)
+    return fits.select(
+        F.col("k").alias(key), F.col("x").cast(kinds[x]).alias(x), F.col("own").cast(kinds[y]).alias(y), "smooth"
+    )
 
 
 def smooth_series(
@@ -325,26 +319,10 @@ def smooth_series(
 ) -> DataFrame:
     """Local quadratic smooth for series with at least `least_local` points, else a line.
 
-    A series has one row per period, so groups are small.
+    A series has one row per period, so pairing its points stays small.
     """
     complete = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, x, y)
     sized = complete.withColumn("_n", F.count("*").over(W.partitionBy(key)))
-    kinds = dict(complete.dtypes)
-    schema = f"{key} {kinds[key]}, {x} {kinds[x]}, {y} {kinds[y]}, smooth double"
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(x)
-        fitted = local_quadratic(pdf[x].to_numpy(float), pdf[y].to_numpy(float))
-        return pdf[[key, x, y]].assign(smooth=fitted)
-
-    local = (
-        sized.where(F.col("_n") >= least_local)
-        .groupBy(key)
-        .applyInPandas(solve, schema)
-        .withColumn("method", F.lit("loess"))
-    )
-    line = (
-        linear_smooth(sized.where(F.col("_n") < least_local).drop("_n"), key, x, y)
-        .withColumn("method", F.lit("lm"))
-    )
-    return local.unionByName(line)
+    local = local_smooth(sized.where(F.col("_n") >= least_local).drop("_n"), key, x, y)
+    line = linear_smooth(sized.where(F.col("_n") < least_local).drop("_n"), key, x, y)
+    return local.withColumn("method", F.lit("loess")).unionByName(line.withColumn("method", F.lit("lm")))

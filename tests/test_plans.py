@@ -10,6 +10,7 @@ from longspan.plans.base import Inputs
 PLAIN = [
     "patient_counts", "wide_matrix", "table_one", "yearly_prevalence", "exclude_out_of_range",
     "carry_forward", "harmonise_codes", "pseudo_events", "cooccurrence", "sppmi", "ols_trend",
+    "segmented_trend", "smooth_series", "trend_comparison",
     "roc_curve", "metrics_at_specificity", "numeric_summary", "label_assignment",
 ]
 

@@ -40,16 +40,36 @@ def grid_break(x, y):
     return best
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_break_is_the_least_squares_one(seed):
-    rng = np.random.default_rng(seed)
-    x = np.arange(12.0)
-    y = 0.3 * x - 0.8 * np.maximum(x - 6.4, 0) + rng.normal(0, 0.2, 12)
-    psi = trend.best_break(x, y)
-    cols = np.column_stack([np.ones(12), x, np.maximum(x - psi, 0)])
-    fit = np.linalg.lstsq(cols, y, rcond=None)[0]
-    assert ((y - cols @ fit) ** 2).sum() <= grid_break(x, y) + 1e-9
-    assert abs(psi - 6.4) < 1.5
+def many(spark, values):
+    rows = [(f"d{s}", 2000 + k, float(v)) for s, y in enumerate(values) for k, v in enumerate(y)]
+    return spark.createDataFrame(rows, "drug string, year int, cos double")
+
+
+def test_break_is_the_least_squares_one(spark):
+    x, values = np.arange(12.0), []
+    for seed in range(8):
+        rng = np.random.default_rng(seed)
+        values.append(0.3 * x - 0.8 * np.maximum(x - 6.4, 0) + rng.normal(0, 0.2, 12))
+    found = {r.drug: r for r in trend.break_trends(many(spark, values)).collect()}
+    for s, y in enumerate(values):
+        row = found[f"d{s}"]
+        psi = row.change_point - 2000
+        cols = np.column_stack([np.ones(12), x, np.maximum(x - psi, 0)])
+        fit = np.linalg.lstsq(cols, y, rcond=None)[0]
+        assert ((y - cols @ fit) ** 2).sum() <= grid_break(x, y) + 1e-9
+        assert abs(psi - 6.4) < 1.5
+        assert (row.beta1, row.beta2) == pytest.approx((fit[1], fit[1] + fit[2]))
+        cols = np.column_stack([cols, -(x > psi).astype(float)])
+        full = np.linalg.lstsq(cols, y, rcond=None)[0]
+        cov = ((y - cols @ full) ** 2).sum() / 8 * np.linalg.inv(cols.T @ cols)
+        errors = np.sqrt([cov[1, 1], cov[1, 1] + cov[2, 2] + 2 * cov[1, 2]])
+        assert (row.se1, row.se2) == pytest.approx(tuple(errors))
+
+
+def test_break_needs_six_points_and_four_periods(spark):
+    assert trend.break_trends(many(spark, [[1, 2, 1, 2, 1]])).isEmpty()
+    flat = spark.createDataFrame([("d", 2000 + k % 3, float(k)) for k in range(9)], "drug string, year int, cos double")
+    assert trend.break_trends(flat).isEmpty()
 
 
 def noisy(shape, seed=0):
@@ -92,10 +112,24 @@ def test_half_width_covers(spark):
     assert row.w == pytest.approx(line.se_beta * 2.57058183661)
 
 
-def test_local_quadratic_reproduces_a_parabola():
-    x = np.arange(11.0)
-    y = 0.2 * x**2 - x + 3
-    assert np.allclose(trend.local_quadratic(x, y), y)
+def local_fit(x, y, span=0.75):
+    out, near = [], max(int(np.floor(span * len(x) + 1e-9)), min(len(x), 4))
+    for at in x:
+        gap = np.abs(x - at)
+        reach = next((r for r in np.sort(gap)[near - 1 :] if (gap < r).sum() >= 3), 2 * gap.max())
+        root = np.clip(1 - (gap / reach) ** 3, 0, None) ** 1.5
+        cols = np.vander(x - at, 3, increasing=True)
+        out.append(np.linalg.lstsq(cols * root[:, None], y * root, rcond=None)[0][0])
+    return out
+
+
+def test_local_smooth_equals_weighted_least_squares(spark):
+    rng = np.random.default_rng(3)
+    values = [rng.normal(size=n) for n in (4, 5, 7, 12, 25)] + [0.2 * np.arange(11.0) ** 2 - np.arange(11.0)]
+    got = trend.smooth_series(many(spark, values)).toPandas().sort_values(["drug", "year"])
+    for s, y in enumerate(values):
+        mine = got[got["drug"] == f"d{s}"]["smooth"]
+        assert np.allclose(mine, local_fit(np.arange(float(len(y))), y), atol=1e-8)
 
 
 def test_smoother_choice(spark):
