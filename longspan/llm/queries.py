@@ -150,6 +150,53 @@ select doc.doc_id, len(doc.w) as n_words, coalesce(hw.n, 0) as n_hit, coalesce(h
 from doc left join hit_word hw on hw.doc_id = doc.doc_id left join hit_item hi on hi.doc_id = doc.doc_id
 """
 
+OP3_SQL = """
+with doc as (
+  select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents
+), start as (
+  select doc_id, unnest(range(0, n - 199)) as i from doc where n >= 200
+), win as (
+  select s.doc_id, s.i, md5(substr(d.h, 2 * s.i + 1, 400)) as m from start s join doc d on d.doc_id = s.doc_id
+), again as (
+  select doc_id, i from (select *, count(*) over (partition by m) as c from win) where c > 1
+), edge as (
+  select *, case when i <= lag(i) over (partition by doc_id order by i) + 200 then 0 else 1 end as fresh from again
+), numbered as (
+  select *, sum(fresh) over (partition by doc_id order by i) as run from edge
+), span as (
+  select doc_id, min(i) as s, max(i) + 200 as e from numbered group by doc_id, run
+), before as (
+  select *, coalesce(lag(e) over (partition by doc_id order by s), 0) as p from span
+), cut as (
+  select b.doc_id, count(*) as n_spans, sum(e - s) as n_removed, max(e) as last,
+         string_agg(substr(d.h, 2 * p + 1, 2 * (s - p)), '' order by s) as kept
+  from before b join doc d on d.doc_id = b.doc_id group by b.doc_id
+)
+select d.doc_id, d.n as n_bytes, cast(coalesce(c.n_removed, 0) as bigint) as n_removed, coalesce(c.n_spans, 0) as n_spans,
+       sha256(unhex(coalesce(c.kept || substr(d.h, 2 * c.last + 1), d.h))) as kept_sha256
+from doc d left join cut c on c.doc_id = d.doc_id
+"""
+
+OP9_SQL = """
+with recursive v as (
+  select vec_id, label, cast(embedding as double[]) as e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x <> 0)) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), link as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  where len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.93
+), reach as (
+  select vec_id, vec_id as root from embeddings
+  union select l.b, r.root from reach r join link l on l.a = r.vec_id
+), least_root as (
+  select vec_id, min(root) as component_id from reach group by vec_id
+), links as (
+  select a as vec_id, count(*) as n from link group by a
+)
+select m.vec_id, coalesce(k.n, 0) as n_links, m.component_id, m.vec_id = m.component_id as kept
+from least_root m left join links k on k.vec_id = m.vec_id
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
@@ -162,4 +209,9 @@ QUERIES: dict[str, Query] = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_simhash": op10_simhash,
 }
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL.strip(), "op6_decontaminate": OP6_SQL.strip()}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": OP1_SQL.strip(),
+    "op3_suffix_dedup": OP3_SQL.strip(),
+    "op6_decontaminate": OP6_SQL.strip(),
+    "op9_embedding_dedup": OP9_SQL.strip(),
+}
