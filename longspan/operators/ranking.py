@@ -141,21 +141,21 @@ def hash_sample(df: DataFrame, key: str, seed: int, fraction: float, name: str)
     return df.withColumn(name, F.coalesce(mine <= edge.scalar(), F.lit(False)))
 
 
-def dense_ids(df: DataFrame, key: str, name: str = "id", prefix: int = 9) -> DataFrame:
-    """Ids 1..n in the order of a unique text key.
+def dense_ids(df: DataFrame, key: str, name: str = "id") -> DataFrame:
+    """Ids 1..n in the order of a unique key.
 
-    Keys are numbered within a leading part of the text, and the parts' counts give the offsets,
-    so only the list of parts passes through one window.
+    Rows are dealt into ranges of the key and written once with their range; they are numbered
+    within it, and the ranges' counts, one row for each task, give the offsets.
     """
-    parted = df.withColumn("_part", F.substring(F.col(key), 1, prefix))
-    counts = parted.groupBy("_part").agg(F.count("*").alias("_rows"))
+    ranged = stage(df.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_rows"))
     offsets = counts.select(
         "_part", (F.sum("_rows").over(W.orderBy("_part")) - F.col("_rows")).alias("_before")
     )
     within = W.partitionBy("_part").orderBy(key)
     return (
-        parted.withColumn("_place", F.row_number().over(within))
-        .join(offsets, "_part")
+        ranged.withColumn("_place", F.row_number().over(within))
+        .join(F.broadcast(offsets), "_part")
         .withColumn(name, (F.col("_before") + F.col("_place")).cast("int"))
         .drop("_part", "_place", "_before")
     )
