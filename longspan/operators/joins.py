@@ -93,15 +93,17 @@ def lookup_join(
     dimension: DataFrame,
     on: Sequence[str],
     how: str = "left",
-    max_rows: int = 200_000,
+    max_bytes: int = 16 << 20,
 ) -> DataFrame:
     """First-match lookup in a dimension: never multiplies rows.
 
-    The dimension is written once and counted. It is broadcast only when it has at most
-    `max_rows` rows; beyond that the join shuffles and splits hot keys.
+    The dimension is written once and its values are measured. It is broadcast only when they take
+    at most `max_bytes`; beyond that the join shuffles and splits hot keys. Both ways give the same
+    rows.
     """
     single = stage(first_per_key(dimension, on), "lookup")
-    if single.count() <= max_rows:
+    lengths = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + F.lit(8) for c in single.columns]
+    if (single.agg(F.sum(sum(lengths, F.lit(0)))).first()[0] or 0) <= max_bytes:
         return big.join(F.broadcast(single), list(on), how)
     return salted_join(big, single, on, how)
 

@@ -10,21 +10,16 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 def circular_bars(quality: DataFrame, baseline: float) -> DataFrame:
     """Label, place and angle on a circle, and height over a baseline, by rising AUROC.
 
-    `quality(site, method, auroc)` has one row per bar.
+    `quality(site, method, auroc)` has one row per bar, so one window over all of them is small.
     """
-    place = F.row_number().over(W.partitionBy("_chart").orderBy("auroc", "site", "method"))
-    bars = F.count("*").over(W.partitionBy("_chart"))
-    return (
-        quality.withColumn("_chart", F.lit(1))
-        .withColumns(
-            {
-                "label": F.concat_ws(" - ", "site", "method"),
-                "id": place,
-                "angle": 90 - 360 * (place - 0.5) / bars,
-                "height": F.col("auroc") - F.lit(baseline),
-            }
-        )
-        .select("label", "id", "angle", "auroc", "height")
+    place = F.row_number().over(W.orderBy("auroc", "site", "method"))
+    bars = F.count("*").over(W.partitionBy())
+    return quality.select(
+        F.concat_ws(" - ", "site", "method").alias("label"),
+        place.alias("id"),
+        (90 - 360 * (place - 0.5) / bars).alias("angle"),
+        "auroc",
+        (F.col("auroc") - F.lit(baseline)).alias("height"),
     )
 
 

@@ -31,10 +31,16 @@ def existing_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     """The paths of a generated list that are there; a missing batch is skipped, not an error."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
+    listed: dict[str, set[str]] = {}
     found = []
     for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        if target.getFileSystem(conf).exists(target):
+        parent, _, name = path.rstrip("/").rpartition("/")
+        if parent not in listed:  # one listing for each folder
+            folder = jvm.org.apache.hadoop.fs.Path(parent)
+            files = folder.getFileSystem(conf)
+            inside = files.listStatus(folder) if files.exists(folder) else []
+            listed[parent] = {s.getPath().getName() for s in inside}
+        if name in listed[parent]:
             found.append(path)
     return found
 
