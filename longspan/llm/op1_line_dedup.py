@@ -88,6 +88,8 @@ def line_dedup(
         .agg(F.countDistinct("doc").alias("n"), F.max("doc").alias("keeper"))
         .where(F.col("n") >= least_docs)
     )
+    # Written, so that the join's two sides are plain shuffles and Spark can split a frequent key.
+    frequent = stage(frequent, "frequent")
     drops = (
         suspects.join(frequent, "key")
         .where("doc <> keeper")
