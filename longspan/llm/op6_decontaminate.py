@@ -165,7 +165,7 @@ def _counted(docs: DataFrame, block: Block) -> dict[int, np.ndarray]:
                     row = row[row >= 0]
                     at = np.searchsorted(codes, row)
                     at[at == len(codes)] = 0
-                    sums[width] += np.bincount(at[codes[at] == row], minlength=len(codes))
+                    np.add.at(sums[width], at[codes[at] == row], 1)
         for width, lot in sums.items():
             some = np.flatnonzero(lot)
             yield pa.RecordBatch.from_pydict({"width": pa.array([width] * len(some), pa.int32()), "at": some, "n": lot[some]})
