@@ -104,6 +104,7 @@ def links(group: pa.Table, cosine: float) -> pa.RecordBatch:
     first, counts, parent = np.flatnonzero(role == 0), np.zeros(len(role), np.int64), np.arange(len(role))
     guests = bool((role == 2).any())
     visits, cell = group.column("visits"), group.column("cell")[0].as_py()
+    home = np.array([v[0].as_py() for v in visits]) if guests else role
     for k in range(0, len(first), 256):
         rows = first[k : k + 256]
         near = x[rows] @ x[second].T / (length[rows][:, None] * length[second]) >= cosine
@@ -112,9 +113,10 @@ def links(group: pa.Table, cosine: float) -> pa.RecordBatch:
             a, b = a[a < b], b[a < b]
         if guests and len(a):
             # The pair also meets in the guest's home if this home visits there; the smaller cell counts.
-            homes = np.array([visits[int(g)][0].as_py() for g in np.unique(b)])[np.searchsorted(np.unique(b), b)]
-            seen = {int(h): set(visits[int(h)].as_py()) for h in np.unique(a)}
-            once = np.array([not (g < cell and g in seen[int(h)]) for h, g in zip(a, homes)])
+            own, at_home = np.unique(a, return_inverse=True)
+            others, at_guest = np.unique(home[b], return_inverse=True)
+            seen = np.array([np.isin(others, visits[int(h)].values) for h in own])
+            once = (others >= cell)[at_guest] | ~seen[at_home, at_guest]
             a, b = a[once], b[once]
         counts += (np.bincount(a, n[b], len(role)) + np.bincount(b, n[a], len(role))).astype(np.int64)
         parent = join_up(parent, a, b)
