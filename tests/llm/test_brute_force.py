@@ -16,7 +16,7 @@ from longspan.llm import queries as listed
 from longspan.llm.bloom import at_most_twice, seen_twice
 from longspan.llm.components import components
 from longspan.llm.op1_line_dedup import line_dedup
-from longspan.llm.op2_language_id import Profiles, grams, leading
+from longspan.llm.op2_language_id import Profiles, fit_profiles, grams, in_known_language, leading
 from longspan.llm.op3_suffix_dedup import anchors, suffix_dedup
 from longspan.llm.op4_token_ids import Encoder, ids_at, levels_of, rank, read_tokens, write_tokens
 from longspan.llm.op5_toxicity import label_model
@@ -119,6 +119,20 @@ def test_held_out_languages(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_languages_that_were_not_learned_go(spark):
+    docs = given(spark, "documents", MEDIUM).select("doc_id", "lang", "text", "n_chars").cache()
+    assert in_known_language(docs).count() == docs.count()
+    for language in ("de", "en", "es", "fr"):
+        others = fit_profiles(docs.where(f"lang <> '{language}'"))
+        # Short texts, and parts in a learned language, can pass.
+        foreign = docs.where(f"lang = '{language}' and n_chars >= 400")
+        assert in_known_language(foreign, profiles=others).count() <= 0.05 * foreign.count()
+    italian = "La città era silenziosa e le strade erano vuote quando il vecchio uscì di casa per andare al mercato. Non aveva dormito bene, perché il vento aveva soffiato tutta la notte contro le finestre della camera, e adesso camminava piano."
+    texts = (italian, "Guten Tag")
+    short = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert [r.doc_id for r in in_known_language(short, profiles=fit_profiles(docs)).collect()] == [1]
+
+
 # 3 suffix arrays
 
 
