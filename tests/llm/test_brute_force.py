@@ -23,7 +23,7 @@ from longspan.llm.op5_toxicity import label_model
 from longspan.llm.op6_decontaminate import decontaminate, words_of
 from longspan.llm.op7_secrets import BEGIN, INSIDE, OUTSIDE, Field, scan, train
 from longspan.llm.op8_mix import closest_sum, fit_budget, mix, targets, words_in
-from longspan.llm.op9_embedding_dedup import embedding_groups
+from longspan.llm.op9_embedding_dedup import embedding_groups, place
 from longspan.llm.op10_simhash import fingerprint, links_within, masks, reference_fingerprints, simhash_groups
 from longspan.llm.suffix_groups import suffix_arrays
 from longspan.sources.stages import scratch_path
@@ -418,6 +418,25 @@ def test_embedding_recall(spark, block):
     assert (roots[a] == roots[b]).mean() >= 0.9
 
 
+def test_every_link_meets_in_a_cell():
+    """Pairs at cosine 0.93 to 0.95 of vectors without clusters, in 512 cells."""
+    rng = np.random.default_rng(17)
+    one = rng.normal(size=(2000, 16))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    off = rng.normal(size=one.shape)
+    off -= (off * one).sum(1, keepdims=True) * one
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9301, 0.95, (len(one), 1))
+    x = np.concatenate([one, cosine * one + np.sqrt(1 - cosine**2) * off])
+    centres = rng.normal(size=(512, 16))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    part = pa.RecordBatch.from_pydict({"embedding": pa.array(x.tolist(), pa.list_(pa.float64()))})
+    visits = place(part, {16: centres}, 0.93).column("visits").to_pylist()
+    assert [v[0] for v in visits] == (x @ centres.T).argmax(1).tolist()
+    assert all(a[0] in b or b[0] in a for a, b in zip(visits, visits[2000:]))
+    assert np.mean([len(v) for v in visits]) < 512
+
+
 # 10 SimHash
 
 
