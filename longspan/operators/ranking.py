@@ -1,8 +1,8 @@
 """Running sums, quantiles and ranks over a whole table without one task per table.
 
-A window with no partition key would send every row to one task. Here rows are first put into
-ordered buckets of about equal size; sums within a bucket are a window per bucket, and what lies
-before a bucket comes from the bucket totals, one row per bucket.
+A window with no partition key, or with a key that holds a third of the rows, would send them to one
+task. Here rows are dealt into ranges of (key, order) and written once with their range; sums within
+a range are a window per range, and what lies before a range is carried over from the ranges' totals.
 """
 
 from __future__ import annotations
@@ -16,65 +16,51 @@ from longspan.sources.stages import stage
 HASH_BUCKET_DIGITS = 4
 
 
-def bucket_count(df: DataFrame) -> int:
-    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def in_ranges(df: DataFrame, columns: Sequence[str], parts: int | None = None) -> DataFrame:
+    """The rows dealt into ranges of `columns`, written once with the number of their range, `_part`.
+
+    Ranges come from Spark's sample of the columns, so they are of about equal size and a key may
+    reach over several. `parts` defaults to the session's shuffle partitions.
+    """
+    dealt = df.repartitionByRange(*([parts] if parts else []), *columns)
+    return stage(dealt.withColumn("_part", F.spark_partition_id()), "ranged")
 
 
 def running_sums(
     df: DataFrame,
     keys: Sequence[str],
-    order: str,
+    order: str | Sequence[str],
     sums: Sequence[str],
-    buckets: int | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
-    """For rows unique by (keys, order): `<s>_before`, `<s>_total` and `next_<order>`.
+    """For rows unique by (keys, order): `<s>_before`, `<s>_total` and, for one order column, `next_<order>`.
 
-    `<s>_before` sums the rows with a smaller order value. The rows are read three times and so are
-    written once, which also keeps their source from being scanned again. Bucket edges are approximate quantiles,
-    so buckets are even; the sums are exact wherever the edges fall. The edges are one row per
-    key, and the totals one row per key and bucket. Keys name a few groups, such as score methods.
+    `<s>_before` sums the rows with a smaller order value. The totals are one row for each range and
+    key in it, so they number the keys plus the ranges at most. Nulls order first; keys are not null.
     """
-    keys = list(keys)
-    df = stage(df, "ranked")
-    buckets = buckets or bucket_count(df)
-    points = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
-    edges = df.groupBy(*keys).agg(
-        F.percentile_approx(order, points, F.lit(20 * buckets)).alias("_edges")
-    )
-    placed = df.join(F.broadcast(edges), keys).withColumn(
-        "_bucket", F.size(F.filter("_edges", lambda e: e <= F.col(order)))
-    ).drop("_edges")
-    totals = placed.groupBy(*keys, "_bucket").agg(
-        F.min(order).alias("_low"), *[F.sum(s).alias(f"_sum_{s}") for s in sums]
-    )
-    across = W.partitionBy(*keys).orderBy("_bucket")
+    keys, orders = list(keys), [order] if isinstance(order, str) else list(order)
+    following = isinstance(order, str)
+    placed = in_ranges(df, [*keys, *orders], parts)
+    place = [*keys, "_part"]
+    totals = placed.groupBy(*place).agg(F.min(orders[0]).alias("_low"), *[F.sum(s).alias(f"_sum_{s}") for s in sums])
+    across, whole = W.partitionBy(*keys).orderBy("_part"), W.partitionBy(*keys)
     earlier = across.rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*keys)
     offsets = totals.select(
-        *keys,
-        "_bucket",
+        *place,
         F.lead("_low").over(across).alias("_next_low"),
         *[F.coalesce(F.sum(f"_sum_{s}").over(earlier), F.lit(0)).alias(f"_off_{s}") for s in sums],
         *[F.sum(f"_sum_{s}").over(whole).alias(f"{s}_total") for s in sums],
     )
-    within = W.partitionBy(*keys, "_bucket").orderBy(order)
+    within = W.partitionBy(*place).orderBy(*orders)
     before = within.rowsBetween(W.unboundedPreceding, -1)
-    local = placed.withColumns(
-        {
-            **{f"_in_{s}": F.coalesce(F.sum(s).over(before), F.lit(0)) for s in sums},
-            "_next_in": F.lead(order).over(within),
-        }
-    )
-    return (
-        local.join(offsets, [*keys, "_bucket"])
-        .withColumns(
-            {
-                **{f"{s}_before": F.col(f"_in_{s}") + F.col(f"_off_{s}") for s in sums},
-                f"next_{order}": F.coalesce("_next_in", "_next_low"),
-            }
-        )
-        .drop("_bucket", "_next_in", "_next_low")
-        .drop(*[f"_in_{s}" for s in sums], *[f"_off_{s}" for s in sums])
+    local = placed.withColumns({f"_in_{s}": F.coalesce(F.sum(s).over(before), F.lit(0)) for s in sums})
+    if following:
+        local = local.withColumn("_next_in", F.lead(order).over(within))
+    out = local.join(offsets, place).withColumns({f"{s}_before": F.col(f"_in_{s}") + F.col(f"_off_{s}") for s in sums})
+    if following:
+        out = out.withColumn(f"next_{order}", F.coalesce("_next_in", "_next_low"))
+    return out.drop(
+        "_part", "_next_in", "_next_low", *[f"_in_{s}" for s in sums], *[f"_off_{s}" for s in sums]
     )
 
 
@@ -147,7 +133,7 @@ def dense_ids(df: DataFrame, key: str, name: str = "id") -> DataFrame:
     Rows are dealt into ranges of the key and written once with their range; they are numbered
     within it, and the ranges' counts, one row for each task, give the offsets.
     """
-    ranged = stage(df.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "ranged")
+    ranged = in_ranges(df, [key])
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_rows"))
     offsets = counts.select(
         "_part", (F.sum("_rows").over(W.orderBy("_part")) - F.col("_rows")).alias("_before")

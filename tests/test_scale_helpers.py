@@ -70,6 +70,30 @@ def test_running_sums_equal_cumsum(spark):
     assert got["next_x"].equals(groups["x"].shift(-1))
 
 
+def test_running_sums_of_a_key_over_many_ranges(spark):
+    """One key has most rows; the order is of two columns and holds nulls."""
+    rng = np.random.default_rng(5)
+    rows = [(int(k > 90), None if k % 50 == 0 else int(k // 7), int(k)) for k in rng.permutation(2000)]
+    got = ranking.running_sums(spark.createDataFrame(rows, "g int, a int, b int").withColumn("n", F.lit(1)), ["g"], ["a", "b"], ["n"], 16)
+    assert "next_a" not in got.columns
+    want = sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2]))
+    place = {r: k for k, r in enumerate(want)}
+    first = min(k for r, k in place.items() if r[0] == 1)
+    for r in got.collect():
+        assert r.n_before == place[(r.g, r.a, r.b)] - first * r.g
+        assert r.n_total == sum(1 for x in rows if x[0] == r.g)
+
+
+def test_running_sums_carry_offsets_by_range(spark):
+    """No row is compared with a list of edges, and no range of rows is one key's whole group."""
+    rows = spark.range(5000).selectExpr("'a' as g", "id as x", "1L as n")
+    got = ranking.running_sums(rows, ["g"], "x", ["n"], 8)
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in text and "_edges" not in text and "SinglePartition" not in text
+    parts = ranking.in_ranges(rows, ["g", "x"], 8).groupBy("_part").count().collect()
+    assert len(parts) == 8 and max(p["count"] for p in parts) < 2500
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(-20, 20), min_size=1, max_size=60))
 def test_quantiles_equal_numpy(spark, values):
