@@ -18,6 +18,9 @@ from longspan.llm.op7_secrets import secrets
 from longspan.llm.op8_mix import mix
 from longspan.llm.op9_embedding_dedup import embedding_groups
 from longspan.llm.op10_simhash import simhash_groups
+from longspan.llm.op11_sentencepiece import encode
+from longspan.llm.op12_conversation_trie import conversation_trie
+from longspan.llm.op13_hard_negatives import hard_negatives
 from longspan.sources.stages import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +103,25 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every document with spans in its bytes, decoded again."""
+    found = encode(given(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), "spans_crc32",
+    )
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of rebuilt conversations with the totals of their subtrees."""
+    return conversation_trie(given(spark, sf_dir, "conversations"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every hundredth vector and its best five of the same label, five near ones of others."""
+    return hard_negatives(given(spark, sf_dir, "embeddings"))
+
+
 OP1_SQL = r"""
 with split as (
   select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents
@@ -197,6 +219,74 @@ select m.vec_id, coalesce(k.n, 0) as n_links, m.component_id, m.vec_id = m.compo
 from least_root m left join links k on k.vec_id = m.vec_id
 """
 
+# CRC-32 of a decimal number by its bits, as the engine has no such function.
+OP12_SQL = """
+with spoken as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+), own as (
+  select conv_id, octet_length(encode(text)) as n_bytes,
+         md5(octet_length(encode(role)) || ':' || role || text) as code,
+         row_number() over (partition by conv_id order by turn nulls first, role, md5(octet_length(encode(role)) || ':' || role || text)) as place
+  from spoken
+), conv as (
+  select conv_id, conv_id - conv_id % 5 as base, count(*) as n_own,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(conv_id as varchar), ''), lambda c: ascii(c)::bigint)),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)),
+        lambda x, i: xor(x >> 1, case when x & 1 = 1 then 3988292384::bigint else 0::bigint end))), 4294967295::bigint) % 9 as h
+  from own group by conv_id
+), shape as (
+  select c.conv_id, c.base, c.h, c.n_own, least(c.h, coalesce(b.n_own, 0)) as taken from conv c left join conv b on b.conv_id = c.base
+), rebuilt as (
+  select s.conv_id, o.place as depth, o.code, o.n_bytes from shape s join own o on o.conv_id = s.base and o.place <= s.taken
+  union all
+  select s.conv_id, o.place - s.h + s.taken, o.code, o.n_bytes from shape s join own o on o.conv_id = s.conv_id and o.place > s.h
+), upto as (
+  select conv_id, depth, n_bytes, md5(string_agg(code, '') over (partition by conv_id order by depth)) as name,
+         depth = max(depth) over (partition by conv_id) as last
+  from rebuilt
+  union all
+  select conv_id, 0, 0, 'root', taken = 0 and n_own <= h from shape
+), node as (
+  select name, depth, min(conv_id) as conv_id, count(*) as n_convs, max(n_bytes) as n_bytes,
+         string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (last) as ends
+  from upto group by name, depth
+), child as (
+  select n.name, n.depth, p.conv_id as parent_conv_id, p.name as up
+  from node n join upto u on u.conv_id = n.conv_id and u.depth = n.depth - 1 join node p on p.name = u.name and p.depth = u.depth
+), children as (
+  select up as name, depth - 1 as depth, count(*) as n from child group by 1, 2
+), weight as (
+  select n.*, coalesce(c.n, 0) as n_children, (n.n_convs - 1) * n.n_bytes as saved from node n left join children c on c.name = n.name and c.depth = n.depth
+), total as (
+  select u.name, u.depth, count(*) filter (w.n_children = 0) as n_leaves, cast(sum(w.saved) as bigint) as saved_tokens
+  from weight w join upto u on u.conv_id = w.conv_id and u.depth <= w.depth group by 1, 2
+)
+select w.conv_id, w.depth, c.parent_conv_id, w.n_convs, w.n_children, t.n_leaves, t.saved_tokens, sha256(coalesce(w.ends, '')) as ends_sha256
+from weight w join total t on t.name = w.name and t.depth = w.depth left join child c on c.name = w.name and c.depth = w.depth
+"""
+
+OP13_SQL = """
+with r as (
+  select row_number() over () as row, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as e
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select a.row as anchor, a.vec_id as anchor_id, b.row as other, b.vec_id, a.label = b.label as same,
+         cast(list_inner_product(a.e, b.e) as bigint) as score
+  from r a join r b on len(a.e) = len(b.e) and a.row <> b.row where a.vec_id % 100 = 0
+), positive as (
+  select * from scored where same qualify row_number() over (partition by anchor order by score desc, vec_id) <= 5
+), pair as (
+  select p.anchor_id, p.vec_id as positive_id, p.score as positive_score, n.vec_id as negative_id, n.score as negative_score,
+         row_number() over (partition by p.anchor, p.other order by n.score desc, n.vec_id) as rank
+  from positive p join scored n on n.anchor = p.anchor and not n.same
+    and 80 * p.score <= 100 * n.score and 100 * n.score <= 100 * p.score
+)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from pair where rank <= 5
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
@@ -208,10 +298,15 @@ QUERIES: dict[str, Query] = {
     "op8_mix": op8_mix,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_simhash": op10_simhash,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1_SQL.strip(),
     "op3_suffix_dedup": OP3_SQL.strip(),
     "op6_decontaminate": OP6_SQL.strip(),
     "op9_embedding_dedup": OP9_SQL.strip(),
+    "op12_conversation_trie": OP12_SQL.strip(),
+    "op13_hard_negatives": OP13_SQL.strip(),
 }
