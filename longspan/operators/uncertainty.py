@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from longspan.operators.cooccur import daily_counts, lagged_products
 from longspan.operators.embed import leading_vectors
+from longspan.operators.moments import merged_states, moment_states, sample_variance
+from longspan.sources.resume import Steps
 
 COSINE_SCHEMA = "period int, patient_num bigint, feature_id string, cos double"
 
@@ -144,6 +148,45 @@ def cosine_variance(cosines: DataFrame, events: DataFrame) -> DataFrame:
     return per_code.join(F.broadcast(total), "period").join(F.broadcast(original), "period")
 
 
+def batched_variance(events: DataFrame, steps: Steps, anchor: str, batches: int = 4, **how) -> DataFrame:
+    """What `cosine_variance` gives, from patient batches that are computed and stored one by one.
+
+    The events are written by batch once; each batch's cosines become moment states by period and
+    code, with its numbers of patients, and only these are stored. A later application reads the
+    batches that are finished. Batches are a hash of the patient, so none of them is a hot one.
+    """
+    batch = F.pmod(F.xxhash64("patient_num"), F.lit(batches)).cast("int")
+    narrow = events.select("patient_num", "start_date", "feature_id", batch.alias("batch"))
+    dealt = steps.step("events", lambda: narrow.repartition("batch", "patient_num"), ["batch"], batches=batches)
+    told = {"anchor": anchor, "batches": batches, **how}
+    states, patients = [], []
+    for k in range(batches):
+        own = dealt.where(F.col("batch") == k).drop("batch")
+        cosines = steps.step("cosines", lambda: patient_cosines(own, anchor, **how), batch=k, **told)
+        states.append(steps.step("moments", lambda: moment_states(cosines, ["period", "feature_id"], "cos"), batch=k, **told))
+        patients.append(steps.step("patients", lambda: patient_numbers(cosines, own), batch=k, **told))
+    merged = merged_states(reduce(DataFrame.unionByName, states), ["period", "feature_id"])
+    numbers = reduce(DataFrame.unionByName, patients).groupBy("period").agg(
+        F.sum("n_total").alias("n_total"), F.sum("n_original").alias("n_original")
+    )
+    # One row per period on the broadcast side.
+    return merged.select(
+        "period", "feature_id", sample_variance().alias("emph_var"), F.col("state.n").alias("n_valid")
+    ).join(F.broadcast(numbers.where("n_total > 0")), "period")
+
+
+def patient_numbers(cosines: DataFrame, events: DataFrame) -> DataFrame:
+    """Per period the patients that took part and all of them."""
+    total = cosines.select("period", "patient_num").distinct().groupBy("period").agg(F.count("*").alias("n_total"))
+    original = (
+        events.select(F.year("start_date").cast("int").alias("period"), "patient_num")
+        .distinct()
+        .groupBy("period")
+        .agg(F.count("*").alias("n_original"))
+    )
+    return original.join(total, "period", "left").fillna(0, ["n_total"])
+
+
 def scaled_spread(
     variance: DataFrame, least_effective: float = 50, root_of_mean: bool = False
 ) -> DataFrame:

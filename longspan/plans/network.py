@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
 
-from longspan.operators import cooccur, embed, features, trend, uncertainty
+from pyspark.sql import DataFrame, functions as F
+
+from longspan.operators import cooccur, embed, features, moments, trend, uncertainty
 from longspan.plans.base import Inputs, query, rounded
 from longspan.plans.events import CARRIED, HARMONISED_SQL, CARRIED_SQL, PREVALENCE_SQL, united_sites
 from longspan.sources import files
+from longspan.sources.resume import Steps, job_folder
 from longspan.sources.stages import scratch_path, stage
 from longspan.sources.views import ANCHOR
 
@@ -231,6 +234,45 @@ def patient_cosine_var(spark, sf_dir):
     return uncertainty.scaled_spread(uncertainty.cosine_variance(cosines, events))
 
 
+@query("patient_cosine_var_batches")
+def patient_cosine_var_batches(spark, sf_dir, folder=None):
+    """The spread of `patient_cosine_var` from stored patient batches; a later run reads them."""
+    steps = Steps(spark, folder or job_folder(spark, "patient_cosine_var"), [f"{sf_dir}/events.parquet"])
+    variance = uncertainty.batched_variance(Inputs(spark, sf_dir).ev, steps, "purchase:0")
+    steps.drop_stale()
+    return uncertainty.scaled_spread(variance)
+
+
+@query(
+    "variance_batches",
+    """
+    with n as (select year(start_date) as period, patient_num, feature_id, ln(1 + count(*)) as x from ev group by all)
+    select cast(period as int) as period, feature_id, count(*) as n, round(avg(x), 6) as mean, round(var_samp(x), 6) as variance
+    from n group by 1, 2
+    """,
+    ("ev",),
+)
+def variance_batches(spark, sf_dir, folder=None, batches=4):
+    """Variance over patients of their log counts by year and code, gathered from batches of
+    patients that are stored as they are finished; a later run goes on from them."""
+    steps = Steps(spark, folder or job_folder(spark, "variance"), [f"{sf_dir}/events.parquet"], batches=batches)
+
+    def values():
+        batch = F.pmod(F.xxhash64("patient_num"), F.lit(batches)).cast("int").alias("batch")
+        keys = [F.year("start_date").alias("period"), "patient_num", "feature_id"]
+        return Inputs(spark, sf_dir).ev.groupBy(*keys).agg(F.log1p(F.count("*")).alias("x")).select("*", batch)
+
+    rows = steps.step("values", values, ["batch"])
+    states = [
+        steps.step("states", lambda: moments.moment_states(rows.where(F.col("batch") == k), ["period", "feature_id"], "x"), batch=k)
+        for k in range(batches)
+    ]
+    steps.drop_stale()
+    merged = moments.merged_states(reduce(DataFrame.unionByName, states), ["period", "feature_id"])
+    out = merged.select("period", "feature_id", "state.n", "state.mean", moments.sample_variance().alias("variance"))
+    return rounded(out, "mean", "variance")
+
+
 SERIES_SQL = f"""
     p as ({PREVALENCE_SQL}),
     s as (select feature_id as drug, year, freq as cos,
