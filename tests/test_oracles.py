@@ -12,7 +12,7 @@ from longspan.sources.views import TABLES
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 # Queries whose spread is null where there are too few patients, as in the smallest tables.
-BANDS = ("anchor_series_band", "patient_cosine_var")
+BANDS = ("anchor_series_band", "patient_cosine_var", "patient_cosine_var_batches")
 # Tests of exact fits and thresholds above all scores are infinite.
 INFINITE = ("anchor_trends", "phenotype_quality")
 BAND = ("sd", "high_se", "low_se")
