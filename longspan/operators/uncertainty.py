@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from longspan.operators.cooccur import daily_counts, lagged_products
+from longspan.operators.cooccur import BLOCK_CELLS, daily_counts
 from longspan.operators.embed import leading_vectors
+from longspan.operators.lanczos import leading_pairs
 from longspan.operators.moments import merged_states, moment_states, sample_variance
 from longspan.sources.resume import Steps
 
+#: Dimensions of a patient's vectors, and codes up to which one dense solve is made.
+DIMS, DENSE = 100, 256
 COSINE_SCHEMA = "period int, patient_num bigint, feature_id string, cos double"
 
 
@@ -52,20 +56,15 @@ def _anchor_cosines(
     kept = neighbour_sums(day, place, m, len(codes), window) > 5
     if kept.sum() < 5 or not kept[np.searchsorted(codes, anchor)]:
         return none
-    # Only codes that stay enter the dense table.
     codes, rows = codes[kept], kept[place]
     place = (np.cumsum(kept) - 1)[place[rows]]
-    later = np.ones(len(place), dtype=bool)
-    blocks = lagged_products(day[rows], place, m[rows], later, len(codes), window)
-    pairs = np.vstack([block for _, block in blocks])
-    both = pairs + pairs.T
-    np.fill_diagonal(both, np.diag(pairs))
-    sums = both.sum(axis=1)
-    live = sums > 0
-    with np.errstate(divide="ignore", invalid="ignore"):
-        pmi = np.log(both * sums.sum() / np.outer(sums, sums))
-    pmi = np.where(np.isfinite(pmi) & (pmi > 0) & np.outer(live, live), pmi, 0.0)
-    vectors = leading_vectors(pmi, 100)
+    pairs = PatientPairs(day[rows], place, m[rows], len(codes), window)
+    if len(codes) <= DENSE:
+        vectors = leading_vectors(np.vstack([pmi for _, pmi in pairs.pmi()]), DIMS)
+    else:
+        values, found = leading_pairs(pairs.times, len(codes), DIMS)
+        positive = values > 1e-10 * max(1.0, float(np.abs(values).max()))
+        vectors = found[:, positive] * np.sqrt(values[positive])
     if vectors.shape[1] < 3:
         return none
     length = np.linalg.norm(vectors, axis=1)
@@ -76,6 +75,43 @@ def _anchor_cosines(
     return codes[usable], vectors[usable] @ vectors[at] / (length[usable] * length[at])
 
 
+class PatientPairs:
+    """One patient's positive PMI by blocks of rows, made anew from daily counts for each use.
+
+    What is held is days by codes, so memory grows with the codes and not with their square.
+    """
+
+    def __init__(self, day: np.ndarray, place: np.ndarray, m: np.ndarray, size: int, window: int):
+        days, row = np.unique(day, return_inverse=True)
+        self.size, self.own = size, np.zeros((len(days), size))
+        np.add.at(self.own, (row, place), m)
+        running = np.vstack([np.zeros((1, size)), np.cumsum(self.own, axis=0)])
+        self.earlier = running[:-1] - running[np.searchsorted(days, days - window, side="left")]
+        # Pairs count in both directions, those of a code with itself once.
+        met = self.own.T @ self.earlier.sum(axis=1) + self.earlier.T @ self.own.sum(axis=1)
+        self.sums = met - np.einsum("dk,dk->k", self.own, self.earlier)
+
+    def pmi(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(first row, block of rows); codes without pairs have none."""
+        step = max(1, BLOCK_CELLS // 4 // self.size)
+        total = self.sums.sum()
+        inverse = np.divide(1.0, self.sums, out=np.zeros(self.size), where=self.sums > 0)
+        for first in range(0, self.size, step):
+            rows = slice(first, min(first + step, self.size))
+            block = self.own[:, rows].T @ self.earlier
+            block += self.earlier[:, rows].T @ self.own
+            line = np.arange(block.shape[0])
+            block[line, first + line] /= 2
+            block *= inverse[rows, None] * total
+            block *= inverse
+            # A ratio of one or less has no positive information.
+            np.log(np.maximum(block, 1.0, out=block), out=block)
+            yield first, block
+
+    def times(self, vectors: np.ndarray) -> np.ndarray:
+        return np.vstack([block @ vectors for _, block in self.pmi()])
+
+
 def patient_cosines(
     events: DataFrame, anchor: str, window: int = 30, least_records: int = 20
 ) -> DataFrame:
@@ -83,7 +119,8 @@ def patient_cosines(
 
     Patients with more than `least_records` records in the period take part. A group is one
     patient's (day, code, count) rows of one year, at most 366 rows per code, whatever the number
-    of records. A patient without a usable vector gives one row with null code and cosine.
+    of records; a patient with many codes is solved by products with blocks of rows, in memory that
+    grows with the codes only. A patient without a usable vector gives one row with null code and cosine.
     """
     # Windows over the grouping that the solve needs anyway. Who lacks the anchor can have no
     # cosine and never reaches Python.

@@ -253,3 +253,85 @@ def test_pmi_of_large_counts(spark):
         {(r.i, r.j): r.pmi for r in cooccur.positive_pmi(t).collect()} for t in (table, small)
     )
     assert set(large) == set(want) and all(large[k] == pytest.approx(want[k]) for k in want)
+
+
+def patient_pmi(day, place, m, size, window):
+    """Positive PMI of one patient, as one table."""
+    met = ((day[:, None] - day >= 1) & (day[:, None] - day <= window)) * np.outer(m, m)
+    one_hot = np.eye(size)[place]
+    pairs = one_hot.T @ met @ one_hot
+    both = pairs + pairs.T
+    np.fill_diagonal(both, np.diag(pairs))
+    sums = both.sum(1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        pmi = np.log(both * sums.sum() / np.outer(sums, sums))
+    return np.where(np.isfinite(pmi) & (pmi > 0), pmi, 0.0)
+
+
+def test_blocks_of_a_patient_equal_the_table(monkeypatch):
+    rng = np.random.default_rng(8)
+    day, place, m = rng.integers(0, 90, 400), rng.integers(0, 30, 400), rng.integers(1, 4, 400)
+    cells = sorted(set(zip(day.tolist(), place.tolist())))
+    day, place, m = np.array(cells)[:, 0], np.array(cells)[:, 1], m[: len(cells)].astype(float)
+    want = patient_pmi(day, place, m, 31, 10)
+    for cells in (4, 400, 10**6):
+        monkeypatch.setattr(uncertainty, "BLOCK_CELLS", cells)
+        pairs = uncertainty.PatientPairs(day, place, m, 31, 10)
+        assert np.allclose(np.vstack([b for _, b in pairs.pmi()]), want)
+        x = rng.normal(size=(31, 3))
+        assert np.allclose(pairs.times(x), want @ x)
+
+
+def wide_patient(codes, days=40, topics=60, seed=9):
+    """Codes of one topic tend to meet on the same days."""
+    rng = np.random.default_rng(seed)
+    topic = rng.integers(0, topics, codes)
+    busy = rng.random((days, topics)) < 0.2
+    seen = (rng.random((days, codes)) < 0.05) | (busy[:, topic] & (rng.random((days, codes)) < 0.5))
+    seen[:3, 0] = True
+    day, place = np.nonzero(seen)
+    return day * 4, np.array([f"c{k:05d}" for k in place], dtype=object), np.ones(len(day))
+
+
+def test_lanczos_within_a_patient_equals_the_dense_solve(monkeypatch):
+    day, code, m = wide_patient(500)
+    got = uncertainty._anchor_cosines(day, code, m, "c00000", 8)
+    monkeypatch.setattr(uncertainty, "DENSE", 10**6)
+    want = uncertainty._anchor_cosines(day, code, m, "c00000", 8)
+    assert len(got[0]) > 400 and (got[0] == want[0]).all()
+    assert np.allclose(got[1], want[1], atol=1e-7)
+
+
+def test_a_patient_with_thousands_of_kept_codes_in_bounded_memory():
+    """No table of codes by codes: 5,000 kept codes take less than half of one such table."""
+    import tracemalloc
+
+    day, code, m = wide_patient(5_300, days=24)  # some of them meet too few others
+    tracemalloc.start()
+    codes, values = uncertainty._anchor_cosines(day, code, m, "c00000", 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(codes) >= 5_000 and np.abs(values).max() <= 1 + 1e-9
+    assert peak < 5_000**2 * 8 / 2
+
+
+@pytest.mark.parametrize("size,dims", [(5, 3), (40, 40), (300, 20)])
+def test_leading_pairs_equal_eigh(size, dims):
+    from longspan.operators.lanczos import leading_pairs
+
+    rng = np.random.default_rng(size)
+    q, _ = np.linalg.qr(rng.normal(size=(size, size)))
+    values = np.sort(np.concatenate([rng.normal(size=size - 2), [4.0, 4.0]]))[::-1]
+    a = q * values @ q.T
+    got, vectors = leading_pairs(lambda x: a @ x, size, dims, block=8)
+    assert np.allclose(got, values[:dims], atol=1e-8)
+    assert np.allclose(a @ vectors, vectors * got, atol=1e-6)
+
+
+def test_unsettled_pairs_raise():
+    from longspan.operators.lanczos import leading_pairs
+
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=(200, 200))
+    with pytest.raises(RuntimeError):
+        leading_pairs(lambda x: (a + a.T) @ x, 200, 10, block=2, most_rounds=3)
