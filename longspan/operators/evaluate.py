@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from longspan.operators.joins import null_safe_join
 from longspan.operators.ranking import quantiles, running_sums
@@ -211,40 +211,113 @@ def poisson_steps() -> list[float]:
     return steps
 
 
-def bootstrap_areas(
-    df: DataFrame, key: str, rounds: int = 50, seed: int = 11, **names
+def resampled_groups(
+    df: DataFrame, key: str, sums: dict[str, Column], rounds: int, seed: int, method: str, score: str
 ) -> DataFrame:
-    """Mean and spread of AUROC over resamples with hashed Poisson(1) weights.
+    """(method, round, score, *sums) with hashed Poisson(1) weights; round 0 has the rows as they are.
 
     A row's weight in a round comes from the md5 of its key, the round and the seed, so resamples
-    repeat under any partitioning and in any engine. Resamples are extra groups of the same job.
+    repeat under any partitioning and in any engine. All rounds of a distinct score are summed side
+    by side before the shuffle, so a row is read once and not copied for each round.
     """
+    steps = F.array(*[F.lit(s) for s in poisson_steps()])
+
+    def weight(draw: Column) -> Column:
+        code = F.md5(F.concat_ws(":", F.col(key).cast("string"), draw, F.lit(seed)).cast("binary"))
+        unit = F.conv(F.substring(code, 1, 13), 16, 10).cast("bigint") / F.lit(float(2**52))
+        return F.when(draw == 0, 1).otherwise(F.size(F.filter(steps, lambda s: s <= unit)))
+
+    weighed = df.where(F.col(score).isNotNull()).select(
+        F.col(method).alias("method"), F.col(score).alias("score"),
+        *[value.cast("bigint").alias(name) for name, value in sums.items()],
+        F.transform(F.sequence(F.lit(0), F.lit(rounds)), weight).alias("_w"),
+    )
+    each = F.array(
+        *[
+            F.struct(*[F.sum(F.col("_w")[k] * F.col(name)).alias(name) for name in sums])
+            for k in range(rounds + 1)
+        ]
+    )
+    side = weighed.groupBy("method", "score").agg(each.alias("_rounds"))
+    return side.select("method", "score", F.posexplode("_rounds").alias("round", "_s")).select(
+        "method", "round", "score", *[F.col(f"_s.{name}").alias(name) for name in sums]
+    )
+
+
+def bootstrap_areas(
+    df: DataFrame, key: str, rounds: int = 50, seed: int = 11, **names
+) -> DataFrame:
+    """Mean and spread of AUROC over resamples of cases and controls."""
     method, label, score = (
         names.get(k, d) for k, d in (("method", "method"), ("label", "y"), ("score", "score"))
     )
-    known = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
-    draws = known.withColumn("_round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    code = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("_round"), F.lit(seed)).cast("binary"))
-    unit = F.conv(F.substring(code, 1, 13), 16, 10).cast("bigint") / F.lit(float(2**52))
-    steps = F.array(*[F.lit(s) for s in poisson_steps()])
-    weight = F.size(F.filter(steps, lambda s: s <= F.col("_unit")))
-    grouped = (
-        draws.withColumn("_unit", unit)
-        .withColumn("_w", weight)
-        .where(F.col("_w") > 0)
-        .groupBy(
-            F.concat_ws("|", F.col(method), F.col("_round").cast("string")).alias("method"),
-            F.col(score).alias("score"),
-        )
-        .agg(
-            F.sum(F.col("_w") * F.col(label)).alias("pos"),
-            F.sum(F.col("_w") * (1 - F.col(label))).alias("neg"),
-        )
+    known = df.where(F.col(label).isNotNull())
+    sums = {"pos": F.col(label), "neg": 1 - F.col(label)}
+    groups = resampled_groups(known, key, sums, rounds, seed, method, score)
+    drawn = groups.where("round > 0 and pos + neg > 0").withColumn(
+        "method", F.concat_ws("|", "method", F.col("round").cast("string"))
     )
-    ranked = running_sums(grouped, ["method"], "score", ["pos", "neg"])
     return (
-        area_rows(ranked)
+        area_rows(running_sums(drawn, ["method"], "score", ["pos", "neg"]))
         .withColumn("method", F.split_part("method", F.lit("|"), F.lit(1)))
         .groupBy("method")
         .agg(F.avg("auroc").alias("auroc_mean"), F.stddev_samp("auroc").alias("auroc_sd"))
     )
+
+
+CASE_METRICS = ["auroc", "fpr", "sensitivity", "ppv", "f_score"]
+
+
+def case_only_evaluation(
+    df: DataFrame, key: str, known: Column, top: float = 0.2, least_share: float = 0.1,
+    rounds: int = 50, seed: int = 11, method: str = "method", score: str = "score",
+) -> DataFrame:
+    """(method, metric, estimate, mean, sd, low, high): quality where only some cases are known.
+
+    `known` marks sure cases; the other rows are cases and controls nobody has looked at. The score's
+    distribution over all rows is then a mixture, with the known cases' one as the cases' part. The
+    cases' share is the least ratio of the two tails, over tails with `least_share` of the known
+    cases; the controls' distribution is what is left, which gives the area, and at the cut that
+    `top` of all rows pass the false positive rate, sensitivity, precision and F-score. Means,
+    spreads and 95% percentile intervals are over resamples of the rows.
+    """
+    cuts = quantiles(df.where(F.col(score).isNotNull()), [method], score, [1 - top]).select(
+        F.col(method).alias("method"), F.col("quantiles")[0].alias("cut")
+    )
+    sums = {"n_all": F.lit(1), "n_known": F.coalesce(known, F.lit(False)).cast("int")}
+    groups = resampled_groups(df, key, sums, rounds, seed, method, score).where("n_all > 0")
+    # One row per method.
+    ranked = running_sums(groups, ["method", "round"], "score", list(sums)).join(F.broadcast(cuts), "method")
+    zero = F.lit(0.0)
+    cases, everyone = (F.nullif(F.col(f"{n}_total").cast("double"), zero) for n in ("n_known", "n_all"))
+    tail = (F.col("n_known_total") - F.col("n_known_before")) / cases
+    whole_tail = (F.col("n_all_total") - F.col("n_all_before")) / everyone
+    above = F.col("score") > F.col("cut")
+    measured = ranked.groupBy("method", "round").agg(
+        F.min(F.when(tail >= least_share, whole_tail / tail)).alias("p"),
+        F.sum(F.col("n_known") * (F.col("n_all_before") + F.col("n_all") / 2) / cases / everyone).alias("wins"),
+        F.sum(F.when(above, F.col("n_known")).otherwise(0) / cases).alias("sensitivity"),
+        F.sum(F.when(above, F.col("n_all")).otherwise(0) / everyone).alias("rate"),
+    )
+
+    def within(value: Column) -> Column:
+        """Cut to 0 and 1; no value stays none."""
+        return F.when(value.isNotNull(), F.greatest(F.least(value, F.lit(1.0)), zero))
+
+    p, sens, rate = within(F.col("p")), F.col("sensitivity"), F.col("rate")
+    controls = F.nullif(1 - p, zero)
+    metrics = measured.withColumns(
+        {
+            "auroc": (F.col("wins") - p / 2) / controls,
+            "fpr": within((rate - p * sens) / controls),
+            "ppv": within(p * sens / F.nullif(rate, zero)),
+        }
+    ).withColumn("f_score", 2 * F.col("ppv") * sens / F.nullif(F.col("ppv") + sens, zero))
+    long = metrics.unpivot(["method", "round"], CASE_METRICS, "metric", "value")
+    drawn = F.when(F.col("round") > 0, F.col("value"))
+    ends = F.percentile(drawn, F.array(F.lit(0.025), F.lit(0.975)))
+    # Rounds are few, so a group has as many rows as rounds.
+    return long.groupBy("method", "metric").agg(
+        F.max(F.when(F.col("round") == 0, F.col("value"))).alias("estimate"),
+        F.avg(drawn).alias("mean"), F.stddev_samp(drawn).alias("sd"), ends[0].alias("low"), ends[1].alias("high"),
+    )

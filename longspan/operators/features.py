@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -196,6 +197,21 @@ def class_events(events: DataFrame, codes: DataFrame) -> DataFrame:
     )
 
 
+def in_years(
+    events: DataFrame, first_year: int | None = None, last_year: int | None = None
+) -> DataFrame:
+    """Events from the first day of one year to the last of another; a bound may be open.
+
+    The bounds are stated on the date column itself, so they reach the Parquet scan, which skips row
+    groups by their dates; files from `stages.save_clustered` have narrow ones.
+    """
+    if first_year is not None:
+        events = events.where(F.col("start_date") >= F.lit(datetime.date(first_year, 1, 1)))
+    if last_year is not None:
+        events = events.where(F.col("start_date") < F.lit(datetime.date(last_year + 1, 1, 1)))
+    return events
+
+
 def yearly_prevalence(
     events: DataFrame, first_year: int | None = None, last_year: int | None = None
 ) -> DataFrame:
@@ -207,11 +223,7 @@ def yearly_prevalence(
     """
     code = F.struct(F.lit(False).alias("_all"), F.col("feature_id"))
     total = F.struct(F.lit(True).alias("_all"), F.lit(None).cast("string").alias("feature_id"))
-    years = events.withColumn("year", F.year("start_date"))
-    if first_year is not None:
-        years = years.where(F.col("year") >= first_year)
-    if last_year is not None:
-        years = years.where(F.col("year") <= last_year)
+    years = in_years(events, first_year, last_year).withColumn("year", F.year("start_date"))
     cells = (
         years.select("year", "patient_num", F.inline(F.array(code, total)))
         .groupBy("year", "patient_num", "_all", "feature_id")

@@ -8,11 +8,15 @@ parameters settle, so the driver never holds a row per patient.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from longspan.operators.ranking import running_sums
+
 BINS = 4096
 
 
@@ -265,10 +269,26 @@ def normal_cdf(x: np.ndarray, mean: float, variance: float) -> np.ndarray:
     return np.array([0.5 * math.erfc((mean - v) / math.sqrt(2 * variance)) for v in x])
 
 
-def distance_to_fit(x: np.ndarray, w: np.ndarray, pair: NormalPair) -> float:
-    """Largest gap between the binned distribution function and the fitted one."""
-    seen = (np.cumsum(w) - w / 2) / w.sum()
-    fitted = pair.share * normal_cdf(x, pair.high, pair.variance) + (1 - pair.share) * normal_cdf(
-        x, pair.low, pair.variance
-    )
-    return float(np.abs(seen - fitted).max())
+def distances_to_fit(
+    df: DataFrame, pairs: dict[str, NormalPair], key: str = "method", x: str = "x", weight: str = "w"
+) -> dict[str, float]:
+    """Per key the largest gap between the exact distribution function and the fitted one.
+
+    The rows are one for each distinct value; their running sums give the function just below and
+    at each value, and only the largest gaps leave the tasks.
+    """
+    ranked = running_sums(df, [key], x, [weight])
+
+    def gaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for name, part in rows.groupby(key):
+                pair, v = pairs[name], part[x].to_numpy(float)
+                fitted = pair.share * normal_cdf(v, pair.high, pair.variance) + (1 - pair.share) * normal_cdf(v, pair.low, pair.variance)
+                below, total = part[f"{weight}_before"].to_numpy(float), part[f"{weight}_total"].to_numpy(float)
+                at = below + part[weight].to_numpy(float)
+                gap = np.maximum(np.abs(below / total - fitted), np.abs(at / total - fitted))
+                yield pd.DataFrame({key: [name], "gap": [float(gap.max())]})
+
+    columns = [key, x, weight, f"{weight}_before", f"{weight}_total"]
+    largest = ranked.select(*columns).mapInPandas(gaps, f"`{key}` string, gap double").groupBy(key).agg(F.max("gap").alias("gap"))
+    return {row[key]: row.gap for row in largest.collect()}

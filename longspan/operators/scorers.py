@@ -7,6 +7,7 @@ being computed in that patient's row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -15,9 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from longspan.operators.mixture import (
-    binned,
-    distance_to_fit,
-    fit_normal_bins,
+    distances_to_fit,
     fit_normals,
     fit_poissons,
 )
@@ -204,23 +203,22 @@ def normalised_configs(features: Sequence[str]) -> list[NormalisedConfig]:
 def choose_exponents(df: DataFrame, surrogates: Sequence[str]) -> dict[str, float]:
     """Utilisation exponent per surrogate whose normalised log count is closest to a two-normal fit.
 
-    The grid's distributions are binned in one aggregate; the driver sees bins only.
+    Every grid point is fitted to all its distinct values until the fit converges, all points in the
+    same rounds, and its distance is that of the exact distribution functions.
     """
-    counts = stage(long_counts(df, surrogates), "exponents")
-    grid = counts.select(
+    grid = long_counts(df, surrogates).select(
         "method", "w", F.log1p("y").alias("_x"), F.log1p("e").alias("_z"),
         F.explode(F.array(*[F.lit(a) for a in ALPHAS])).alias("alpha"),
     ).select(
-        F.concat_ws("|", "method", F.col("alpha").cast("string")).alias("key"),
+        F.concat_ws("|", "method", F.col("alpha").cast("string")).alias("method"),
         (F.col("_x") - F.col("alpha") * F.col("_z")).alias("x"),
         "w",
     )
+    values = stage(grid.groupBy("method", "x").agg(F.sum("w").alias("w")), "exponents")
     best: dict[str, tuple[float, float]] = {}
-    for key, (x, w) in sorted(binned(grid, "key", "x", "w").items()):
+    for key, gap in sorted(distances_to_fit(values, fit_normals(values)).items()):
         name, alpha = key.split("|")
-        gap = distance_to_fit(x, w, fit_normal_bins(x, w))
-        if name not in best or gap < best[name][0]:
-            best[name] = (gap, float(alpha))
+        best[name] = min(best.get(name, (math.inf, 0.0)), (gap, float(alpha)))
     return {name: alpha for name, (_, alpha) in best.items()}
 
 

@@ -71,6 +71,25 @@ def scan_name_pattern(spark, sf_dir):
     )
 
 
+@query(
+    "scan_filter_on_load",
+    f"""
+    select patient_num, start_date, feature_id from ehr where feature_id = '{ANCHOR}'
+    """,
+    ("ehr",),
+)
+def scan_filter_on_load(spark, sf_dir):
+    """Batches of a thousand patients written as text; a generated list of them, some missing, is
+    read with a filter on load."""
+    data = Inputs(spark, sf_dir)
+    path = scratch_path(spark, "batches")
+    dealt = data.ehr.withColumn("batch", F.floor(F.col("patient_num") / 1000))
+    files.write_csv(dealt.repartition("batch", "feature_id"), path, ["batch"])
+    last = dealt.agg(F.max("batch")).first()[0] or 0
+    names = [f"{path}/batch={k}" for k in range(-1, last + 3)]
+    return files.read_batches(spark, names, files.EVENT_SCHEMA, F.col("feature_id") == ANCHOR)
+
+
 @query(
     "dimension_scan",
     """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from longspan.operators import features, summary
 from longspan.operators.scorers import covariance
 from longspan.plans.base import Inputs, query, rounded
+from longspan.sources.stages import load_table, save_clustered, scratch_path
 from longspan.sources.views import ANCHOR, CONCEPT
 
 COUNTS_SQL = """
@@ -270,3 +271,18 @@ def yearly_prevalence(spark, sf_dir):
 )
 def exclude_out_of_range(spark, sf_dir):
     return features.in_range_counts(Inputs(spark, sf_dir).ehr, "1995-02-01", "2023-12-31")
+
+
+@query(
+    "prevalence_of_years",
+    f"""
+    with p as ({PREVALENCE_SQL})
+    select year, feature_id, n, npe, round(freq, 6) as freq, totalcount from p where year between 1994 and 1996
+    """,
+    ("ehr",),
+)
+def prevalence_of_years(spark, sf_dir):
+    """Prevalence of some years, from events kept in files clustered by date: only these are read."""
+    path = scratch_path(spark, "by-date")
+    save_clustered(Inputs(spark, sf_dir).ehr, path, ["start_date", "patient_num"])
+    return rounded(features.yearly_prevalence(load_table(spark, path), 1994, 1996), "freq")

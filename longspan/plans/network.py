@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from longspan.operators import cooccur, embed, features, moments, trend, uncertainty
+from longspan.operators import cooccur, embed, features, levels, moments, trend, uncertainty
 from longspan.plans.base import Inputs, query, rounded
 from longspan.plans.events import CARRIED, HARMONISED_SQL, CARRIED_SQL, PREVALENCE_SQL, united_sites
 from longspan.sources import files
@@ -335,6 +335,7 @@ def series_ci(spark, sf_dir):
     r as (select l.panel, c.drug, c.year, c.cos from classed c join listed l on c.drug = l.drug),
     big as (select panel from r group by 1 having count(distinct drug) > 2)
     select panel, drug, year, round(cos, 6) as cos, drug = panel as is_class,
+      cast(dense_rank() over (partition by panel order by drug <> panel, drug) as int) as level,
       count(cos) over (partition by panel, drug) as n_valid,
       case when count(cos) over (partition by panel, drug) > 4 then 'loess' else 'lm' end as smoother
     from r where panel in (select panel from big)
@@ -351,9 +352,31 @@ def class_panel(spark, sf_dir):
         .agg((F.sum("cos") / 10).alias("cos"))
     )
     rows = series.where(F.col("n") >= 15).select("drug", "year", "cos").unionByName(classes)
-    return rounded(trend.class_panels(rows, members), "cos").select(
-        "panel", "drug", "year", "cos", "is_class", "n_valid", "smoother"
-    )
+    panels = stage(trend.class_panels(rows, members), "panels")
+    ordered = levels.with_level(panels, panel_order(panels), "drug", ["panel"])
+    return rounded(ordered, "cos").select("panel", "drug", "year", "cos", "is_class", "level", "n_valid", "smoother")
+
+
+def panel_order(panels: DataFrame) -> DataFrame:
+    """The class itself first, then its members in order."""
+    return levels.ordered_levels(panels, "drug", ["panel"], F.col("is_class"))
+
+
+@query(
+    "ordered_levels",
+    """
+    select feature_id, cast(dense_rank() over (order by feature_id not like 'PheCode:%', feature_id) as int) as level, count(*) as n
+    from ehr group by 1
+    """,
+    ("ehr",),
+)
+def ordered_levels(spark, sf_dir):
+    """Codes as ordered levels, conditions first, joined back to their events."""
+    events = Inputs(spark, sf_dir).ehr.select("feature_id")
+    ordered = levels.ordered_levels(events, "feature_id", first=F.col("feature_id").startswith("PheCode:"))
+    # Counted by level alone: a level stands for its value.
+    counts = levels.with_level(events, ordered, "feature_id").groupBy("level").agg(F.count("*").alias("n"))
+    return ordered.join(counts, "level").select("feature_id", "level", "n")
 
 
 def series_with_gaps(data: Inputs):

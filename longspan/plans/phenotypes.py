@@ -343,6 +343,20 @@ def phenotype_list_model(spark, sf_dir):
     return evaluate.phenotype_list(patients, scored, cuts, "model")
 
 
+@query("phenotype_list_fitted")
+def phenotype_list_fitted(spark, sf_dir):
+    """All patients with predictions by the fitted covariance score of codes and concepts; cuts from
+    labelled patients outside the registry."""
+    data = Inputs(spark, sf_dir)
+    patients = stage(labelled(data, data.ehr.select("patient_num").distinct()), "labels")
+    fitted = stage(all_scores(data), "fitted").withColumn("score", F.col("cov_both"))
+    outside = fitted.where((F.col("is_labeled") == 1) & ~F.col("is_registry"))
+    long = outside.select("patient_num", F.col("is_case").alias("y"), "score", F.lit("cov_both").alias("method"))
+    cuts = stage(evaluate.cut_points(long, [0.90, 0.95]), "cuts")
+    scored = fitted.select("patient_num", "is_labeled", "is_case", "score")
+    return evaluate.phenotype_list(patients, scored, cuts, "cov_both")
+
+
 @query(
     "label_or_prediction",
     f"""
@@ -401,6 +415,47 @@ def case_only_bootstrap(spark, sf_dir):
     return rounded(areas, "auroc_mean", "auroc_sd")
 
 
+@query(
+    "case_only_evaluation",
+    f"""
+    with {LONG_SQL.strip()},
+    cuts as (select method, quantile_cont(score, 0.8) as cut from long where score is not null group by 1),
+    draws as (select patient_num, method, score, case when y = 1 and patient_num % 2 = 0 then 1 else 0 end as known,
+                unnest(range(0, 51)) as round from long where score is not null),
+    units as (select *, cast(concat('0x', substr(md5(concat(patient_num, ':', round, ':', 11)), 1, 13)) as bigint)
+                / 4503599627370496.0::double as unit from draws),
+    weighed as (select *, case when round = 0 then 1
+                  else len(list_filter({evaluate.poisson_steps()}::double[], lambda s: s <= unit)) end as w from units),
+    g as (select method, round, score, sum(w)::double as n_all, sum(w * known)::double as n_known
+          from weighed group by 1, 2, 3 having sum(w) > 0),
+    ranked as (select *, sum(n_all) over k as all_total, nullif(sum(n_known) over k, 0) as known_total,
+                 coalesce(sum(n_all) over b, 0) as all_before, coalesce(sum(n_known) over b, 0) as known_before
+               from g window k as (partition by method, round),
+                 b as (partition by method, round order by score rows between unbounded preceding and 1 preceding)),
+    tails as (select r.*, c.cut, (known_total - known_before) / known_total as tail, (all_total - all_before) / all_total as whole
+              from ranked r join cuts c on r.method = c.method),
+    parts as (select method, round, min(case when tail >= 0.1::double then least(whole / tail, 1) end) as p,
+                sum(n_known * (all_before + n_all / 2) / known_total / all_total) as wins,
+                sum(case when score > cut then n_known else 0 end / known_total) as sensitivity,
+                sum(case when score > cut then n_all else 0 end / all_total) as rate from tails group by 1, 2),
+    rates as (select *, (wins - p / 2) / nullif(1 - p, 0) as auroc, least(greatest((rate - p * sensitivity) / nullif(1 - p, 0), 0), 1) as fpr,
+                least(p * sensitivity / nullif(rate, 0), 1) as ppv from parts),
+    metrics as (select *, 2 * ppv * sensitivity / nullif(ppv + sensitivity, 0) as f_score from rates),
+    values_of as ({" union all ".join(f"select method, round, '{m}' as metric, {m} as value from metrics" for m in evaluate.CASE_METRICS)})
+    select method, metric, round(max(value) filter (round = 0), 6) as estimate, round(avg(value) filter (round > 0), 6) as mean,
+      round(stddev_samp(value) filter (round > 0), 6) as sd, round(quantile_cont(value, 0.025) filter (round > 0), 6) as low,
+      round(quantile_cont(value, 0.975) filter (round > 0), 6) as high
+    from values_of group by 1, 2
+    """,
+    ("scored",),
+)
+def case_only_evaluation(spark, sf_dir):
+    """Quality with intervals where half of the cases are known and all others are unlabelled."""
+    known = (F.col("y") == 1) & (F.col("patient_num") % 2 == 0)
+    out = evaluate.case_only_evaluation(long_scored(Inputs(spark, sf_dir)), "patient_num", known)
+    return rounded(out, "estimate", "mean", "sd", "low", "high")
+
+
 @query(
     "circular_chart",
     f"""

@@ -68,3 +68,22 @@ def test_year_filter_reaches_the_scan(spark, tmp_path):
     ).write.partitionBy("year").parquet(path)
     text = plan(spark.read.parquet(path).where("year = 2001 and feature_id = 'a'"))
     assert "PartitionFilters: [isnotnull(year" in text and "EqualTo(feature_id,a)" in text
+
+
+def test_years_reach_the_row_groups(spark, tmp_path):
+    """Bounds of years are pushed to the scan, and clustered files let it skip most rows."""
+    events = spark.range(40_000).selectExpr(
+        "id % 97 as patient_num", "date_add(date'2000-01-01', cast(id * 7919 % 7300 as int)) as start_date", "'a' as feature_id"
+    )
+    path = str(tmp_path / "clustered")
+    stages.save_clustered(events, path, ["start_date"], files=16)
+    found = features.yearly_prevalence(stages.load_table(spark, path), 2004, 2004)
+    text = plan(found)
+    assert "GreaterThanOrEqual(start_date,2004-01-01)" in text and "LessThan(start_date,2005-01-01)" in text
+
+    bounded = features.in_years(stages.load_table(spark, path), 2004, 2004)
+    bounded.collect()
+    leaves = bounded._jdf.queryExecution().executedPlan().collectLeaves()
+    read = leaves.head().metrics().get("numOutputRows").get().value()
+    assert bounded.count() <= read < 40_000 / 4
+    assert {r.year for r in found.collect()} == {2004}
