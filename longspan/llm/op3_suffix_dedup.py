@@ -38,8 +38,8 @@ from longspan.sources.stages import stage
 
 WINDOW = 200
 GRAM = 64
-#: Window starts looked at together in a long text.
-STRETCH = 1 << 18
+#: Window starts looked at together in a long text, and bytes of short texts side by side.
+STRETCH, TOGETHER = 1 << 18, 1 << 16
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -68,26 +68,72 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
+def _anchors_in(line: np.ndarray, begin: int, end: int, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all grams from `begin`, and for each window start up to `end` the place of its anchor."""
+    part = line[begin : end + window - 1]
+    up, down = _powers(1 << (len(part) - 1).bit_length())
+    sums = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum(_byte_values()[part] * up[: len(part)], out=sums[1:])
+    hashes = (sums[gram:] - sums[:-gram]) * down[: len(part) - gram + 1]
+    hashes ^= hashes >> np.uint64(32)
+    hashes *= np.uint64(0xD6E8FEB86659FD93)
+    ranked = (hashes >> np.uint64(32) << np.uint64(32)) | np.arange(len(hashes), dtype=np.uint64)
+    return hashes, (_least(ranked, window - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
 def anchors(text: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each anchor, and the first and last start of its windows."""
-    line = np.frombuffer(text, np.uint8)
+    return anchors_of([text], window, gram)[1:]
+
+
+def anchors_of(
+    lines: list[bytes], window: int = WINDOW, gram: int = GRAM
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The place of the text in the list, then what `anchors` gives for it, over all texts.
+
+    Short texts are looked at side by side; a text longer than a stretch alone, a stretch at a time.
+    """
     found: list[tuple[np.ndarray, ...]] = []
-    for begin in range(0, len(line) - window + 1, STRETCH):
-        part = line[begin : begin + STRETCH + window - 1]
-        up, down = _powers(1 << (len(part) - 1).bit_length())
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_byte_values()[part] * up[: len(part)], out=sums[1:])
-        hashes = (sums[gram:] - sums[:-gram]) * down[: len(part) - gram + 1]
-        hashes ^= hashes >> np.uint64(32)
-        hashes *= np.uint64(0xD6E8FEB86659FD93)
-        ranked = (hashes >> np.uint64(32) << np.uint64(32)) | np.arange(len(hashes), dtype=np.uint64)
-        at = (_least(ranked, window - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        turns = np.flatnonzero(np.diff(at)) + 1
-        first = np.concatenate([[0], turns])
-        last = np.concatenate([turns, [len(at)]]) - 1
-        found.append((hashes[at[first]].view(np.int64), first + begin, last + begin))
+    lot: list[int] = []
+    size = 0
+
+    def flush() -> None:
+        if not lot:
+            return
+        line = np.frombuffer(b"".join([lines[k] for k in lot]), np.uint8)
+        sizes = np.array([len(lines[k]) for k in lot])
+        ends = np.cumsum(sizes)
+        hashes, at = _anchors_in(line, 0, len(line), window, gram)
+        # No window may reach beyond its own text, so neighbours in different texts differ in anchor.
+        fits = np.ones(len(line), bool)
+        for end in ends:
+            fits[end - window + 1 : end] = False
+        starts = np.flatnonzero(fits)
+        turns = np.flatnonzero(np.diff(at[starts])) + 1
+        first, last = np.concatenate([[0], turns]), np.concatenate([turns, [len(starts)]]) - 1
+        text = np.searchsorted(ends, starts[first], "right")
+        before = (ends - sizes)[text]
+        found.append((np.array(lot)[text], hashes[at[starts[first]]].view(np.int64), starts[first] - before, starts[last] - before))
+
+    for k, own in enumerate(lines):
+        if len(own) < window:
+            continue
+        if len(own) > STRETCH:
+            line = np.frombuffer(own, np.uint8)
+            for begin in range(0, len(line) - window + 1, STRETCH):
+                hashes, at = _anchors_in(line, begin, begin + STRETCH, window, gram)
+                turns = np.flatnonzero(np.diff(at)) + 1
+                first, last = np.concatenate([[0], turns]), np.concatenate([turns, [len(at)]]) - 1
+                found.append((np.full(len(first), k), hashes[at[first]].view(np.int64), first + begin, last + begin))
+            continue
+        if size + len(own) > TOGETHER:
+            flush()
+            lot, size = [], 0
+        lot.append(k)
+        size += len(own)
+    flush()
     if not found:
-        return (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) * 4
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -228,24 +274,24 @@ def suffix_dedup(
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1024):
-            found = [anchors(t, window, gram)[0] for t in part.column(1).to_pylist() if t]
-            if found:
-                yield pa.RecordBatch.from_pydict({"h": at_most_twice(np.concatenate(found))})
+            found = anchors_of([t or b"" for t in part.column(1).to_pylist()], window, gram)[1]
+            if len(found):
+                yield pa.RecordBatch.from_pydict({"h": at_most_twice(found)})
 
     seen = spark.sparkContext.broadcast(seen_twice(source.mapInArrow(hashed, "h bigint"), filter_bytes))
 
     def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            rows: list[list] = [[], [], [], [], [], []]
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                hashes, first, last = anchors(text or b"", window, gram)
-                some = seen.value.holds(hashes)
-                if some.any():
-                    n, begin, size = int(some.sum()), first[some], (last - first)[some] + window
-                    digests = [xxhash.xxh3_64_intdigest(text[a : a + s]) for a, s in zip(begin.tolist(), size.tolist())]
-                    own = (hashes[some], np.array(digests, np.uint64).view(np.int64), [NO_ID if doc is None else doc] * n, [xxhash.xxh3_128_digest(text)] * n, begin, size)
-                    for column, values in zip(rows, own):
-                        column.extend(values)
+            values = [t or b"" for t in part.column(1).to_pylist()]
+            ids = np.array([NO_ID if d is None else d for d in part.column(0).to_pylist()], np.int64)
+            text, hashes, first, last = anchors_of(values, window, gram)
+            some = seen.value.holds(hashes)
+            text, begin, size = text[some], first[some], (last - first)[some] + window
+            digests = [
+                xxhash.xxh3_64_intdigest(values[k][a : a + s]) for k, a, s in zip(text.tolist(), begin.tolist(), size.tolist())
+            ]
+            marks = {k: xxhash.xxh3_128_digest(values[k]) for k in set(text.tolist())}
+            rows = hashes[some], np.array(digests, np.uint64).view(np.int64), ids[text], [marks[k] for k in text.tolist()], begin, size
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["f", "dg", "doc", "mark", "start", "size"])
 
