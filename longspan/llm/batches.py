@@ -21,6 +21,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.R
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    # A worker lives on after its task, and would hold on to the buffers of its largest batch.
+    pa.default_memory_pool().release_unused()
 
 
 def table(**columns) -> pa.RecordBatch:

@@ -10,12 +10,12 @@ where each document begins, and the levels. A block ends with the document that
 `block_ids` ids, so a block holds at most one document more than that. Blocks are named by (shard,
 block); a shard is what one write task wrote.
 
-Words are looked up in a bounded memory of encoded words. ASCII white space parts words, and ASCII
+Words are looked up in a memory of encoded words, bounded in bytes and dropped with the task. ASCII white space parts words, and ASCII
 marks that close a word are parted from a letter or digit before them; both always part tokens in
 this tokenizer, so the ids are those of the whole text.
 
 Defined cases: a null or empty text has only the end id. Rows with one doc_id are written side by
-side, in the order of their texts; a null doc_id comes first. Other columns are ignored. An empty
+side, in the order of a hash of their texts; a null doc_id comes first. Other columns are ignored. An empty
 table gives files without rows and an empty result.
 """
 
@@ -35,8 +35,8 @@ from longspan.llm.batches import slices, texts
 from longspan.sources.stages import load_table, save_table
 
 SAMPLE_BITS = 512
-#: Words kept in each of two generations.
-KNOWN_WORDS = 400_000
+#: Bytes of words and their ids kept in each of two generations, counted with what Python adds.
+KNOWN_BYTES = 24 << 20
 CLOSING = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LEVEL = "struct<chunks: binary, more: binary, ranks: binary>"
 BLOCK = f"shard int, block int, first bigint, doc_ids array<bigint>, starts array<bigint>, levels array<{LEVEL}>"
@@ -61,8 +61,16 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.size = 0
+
+    def keep(self, word: bytes, ids: bytes) -> None:
+        self.known[word] = ids
+        self.size += 180 + len(word) + len(ids)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -79,7 +87,7 @@ class Encoder:
         parted = {}
         for word in words:
             if (ids := self.older.get(word)) is not None:
-                self.known[word] = ids
+                self.keep(word, ids)
             else:
                 parted[word] = self.parts(word)
         rest = []
@@ -87,25 +95,26 @@ class Encoder:
             if part in self.known:
                 continue
             if part in self.older:
-                self.known[part] = self.older[part]
+                self.keep(part, self.older[part])
                 continue
             text = part.decode("utf-8", "replace")
             # Lower-case Latin letters in composed form are one token run, which the model takes as it is.
             if text.isalpha() and text.islower() and max(text) < "\u0250":
                 tokens = self.model.tokenize(text if part.isascii() else "".join(self.letters[b] for b in part))
-                self.known[part] = array("I", [t.id for t in tokens]).tobytes()
+                self.keep(part, array("I", [t.id for t in tokens]).tobytes())
             else:
                 rest.append(part)
         if rest:
-            self.known.update(zip(rest, self.whole([p.decode("utf-8", "replace") for p in rest])))
+            for part, ids in zip(rest, self.whole([p.decode("utf-8", "replace") for p in rest])):
+                self.keep(part, ids)
         for word, parts in parted.items():
             if len(parts) > 1:
-                self.known[word] = b"".join(self.known[p] for p in parts)
+                self.keep(word, b"".join(self.known[p] for p in parts))
 
     def encode(self, values: pa.Array) -> list[np.ndarray]:
         """Ids of each text of a binary array."""
-        if len(self.known) > KNOWN_WORDS:
-            self.known, self.older = {}, self.known
+        if self.size > KNOWN_BYTES:
+            self.known, self.older, self.size = {}, self.known, 0
         # A text that may hold the tokenizer's own marks is encoded whole.
         raw = pc.fill_null(pc.match_substring(values, b"<|"), False)
         plain = pc.if_else(raw, pa.scalar(b"", pa.binary()), pc.fill_null(values, b""))
@@ -184,7 +193,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, bl
     end = np.array([end_id], np.uint32)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = encoder(tokenizer).encode, TaskContext.get().partitionId()
+        words, shard = encoder(tokenizer), TaskContext.get().partitionId()
         held: list[np.ndarray] = []
         doc_ids: list[int | None] = []
         starts: list[int] = []
@@ -202,8 +211,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, bl
             )
             return pa.RecordBatch.from_pydict(values, kinds)
 
-        for part in slices(batches, 1024):
-            for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1))):
+        for part in slices(batches):
+            for doc, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1))):
                 doc_ids.append(doc)
                 starts.append(size)
                 held += (ids, end)
@@ -214,8 +223,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, bl
                     block, first, size = block + 1, first + size, 0
         if doc_ids:
             yield row()
+        words.forget()
 
-    ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # The hash of the text spreads one doc_id's rows over tasks; whole texts would be sampled otherwise.
+    place = ["doc_id", F.xxhash64("text")]
+    ordered = texts(docs).repartitionByRange(*place).sortWithinPartitions(*place, "text")
     save_table(ordered.mapInArrow(blocks, BLOCK), path)
 
 
