@@ -13,7 +13,7 @@ the bound leaves out few cells, and the work comes near to that of all pairs.
 
 Defined cases: rows with a null label, a null or zero vector, or a null or non-finite component
 link with nothing and are their own component; so do rows with a null vec_id, whose component is
-null. Vectors of different lengths do not link. Equal rows are counted as others to each other.
+null. Rows with one vec_id and different vectors link apart. Vectors of different lengths do not link. Equal rows are counted as others to each other.
 Other columns are ignored. An empty table gives an empty result.
 """
 
@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from longspan.llm.batches import slices
 from longspan.llm.components import components, join_up
+from longspan.operators.ranking import running_sums
 from longspan.sources.stages import stage
 
 
@@ -135,13 +136,17 @@ def links(group: pa.Table, cosine: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"point": point[some], "n": counts[some], "root": point[parent[some]]})
 
 
-def _usable(rows: DataFrame) -> DataFrame:
-    """Rows that can link, with vectors of doubles."""
+def _usable() -> Column:
+    """Whether a row can link; never null."""
     fine = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     some = F.exists("embedding", lambda v: v != 0)
     whole = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull()
-    doubles = F.transform("embedding", lambda v: v.cast("double") + F.lit(0.0))
-    return rows.where(whole & F.coalesce(fine, F.lit(False)) & F.coalesce(some, F.lit(False))).withColumn("embedding", doubles)
+    return whole & F.coalesce(fine, F.lit(False)) & F.coalesce(some, F.lit(False))
+
+
+def _doubles(rows: DataFrame) -> DataFrame:
+    """Rows that can link, with vectors of doubles."""
+    return rows.where(_usable()).withColumn("embedding", F.transform("embedding", lambda v: v.cast("double") + F.lit(0.0)))
 
 
 def met(points: DataFrame, block: int) -> DataFrame:
@@ -185,9 +190,15 @@ def embedding_groups(
     points each."""
     spark = rows.sparkSession
     own = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), "label", "embedding")
-    # Equal vectors are one point, named by its smallest vec_id.
-    grouped = _usable(own).groupBy("label", "embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("point"))
-    points = stage(grouped.withColumn("label", F.xxhash64("label")), "points")
+    # Equal vectors are one point. Points are numbered in the order of their smallest vec_id, so the
+    # least point of a component has its least vec_id; one vec_id may belong to several points.
+    grouped = _doubles(own).groupBy("label", "embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("least_id"))
+    placed = running_sums(
+        grouped.withColumns({"_one": F.lit(1), "_tie": F.xxhash64("label", "embedding")}), [], ["least_id", "_tie"], ["_one"]
+    )
+    points = stage(
+        placed.select(F.xxhash64("label").alias("label"), "embedding", "n", "least_id", F.col("_one_before").alias("point")), "points"
+    )
     n = min(most_cells, max(16, points.count() // cell_points))
     sent = spark.sparkContext.broadcast(fit_cells(points, n, 16 * n))
 
@@ -209,14 +220,16 @@ def embedding_groups(
         .select("point", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "point").alias("component_id")),
         "linked",
     )
-    copies = _usable(own).select("vec_id", F.xxhash64("label").alias("label"), "embedding")
+    copies = _doubles(own).select("vec_id", F.xxhash64("label").alias("label"), "embedding")
+    least = points.select(F.col("point").alias("component_id"), F.col("least_id").alias("_component"))
+    linked = linked.join(least, "component_id").select("point", "links", "_component")
     named = points.join(linked, "point", "left").select(
-        "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "point").alias("component_id"), "n", "point"
-    )
+        "label", "embedding", "n", "least_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
+        F.coalesce("_component", "least_id").alias("component_id"),
+    )
     # Points without copies need no second look at the vectors.
-    single = named.where("n = 1").selectExpr("point as vec_id", "n_links", "component_id")
+    single = named.where("n = 1").selectExpr("least_id as vec_id", "n_links", "component_id")
     several = copies.join(named.where("n > 1"), ["label", "embedding"]).select("vec_id", "n_links", "component_id")
-    rest = own.join(_usable(own).select("vec_id").distinct(), "vec_id", "left_anti")
-    alone = rest.selectExpr("vec_id", "0L as n_links", "vec_id as component_id")
+    alone = own.where(~_usable()).selectExpr("vec_id", "0L as n_links", "vec_id as component_id")
     result = single.unionByName(several).unionByName(alone)
     return result.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

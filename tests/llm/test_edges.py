@@ -85,6 +85,21 @@ def test_no_benchmark(spark, messy, nothing):
     assert decontaminate(nothing, none).isEmpty()
 
 
+def test_one_id_over_many_tasks(spark):
+    """Rows without an id are spread over tasks, and each keeps its own place in the files."""
+    docs = spark.range(3000).selectExpr("cast(null as bigint) as doc_id", "concat('text ', id) as text")
+    path = scratch_path(spark, "test-tokens")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one task's
+    try:
+        write_tokens(docs, path, TOKENIZER, block_ids=500)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    stored = spark.read.parquet(path)
+    assert stored.select("shard").distinct().count() > 1
+    rows = sorted(read_tokens(spark, path).collect(), key=lambda r: r.start)
+    assert len(rows) == 3000 and [r.start for r in rows[1:]] == [r.start + r.n_tokens for r in rows[:-1]]
+
+
 def test_nothing_to_learn_from(spark, docs_of):
     docs = docs_of([(1, "some text", None), (2, "", None)])
     assert {r.lang_pred for r in language_id(docs).collect()} == {"und"}
@@ -138,3 +153,12 @@ def test_vectors(spark):
     assert all(links[k] == (0, k, True) for k in (4, 5, 6, 7, 8, 9, 10, 11, 12))
     assert links[None] == (0, None, False)
     assert embedding_groups(frame.limit(0)).isEmpty()
+
+
+def test_vectors_that_share_an_id(spark):
+    """A good and a bad row, and two different vectors, under one vec_id."""
+    one, other, far = [1.0, 0.0], [0.0, 1.0], [-1.0, -1.0]
+    rows = [(1, one, 1), (1, None, 1), (2, other, 1), (2, far, 1), (3, [0.01, 1.0], 1), (1, one, None)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    found = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_groups(frame).collect())
+    assert found == [(1, 0, 1, True), (1, 0, 1, True), (1, 0, 1, True), (2, 0, 2, True), (2, 1, 2, True), (3, 1, 2, False)]
