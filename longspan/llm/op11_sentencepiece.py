@@ -5,8 +5,8 @@ normalised byte keeps its place in the source. Runs that begin with space marks
 one (no piece crosses their start), each distinct run once while it is remembered, and the pieces'
 places are projected to byte spans of the original text. Decoding reads ids only.
 
-Work goes by groups of texts of about a megabyte, and what is remembered is bounded in bytes and
-dropped at the end of a task, so memory does not grow with the vocabulary of the corpus.
+Work goes by groups of texts of about a megabyte, and what a worker remembers is bounded in bytes,
+so memory does not grow with the vocabulary of the corpus.
 
 Defined cases: a null or empty text has only the end id, at span (0, 0), and decodes to an empty text.
 The end id's span is empty and lies at the end. Bytes that are not UTF-8 count as U+FFFD. Equal rows
@@ -19,6 +19,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from longspan.llm.batches import slices, texts
 from longspan.llm.pieces import SPACE, PieceModel
 
 #: Bytes of text handled at a time, and of remembered runs (with their pieces) in a task.
-GROUP_BYTES, KNOWN_BYTES = 1 << 20, 24 << 20
+GROUP_BYTES, KNOWN_BYTES = 1 << 20, 48 << 20
 RUN = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -72,7 +73,7 @@ class Encoder:
             sources.append(source)
         new = {r for runs in each for r in runs if r not in self.places}
         if new:
-            self.learn(list(new))
+            self.learn(sorted(new, key=len))
         codes, counts = array("q"), [len(runs) for runs in each]
         for runs in each:
             codes.extend(map(self.places.__getitem__, runs))
@@ -94,11 +95,18 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=2)
 def read_model(path: str) -> PieceModel:
     with open(path, "rb") as file:
         return PieceModel(file.read())
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder, which later tasks go on with."""
+    return Encoder(read_model(path))
+
+
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes | None]]]:
     """(other values, texts) of about GROUP_BYTES of text at a time."""
     for part in slices(batches):
@@ -118,7 +126,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = read_model(model_path)
-        encoder, end = Encoder(model), np.array([model.end_id], np.int32)
+        encoder, end = encoder_of(model_path), np.array([model.end_id], np.int32)
         for keys, values in groups(batches):
             ids, begins, ends, checks, shown = [], [], [], [], []
             for value, (own, begin, stop) in zip(values, encoder.encode(values)):

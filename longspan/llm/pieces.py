@@ -176,7 +176,7 @@ class PieceModel:
 
     def _pair_table(self) -> None:
         """Symbols are the pieces and the characters in them; every pair of symbols that joins to a
-        piece, sorted by its key, with the piece."""
+        piece is in a hash table of open addresses, filled to a fifth or less."""
         texts = [text for text, _, _ in self.pieces]
         symbols = dict(self.ids)
         for text in self.ids:
@@ -184,26 +184,49 @@ class PieceModel:
                 if c not in symbols:
                     symbols[c] = len(texts)
                     texts.append(c)
-        self.symbols, self.symbol_texts = symbols, texts
+        self.symbols, self.texts = symbols, texts
+        written = [self._written(t) if t in symbols else [0] for t in texts]
+        self.ids_of = np.array([k for w in written for k in w], np.int64)
+        self.n_ids = np.array([len(w) for w in written], np.int64)
+        self.n_bytes = np.array([len(t.encode()) for t in texts], np.int64)
         pairs = {}
         for text, own in self.ids.items():
             for k in range(1, len(text)):
                 a, b = symbols.get(text[:k]), symbols.get(text[k:])
                 if a is not None and b is not None:
                     pairs[a << 21 | b] = own
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.joined = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        bits = max(10, (5 * len(pairs)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.keys, self.joined = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        keys, joined = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int32)
+        at = self._slot(keys)
+        while len(keys):
+            # Of the keys that want one free slot one gets it; the others move on.
+            free = np.flatnonzero(self.keys[at] < 0)
+            self.keys[at[free]] = keys[free]
+            self.joined[at[free]] = joined[free]
+            wait = self.keys[at] != keys
+            keys, joined, at = keys[wait], joined[wait], (at[wait] + 1) & self.mask
         self.points = np.full(0x110000, -1, np.int32)
         for c, own in symbols.items():
             if len(c) == 1:
                 self.points[ord(c)] = own
-        self.value = np.array([score for _, score, _ in self.pieces])
+        self.value = np.array([score for _, score, _ in self.pieces], np.float32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
 
     def _joins(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The piece that each pair of symbols joins to and its score (minus infinity: none)."""
         key = a.astype(np.int64) << 21 | b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        fits = self.keys[at] == key
+        at = self._slot(key)
+        found = self.keys[at]
+        astray = np.flatnonzero((found != key) & (found >= 0))
+        while len(astray):
+            at[astray] = (at[astray] + 1) & self.mask
+            found[astray] = self.keys[at[astray]]
+            astray = astray[(found[astray] != key[astray]) & (found[astray] >= 0)]
+        fits = found == key
         piece = np.where(fits, self.joined[at], 0)
         return piece, np.where(fits, self.value[piece], -np.inf)
 
@@ -212,7 +235,7 @@ class PieceModel:
         leftmost first until none fits; all rows take a step at a time."""
         rows, sizes, live = rows.copy(), sizes.copy(), np.arange(len(rows))
         width = rows.shape[1]
-        scores = np.full((len(rows), width), -np.inf)
+        scores = np.full((len(rows), width), -np.inf, np.float32)
         if width > 1:
             inside = np.arange(width - 1) < (sizes - 1)[:, None]
             r, c = np.nonzero(inside)
@@ -269,56 +292,51 @@ class PieceModel:
 
     def encoded(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and the byte places in its segment where each piece begins and ends, of normalised
-        segments one after the other; the number of ids and of bytes of each segment.
+        segments one after the other, shortest first; the number of ids and of bytes of each.
 
         A character without a piece becomes the ids of its bytes; the last of them has its span."""
         lengths = np.array([len(s) for s in segments], np.int64)
-        own: list[np.ndarray] = [np.zeros(0, np.int64)] * len(segments)
-        extra: list[str] = []
-        order = np.argsort(lengths, kind="stable")
-        short = order[lengths[order] <= SHORT]
-        for start in range(0, len(short), 4096):
-            lot = short[start : start + 4096]
-            points = np.frombuffer("".join(segments[k] for k in lot).encode("utf-32-le"), "<u4")
-            symbols = self.points[points].astype(np.int64)
-            if (strange := symbols < 0).any():
-                found, place = np.unique(points[strange], return_inverse=True)
-                symbols[strange] = len(self.symbol_texts) + len(extra) + place
-                extra += [chr(c) for c in found]
-            sizes = lengths[lot]
-            rows = np.zeros((len(lot), max(1, int(sizes.max()))), np.int64)
-            inside = np.arange(rows.shape[1]) < sizes[:, None]
-            rows[inside] = symbols
+        n_short = int(np.searchsorted(lengths, SHORT, "right"))
+        extra: dict[str, int] = {}
+        flat, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for start in range(0, n_short, 2048):
+            lot = segments[start : min(n_short, start + 2048)]
+            points = np.frombuffer("".join(lot).encode("utf-32-le"), "<u4")
+            symbols = self.points[points]
+            for k in np.flatnonzero(symbols < 0).tolist():
+                symbols[k] = extra.setdefault(chr(points[k]), len(self.texts) + len(extra))
+            sizes = lengths[start : start + len(lot)]
+            rows = np.zeros((len(lot), max(1, int(sizes.max()))), np.int32)
+            columns = np.arange(rows.shape[1])
+            rows[columns < sizes[:, None]] = symbols
             rows, left = self._merged(rows, sizes)
-            for k, row, n in zip(lot.tolist(), rows, left.tolist()):
-                own[k] = row[:n]
-        known = {c: len(self.symbol_texts) + k for k, c in enumerate(extra)}
-        for k in order[len(short) :].tolist():
-            parts = self._merged_long(list(segments[k]))
-            for part in parts:
-                if part not in self.symbols and part not in known:
-                    known[part] = len(self.symbol_texts) + len(extra)
-                    extra.append(part)
-            own[k] = np.array([self.symbols[p] if p in self.symbols else known[p] for p in parts], np.int64)
-        flat = np.concatenate([np.zeros(0, np.int64), *own])
-        counts = np.array([len(o) for o in own], np.int64)
-        # What a symbol is written as: its piece, or the ids of its bytes.
-        distinct, code = np.unique(flat, return_inverse=True)
-        texts = [self.symbol_texts[k] if k < len(self.symbol_texts) else extra[k - len(self.symbol_texts)] for k in distinct.tolist()]
-        written = [[self.ids[t]] if t in self.ids else [self.bytes[b] for b in t.encode()] for t in texts]
-        n_ids, n_bytes = np.array([len(w) for w in written], np.int64), np.array([len(t.encode()) for t in texts], np.int64)
-        ids_of = np.array([i for w in written for i in w], np.int64)
+            flat.append(rows[columns < left[:, None]])
+            counts.append(left)
+        for segment in segments[n_short:]:
+            parts = self._merged_long(list(segment))
+            flat.append(np.array([self.symbols[p] if p in self.symbols else extra.setdefault(p, len(self.texts) + len(extra)) for p in parts], np.int64))
+            counts.append([len(parts)])
+        code, parts = np.concatenate(flat), np.concatenate(counts)
+        more = [self._written(text) for text in extra]
+        ids_of = np.concatenate([self.ids_of, *[np.array(w, np.int64) for w in more]])
+        n_ids = np.concatenate([self.n_ids, np.array([len(w) for w in more], np.int64)])
+        n_bytes = np.concatenate([self.n_bytes, np.array([len(t.encode()) for t in extra], np.int64)])
+        first = np.cumsum(n_ids) - n_ids
         each, size = n_ids[code], n_bytes[code]
-        segment = np.repeat(np.arange(len(own)), counts)
-        widths = np.bincount(segment, size, len(own)).astype(np.int64)
-        ends = np.cumsum(size) - np.repeat(np.cumsum(widths) - widths, counts)
-        upto = np.cumsum(each)
-        within = np.arange(upto[-1] if len(upto) else 0) - np.repeat(upto - each, each)
-        ids = ids_of[np.repeat((np.cumsum(n_ids) - n_ids)[code], each) + within]
-        last = within == np.repeat(each, each) - 1
+        upto = np.concatenate([[0], np.cumsum(parts)])
+        width_upto, id_upto = (np.concatenate([[0], np.cumsum(x)])[upto] for x in (size, each))
+        widths, n = np.diff(width_upto), np.diff(id_upto)
+        ends = np.cumsum(size) - np.repeat(width_upto[:-1], parts)
+        if (each == 1).all():
+            return ids_of[first[code]], ends - size, ends, n, widths
+        within = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
         begins = np.repeat(ends - size, each)
-        n = np.bincount(segment, each, len(own)).astype(np.int64)
-        return ids, begins, np.where(last, np.repeat(ends, each), begins), n, widths
+        last = within == np.repeat(each, each) - 1
+        return ids_of[np.repeat(first[code], each) + within], begins, np.where(last, np.repeat(ends, each), begins), n, widths
+
+    def _written(self, symbol: str) -> list[int]:
+        """The piece of a symbol, or else the ids of its bytes."""
+        return [self.ids[symbol]] if symbol in self.ids else [self.bytes[b] for b in symbol.encode()]
 
     # Decoding
 
