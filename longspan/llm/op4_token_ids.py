@@ -10,7 +10,7 @@ where each document begins, and the levels. A block ends with the document that
 `block_ids` ids, so a block holds at most one document more than that. Blocks are named by (shard,
 block); a shard is what one write task wrote.
 
-Words are looked up in a memory of encoded words, bounded in bytes and dropped with the task. ASCII white space parts words, and ASCII
+Words are looked up in a memory of encoded words, bounded in bytes, that later tasks of a worker go on with. ASCII white space parts words, and ASCII
 marks that close a word are parted from a letter or digit before them; both always part tokens in
 this tokenizer, so the ids are those of the whole text.
 
@@ -36,7 +36,7 @@ from longspan.sources.stages import load_table, save_table
 
 SAMPLE_BITS = 512
 #: Bytes of words and their ids kept in each of two generations, counted with what Python adds.
-KNOWN_BYTES = 24 << 20
+KNOWN_BYTES = 44 << 20
 CLOSING = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LEVEL = "struct<chunks: binary, more: binary, ranks: binary>"
 BLOCK = f"shard int, block int, first bigint, doc_ids array<bigint>, starts array<bigint>, levels array<{LEVEL}>"
@@ -211,7 +211,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, bl
             )
             return pa.RecordBatch.from_pydict(values, kinds)
 
-        for part in slices(batches):
+        for part in slices(batches, 512):
             for doc, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1))):
                 doc_ids.append(doc)
                 starts.append(size)
@@ -223,7 +223,6 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, bl
                     block, first, size = block + 1, first + size, 0
         if doc_ids:
             yield row()
-        words.forget()
 
     # The hash of the text spreads one doc_id's rows over tasks; whole texts would be sampled otherwise.
     place = ["doc_id", F.xxhash64("text")]
