@@ -162,6 +162,7 @@ def embed_blocks(
     seed: int = 7,
     tolerance: float = 1e-6,
     max_width: int | None = None,
+    most_rounds: int = 200,
 ) -> DataFrame:
     """Largest positive eigenpairs by block Lanczos.
 
@@ -170,7 +171,8 @@ def embed_blocks(
     writes the grown basis as a table so that lineage stays short. A basis that would pass
     `max_width` columns is reduced to its best dims + block directions and grows again. It ends
     when what the last product adds outside the basis moves no wanted eigenpair by more than
-    `tolerance` of the largest eigenvalue, or when the basis is as wide as the vocabulary.
+    `tolerance` of the largest eigenvalue, or when the basis is as wide as the vocabulary; it raises
+    when that takes more than `most_rounds` products.
     """
     max_width = max_width or max(3 * dims, dims + 4 * block)
     kept = dims + block
@@ -189,7 +191,7 @@ def embed_blocks(
     scale = {p: float(np.trace(g)) for p, g in gram.items()}
     small: dict[int, np.ndarray] = {p: np.zeros((0, 0)) for p in gram}
     width = 0
-    while True:
+    for _ in range(most_rounds):
         turn = {p: _orthonormal(g, scale[p]) for p, g in gram.items()}
         keep: dict[int, np.ndarray] = {}
         if width + block > max_width and width > kept:
@@ -223,6 +225,7 @@ def embed_blocks(
         if done or max(errors, default=0.0) <= tolerance:
             return _combine(rows, {p: leading_vectors(t, dims) for p, t in small.items()})
         rows = moved
+    raise RuntimeError(f"eigenpairs have not settled in {most_rounds} products")
 
 
 def embed(matrix: DataFrame, dims: int = 100, value: str = "pmi") -> DataFrame:

@@ -335,3 +335,10 @@ def test_unsettled_pairs_raise():
     a = rng.normal(size=(200, 200))
     with pytest.raises(RuntimeError):
         leading_pairs(lambda x: (a + a.T) @ x, 200, 10, block=2, most_rounds=3)
+
+
+def test_an_embedding_that_does_not_settle_raises(spark):
+    cells = [(1, i, j, float((i * j) % 7 + 1)) for i in range(12) for j in range(12)]
+    table = spark.createDataFrame(cells, "period int, i int, j int, pmi double")
+    with pytest.raises(RuntimeError, match="settled"):
+        embed.embed_blocks(table, 3, block=2, tolerance=0.0, most_rounds=2)
