@@ -8,9 +8,10 @@ length gives an even share first, and a bounded-knapsack table of sums closes wh
 length the documents with the smallest seeded hashes are taken. Lengths are planned one source at a
 time, from one row for each distinct length; documents are never brought together by source.
 
-Defined cases: a null text has 0 words and takes 0; null is a source of its own. Rows are told
-apart by doc_id and text; equal rows are picked together. Other columns are ignored. An empty table
-gives an empty result, and if no row has a word every target is 0.
+Defined cases: a null text has 0 words and takes 0; null is a source of its own. Rows of one doc_id
+and text stand for each other: as many of them as the plan needs are picked, whichever they are.
+Other columns are ignored. An empty table gives an empty result, and if no row has a word every
+target is 0.
 """
 
 from __future__ import annotations
@@ -91,7 +92,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int
 
 
 def mix_plan(docs: DataFrame, weights: Sequence[float], share: float, most: float, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with `_size`, `_hash`, and a plan by source and size: `_repeats` and the last hash picked."""
+    """Rows with `_size`, `_hash`, and a plan by source and size: `_repeats`, `_last` and `_some`."""
     spark = docs.sparkSession
     rows = stage(_sized(docs, seed).select("doc_id", "source", "_size", "_hash"), "sized")
     counts = stage(rows.groupBy("source", "_size").agg(F.count("*").alias("_n")), "lengths")
@@ -134,10 +135,11 @@ def _joined(left: DataFrame, right: DataFrame, *more: str, how: str = "inner") -
 
 
 def _last_picked(rows: DataFrame, plans: DataFrame) -> DataFrame:
-    """The plan with `_last`, the largest hash to pick of a source and size (null: none).
+    """The plan with `_last`, the largest hash to pick of a source and size (null: none), and
+    `_some`, how many of the rows with that hash are needed (null: all).
 
     Hashes are counted in 4,096 buckets first, so only the bucket in which the count runs out is
-    put in order.
+    put in order; rows with one hash are counted before that and are one row there.
     """
     wanted = plans.where("_extra > 0").select("source", "_size", "_extra")
     bucket = F.shiftright("_hash", 64 - BUCKET_BITS).cast("int")
@@ -150,15 +152,43 @@ def _last_picked(rows: DataFrame, plans: DataFrame) -> DataFrame:
         .where("_upto >= _extra and _upto - _n < _extra")
         .selectExpr("source", "_size", "_bucket", "_extra - _upto + _n as _need")
     )
-    edge = _joined(held, edges, "_bucket").select("source", "_size", "_hash", "_need")
-    place = F.row_number().over(W.partitionBy("source", "_size").orderBy("_hash"))
-    last = edge.withColumn("_place", place).where("_place = _need").selectExpr("source", "_size", "_hash as _last")
+    edge = _joined(held, edges, "_bucket").groupBy("source", "_size", "_hash", "_need").agg(F.count("*").alias("_n"))
+    place = F.sum("_n").over(W.partitionBy("source", "_size").orderBy("_hash"))
+    last = (
+        edge.withColumn("_upto", place)
+        .where("_upto >= _need and _upto - _n < _need")
+        .selectExpr("source", "_size", "_hash as _last", "if(_upto > _need, _need - _upto + _n, null) as _some")
+    )
     return stage(_joined(plans, last, how="left").drop("_extra"), "picked")
 
 
 def _copies(rows: DataFrame, plans: DataFrame) -> DataFrame:
-    copies = F.col("_repeats") + F.when(F.col("_hash") <= F.col("_last"), 1).otherwise(0)
-    return _joined(rows, plans).withColumn("_copies", F.when(F.col("_size") > 0, copies).otherwise(F.least(copies, F.lit(1))))
+    found = _joined(rows, plans)
+    tied = F.coalesce((F.col("_hash") == F.col("_last")) & F.col("_some").isNotNull(), F.lit(False))
+    more = F.when(F.col("_hash") <= F.col("_last"), 1).otherwise(0)
+    if not plans.where("_some is not null").isEmpty():
+        few = _first_of_tied(found.where(tied))
+        found = found.where(~tied).withColumn("_more", more).unionByName(few)
+    else:
+        found = found.withColumn("_more", more)
+    copies = F.col("_repeats") + F.col("_more")
+    return found.withColumn("_copies", F.when(F.col("_size") > 0, copies).otherwise(F.least(copies, F.lit(1)))).drop("_more")
+
+
+def _first_of_tied(tied: DataFrame) -> DataFrame:
+    """Tied rows with `_more`: 1 for `_some` of them in each source and size, else 0.
+
+    Rows are numbered as they are written, so a task that runs again reads the same numbers, and
+    dealt into buckets by that number: a row's place is counted within its bucket only.
+    """
+    tied = stage(tied.withColumn("_row", F.monotonically_increasing_id()), "tied")
+    tied = tied.withColumn("_bucket", F.shiftright(F.xxhash64("_row"), 64 - BUCKET_BITS).cast("int"))
+    held = tied.groupBy("source", "_size", "_bucket").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("source", "_size").orderBy("_bucket")) - F.col("_n")
+    found = _joined(tied, held.select("source", "_size", "_bucket", before.alias("_before")), "_bucket")
+    place = F.row_number().over(W.partitionBy("source", "_size", "_bucket").orderBy("_row"))
+    picked = F.when(F.col("_before") + place <= F.col("_some"), 1).otherwise(0)
+    return found.withColumn("_more", picked).drop("_row", "_bucket", "_before")
 
 
 def mix(
