@@ -36,7 +36,8 @@ from longspan.sources.stages import load_table, save_table
 
 SAMPLE_BITS = 512
 #: Bytes of words and their ids kept in each of two generations, counted with what Python adds.
-KNOWN_BYTES = 44 << 20
+#: A pipeline's workers have other stages behind and before them, and keep fewer.
+KNOWN_BYTES, FEW_KNOWN_BYTES = 44 << 20, 12 << 20
 CLOSING = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LEVEL = "struct<chunks: binary, more: binary, ranks: binary>"
 BLOCK = f"shard int, block int, first bigint, doc_ids array<bigint>, starts array<bigint>, levels array<{LEVEL}>"
@@ -111,9 +112,9 @@ class Encoder:
             if len(parts) > 1:
                 self.keep(word, b"".join(self.known[p] for p in parts))
 
-    def encode(self, values: pa.Array) -> list[np.ndarray]:
+    def encode(self, values: pa.Array, known_bytes: int = KNOWN_BYTES) -> list[np.ndarray]:
         """Ids of each text of a binary array."""
-        if self.size > KNOWN_BYTES:
+        if self.size > known_bytes:
             self.known, self.older, self.size = {}, self.known, 0
         # A text that may hold the tokenizer's own marks is encoded whole.
         raw = pc.fill_null(pc.match_substring(values, b"<|"), False)
@@ -188,8 +189,15 @@ def ids_at(levels: list[dict[str, bytes]], begin: int, end: int) -> np.ndarray:
     return ids
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block_ids: int = 1 << 18) -> None:
-    """Encode every text, append the end id, and write blocks in ascending doc_id order."""
+def write_tokens(
+    docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block_ids: int = 1 << 18,
+    known_bytes: int = KNOWN_BYTES, keep_known: bool = True,
+) -> None:
+    """Encode every text, append the end id, and write blocks in ascending doc_id order.
+
+    A worker keeps two generations of about `known_bytes` of words, and drops them with each task
+    unless `keep_known`; neither changes any id.
+    """
     end = np.array([end_id], np.uint32)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +220,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, bl
             return pa.RecordBatch.from_pydict(values, kinds)
 
         for part in slices(batches, 512):
-            for doc, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1))):
+            for doc, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1), known_bytes)):
                 doc_ids.append(doc)
                 starts.append(size)
                 held += (ids, end)
@@ -223,6 +231,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, bl
                     block, first, size = block + 1, first + size, 0
         if doc_ids:
             yield row()
+        if not keep_known:
+            words.forget()
 
     # The hash of the text spreads one doc_id's rows over tasks; whole texts would be sampled otherwise.
     place = ["doc_id", F.xxhash64("text")]

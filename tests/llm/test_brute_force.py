@@ -208,12 +208,13 @@ def test_words_encode_as_whole_texts():
     assert [f.tolist() for f in found] == [p.ids for p in plain]
 
 
-def test_token_files_round_trip(spark):
+@pytest.mark.parametrize("known", [{}, {"known_bytes": 2000, "keep_known": False}])
+def test_token_files_round_trip(spark, known):
     from tokenizers import Tokenizer
 
     docs = given(spark, "documents")
     path = scratch_path(spark, "test-tokens")
-    write_tokens(docs, path, TOKENIZER, block_ids=5000)
+    write_tokens(docs, path, TOKENIZER, block_ids=5000, **known)
     assert spark.read.parquet(path).count() > 8
     found, start = sorted(read_tokens(spark, path).collect()), 0
     tokenizer = Tokenizer.from_file(TOKENIZER)
