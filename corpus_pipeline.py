@@ -18,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from longspan.llm.op2_language_id import in_known_language
-from longspan.llm.op4_token_ids import read_tokens, write_tokens
+from longspan.llm.op4_token_ids import FEW_KNOWN_BYTES, read_tokens, write_tokens
 from longspan.llm.op6_decontaminate import without_benchmark
 from longspan.llm.op8_mix import mixed
 from longspan.llm.op10_simhash import one_of_each
@@ -48,7 +48,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
-    write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    write_tokens(docs, path, tokenizer, known_bytes=FEW_KNOWN_BYTES, keep_known=False)
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
