@@ -23,6 +23,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from longspan.llm.batches import slices, texts
@@ -143,13 +144,15 @@ def fit_profiles(docs: DataFrame, folds: int = 5, docs_per_language: int = 5000,
     return Profiles({k: [c for _, c in sorted(v)] for k, v in found.items()}, top)
 
 
-def _predicted(rows: DataFrame, profiles: Profiles, keep: str, kind: str) -> DataFrame:
-    """The column `keep`, lang_pred and score of rows with the columns `keep` and text (binary)."""
+def _predicted(rows: DataFrame, profiles: Profiles, keep: str, kind: str, within: str | None = None) -> DataFrame:
+    """The column `keep`, lang_pred and score of rows with the columns `keep` and text (binary), or whose
+    text is the field `within` of the struct `keep`, so that it is sent once."""
     sent = rows.sparkSession.sparkContext.broadcast(profiles)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            found = [sent.value.predict(t) for t in part.column("text").to_pylist()]
+            lot = pc.struct_field(part.column(keep), within).cast(pa.binary()) if within else part.column("text")
+            found = [sent.value.predict(t) for t in lot.to_pylist()]
             languages, scores = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
             yield pa.RecordBatch.from_arrays([part.column(keep), languages, scores], [keep, "lang_pred", "score"])
 
@@ -165,7 +168,8 @@ def language_id(docs: DataFrame, profiles: Profiles | None = None, folds: int =
 
 def in_known_language(docs: DataFrame, least_score: float = LEAST_SCORE, profiles: Profiles | None = None, folds: int = 5) -> DataFrame:
     """The rows, as they are, whose language is known with at least that score."""
-    packed = docs.select(F.struct("*").alias("row"), F.col("text").cast("binary").alias("text"))
+    packed = docs.select(F.struct("*").alias("row"))
     kind = packed.schema["row"].dataType.simpleString()
-    found = _predicted(packed, profiles or fit_profiles(docs, folds), "row", kind)
+    within = docs.select("text").columns[0]
+    found = _predicted(packed, profiles or fit_profiles(docs, folds), "row", kind, within)
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("row.*")
