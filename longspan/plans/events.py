@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from longspan.operators import features, summary
+from longspan.operators import features, sparse, summary
 from longspan.operators.scorers import covariance
 from longspan.plans.base import Inputs, query, rounded
-from longspan.sources.stages import load_table, save_clustered, scratch_path
+from longspan.sources.stages import load_table, save_clustered, scratch_path, stage
 from longspan.sources.views import ANCHOR, CONCEPT
 
 COUNTS_SQL = """
@@ -74,6 +74,29 @@ def wide_matrix(spark, sf_dir):
     return wide(data, coded + concepts)
 
 
+@query(
+    "sparse_covariance",
+    """
+    with places as (select feature_id, row_number() over (order by feature_id) as place
+                    from (select distinct feature_id from curated where flag = 1 and feature_id is not null)),
+    x as (select patient_num, place, ln(1 + count(*)) as x from ehr join places on ehr.feature_id = places.feature_id
+          where patient_num is not null group by 1, 2),
+    t as (select place, sum(x) as total from x group by 1),
+    n as (select cast(count(distinct patient_num) as double) as n from ehr),
+    p as (select a.place as a, b.place as b, count(*) as n_both, sum(a.x * b.x) as s
+          from x a join x b on a.patient_num = b.patient_num and a.place <= b.place group by 1, 2)
+    select cast(a as int) as a, cast(b as int) as b, n_both, round((s - u.total * v.total / n) / (n - 1), 6) as cov
+    from p join t u on p.a = u.place join t v on p.b = v.place, n
+    """,
+    ("ehr", "curated"),
+)
+def sparse_covariance(spark, sf_dir):
+    """Covariances of log counts over sparse rows, for pairs that some patient has both of."""
+    data = Inputs(spark, sf_dir)
+    rows = sparse.sparse_counts(data.ehr, sparse.feature_places(data.curated), ANCHOR, CONCEPT)
+    return rounded(sparse.sparse_covariance(stage(rows, "sparse")), "cov")
+
+
 @query(
     "log_corr",
     f"""
