@@ -112,52 +112,121 @@ class PatientPairs:
         return np.vstack([block @ vectors for _, block in self.pmi()])
 
 
+def year_starts(table: pa.Table) -> np.ndarray:
+    """Places where a patient's year begins, in rows sorted by patient and period."""
+    patient, period = table["patient_num"], table["period"].to_numpy()
+    known = patient.is_valid().to_numpy()
+    number = patient.fill_null(0).to_numpy()
+    change = (number[1:] != number[:-1]) | (known[1:] != known[:-1]) | (period[1:] != period[:-1])
+    return np.concatenate([[0], 1 + np.flatnonzero(change)])
+
+
+def whole_years(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted batches cut anew so that no patient's year reaches over two tables.
+
+    What is held is one batch and the year that is not yet known to be complete.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held:
+            seam = pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch.slice(0, 1)])
+            if len(year_starts(seam)) > 1:
+                yield pa.Table.from_batches(held)
+                held = []
+        cut = int(year_starts(pa.Table.from_batches([batch]))[-1])
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def solvable_years(
+    year: np.ndarray, day: np.ndarray, code: np.ndarray, m: np.ndarray, anchor: int, window: int
+) -> np.ndarray:
+    """Whether each patient's year keeps five codes with the anchor among them, the least that
+    `_anchor_cosines` needs.
+
+    `year` numbers the years 0, 1 and so on, and `code` the codes. Years are laid end to end, more
+    than a window apart, so one pass of running sums serves all of them.
+    """
+    years, codes = int(year.max()) + 1, int(code.max()) + 1
+    apart = int(day.max() - day.min()) + window + 1
+    cells, place = np.unique(year.astype(np.int64) * codes + code, return_inverse=True)
+    line = year.astype(np.int64) * apart + (day - day.min())
+    kept = cells[neighbour_sums(line, place, m, len(cells), window) > 5]
+    enough = np.bincount(kept // codes, minlength=years) >= 5
+    anchored = np.zeros(years, bool)
+    anchored[kept[kept % codes == anchor] // codes] = True
+    return enough & anchored
+
+
 def patient_cosines(
     events: DataFrame, anchor: str, window: int = 30, least_records: int = 20
 ) -> DataFrame:
     """Cosine of each code to the anchor within single patients and periods.
 
-    Patients with more than `least_records` records in the period take part. A group is one
-    patient's (day, code, count) rows of one year, at most 366 rows per code, whatever the number
-    of records; a patient with many codes is solved by products with blocks of rows, in memory that
-    grows with the codes only. A patient without a usable vector gives one row with null code and cosine.
+    Patients with more than `least_records` records in the period take part. A patient's year is
+    (day, code, count) rows, at most 366 per code, whatever the number of records. Years come to
+    Python many to a batch and are checked side by side for enough codes with neighbours; only those
+    that have them are solved one by one. A patient with many codes is solved by products with
+    blocks of rows, in memory that grows with the codes only. A patient without a usable vector
+    gives one row with null code and cosine.
     """
-    # Windows over the grouping that the solve needs anyway. Who lacks the anchor can have no
-    # cosine and never reaches Python.
-    whole = W.partitionBy("period", "patient_num")
+    # Windows over the partitions that the solve needs anyway. Who lacks the anchor or has no date
+    # can have no cosine and never reaches Python.
+    year = ["patient_num", "period"]
+    whole = W.partitionBy(*year)
     rows = (
         daily_counts(events)
+        .repartition(*year)
         .withColumn("_records", F.sum("m").over(whole))
         .where(F.col("_records") > least_records)
         .drop("_records")
-        .withColumn("_anchor", F.bool_or(F.col("code") == anchor).over(whole))
+        .withColumn("_anchor", F.bool_or(F.col("code") == anchor).over(whole) & F.col("day").isNotNull())
     )
     without = rows.where(~F.col("_anchor")).select("period", "patient_num").distinct().select(
         "period", "patient_num", F.lit(None).cast("string").alias("feature_id"), F.lit(None).cast("double").alias("cos")
     )
-    rows = rows.where("_anchor").drop("_anchor")
-
-    def solve(key, table):
-        codes, values = _anchor_cosines(
-            table["day"].to_numpy(),
-            table["code"].to_numpy(zero_copy_only=False).astype(str),
-            table["m"].to_numpy(),
-            anchor,
-            window,
-        )
-        if not len(codes):
-            codes, values = [None], [None]
-        size = len(codes)
-        return pa.table(
-            {
-                "period": pa.array([key[0].as_py()] * size, pa.int32()),
-                "patient_num": pa.array([key[1].as_py()] * size, pa.int64()),
-                "feature_id": pa.array(list(codes), pa.string()),
-                "cos": pa.array(list(values), pa.float64()),
-            }
-        )
-
-    return rows.groupBy("period", "patient_num").applyInArrow(solve, COSINE_SCHEMA).unionByName(without)
+    rows = rows.where("_anchor").drop("_anchor").sortWithinPartitions(*year)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_years(batches):
+            first = year_starts(table)
+            period = table["period"].to_numpy()[first]
+            patient = table["patient_num"].take(pa.array(first)).combine_chunks().cast(pa.int64())
+            day, m = table["day"].to_numpy(), table["m"].to_numpy()
+            codes = pa.concat_arrays(table["code"].fill_null("None").chunks).dictionary_encode()
+            names = codes.dictionary.to_numpy(zero_copy_only=False).astype(str)
+            code = codes.indices.to_numpy()
+            last = np.append(first[1:], len(day))
+            owner = np.repeat(np.arange(len(first)), last - first)
+            # The anchor has rows in every year that comes here.
+            worth = solvable_years(owner, day, code, m, int(np.flatnonzero(names == anchor)[0]), window)
+            places, labels, values = [], [], []
+            for k in np.flatnonzero(worth):
+                rows = slice(first[k], last[k])
+                found, cos = _anchor_cosines(day[rows], names[code[rows]], m[rows], anchor, window)
+                worth[k] = len(found) > 0
+                places.append(np.full(len(found), k))
+                labels.extend(found.tolist())
+                values.extend(cos.tolist())
+            idle = np.flatnonzero(~worth)
+            at = np.concatenate([*places, idle]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(period[at], pa.int32()),
+                    patient.take(pa.array(at)),
+                    pa.array(labels + [None] * len(idle), pa.string()),
+                    pa.array(values + [None] * len(idle), pa.float64()),
+                ],
+                names=["period", "patient_num", "feature_id", "cos"],
+            )
+
+    return rows.select("period", "patient_num", "day", "code", "m").mapInArrow(solve, COSINE_SCHEMA).unionByName(without)
 
 
 def cosine_variance(cosines: DataFrame, events: DataFrame) -> DataFrame:

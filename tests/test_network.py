@@ -204,6 +204,49 @@ def test_patient_cosines_by_hand(spark):
         assert all(have[f] == pytest.approx(want[f], abs=1e-8) for f in want)
 
 
+def test_years_are_checked_side_by_side(spark):
+    """Many years in a batch and years over several batches give what each year gives alone."""
+    rows = [(p, d, f) for p in range(0, 60, 10) for _, d, f in random_rows(p, 90, people=1, days=100)]
+    rows += [(p, d, f) for p in range(1, 60, 10) for d, f in ((0, "a"), (9, "b"), (70, "c"), (71, "d"))]
+    rows += [(p, d, "b") for p in range(2, 60, 10) for d in range(6)]
+    odd = [(None, d, f) for _, d, f in random_rows(0, 90, people=1, days=100)]
+    events = events_frame(spark, rows + odd)
+    undated = spark.createDataFrame([(5, None, "a")] * 4, SCHEMA)
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        found = uncertainty.patient_cosines(events.unionByName(undated), "a", 20, 3)
+        got = {(r.period, r.patient_num, r.feature_id): r.cos for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    want, solved = {(None, 5, None): None}, set()
+    daily = Counter((p, d, f) for p, d, f in rows + odd)
+    for person in {p for p, _, _ in daily}:
+        cells = sorted((d, f, n) for (p, d, f), n in daily.items() if p == person)
+        day, code, m = (np.array(c) for c in zip(*cells))
+        codes, values = uncertainty._anchor_cosines(day, code, m, "a", 20)
+        want |= {(2020, person, str(c)): v for c, v in zip(codes, values)} or {(2020, person, None): None}
+        solved |= {person} if len(codes) else set()
+    assert {0, 10, None} <= solved and 1 not in solved
+    assert set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want if k[2])
+
+
+def test_solvable_years_equal_the_rule_of_each(spark):
+    rng = np.random.default_rng(12)
+    sizes = rng.integers(1, 60, 80)
+    year = np.repeat(np.arange(80), sizes)
+    cells = sorted({(int(y), int(d), int(c)) for y, d, c in zip(year, rng.integers(0, 200, len(year)), rng.integers(0, 8, len(year)))})
+    year, day, code = np.array(cells).T
+    m = rng.integers(1, 4, len(year))
+    got = uncertainty.solvable_years(year, day, code, m, 2, 30)
+    for y in range(80):
+        rows = year == y
+        kept = uncertainty.neighbour_sums(day[rows], code[rows], m[rows], 8, 30) > 5
+        assert got[y] == (kept.sum() >= 5 and kept[2])
+    assert 10 < got.sum() < 70
+
+
 def test_variance_counts_patients_without_a_vector(spark):
     cosines = spark.createDataFrame(
         [(2020, 1, "x", 0.2), (2020, 2, "x", 0.6), (2020, 3, None, None)],
