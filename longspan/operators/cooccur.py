@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from longspan.functions import columns as C
 from longspan.sources.stages import stage
@@ -50,10 +50,10 @@ def lagged_products(
         yield first, own[:, first : first + step].T @ earlier
 
 
-def crowded_buckets(
-    daily: DataFrame, key: list[str], window: int, crowd: int
+def crowded_years(
+    daily: DataFrame, key: list[str], year: list[str], window: int, crowd: int
 ) -> DataFrame | None:
-    """Keys of buckets with more than `crowd` rows; None if there are none.
+    """Patients and years with a bucket of more than `crowd` rows; None if there are none.
 
     With ids 1..d for codes a bucket cannot pass window x d rows, so a small vocabulary needs no
     count at all.
@@ -63,14 +63,14 @@ def crowded_buckets(
         if window * largest <= crowd:
             return None
     crowded = stage(
-        daily.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > crowd).drop("_n"),
+        daily.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > crowd).select(*year).distinct(),
         "crowded",
     )
     return None if crowded.isEmpty() else crowded
 
 
 def crowded_pairs(rows: DataFrame, key: list[str], window: int, kind: str) -> DataFrame:
-    """Pair counts of crowded buckets, (period, i, j, n), already summed within a bucket.
+    """Pair counts within buckets, (period, i, j, n), already summed within a bucket.
 
     A group has the daily counts of one person's bucket and the bucket before, at most
     2 x window rows per code.
@@ -105,45 +105,39 @@ def cooccurrence(
 ) -> DataFrame:
     """Pairs of a code with codes 1..window days earlier, same patient and year.
 
-    Gives (period, i, j, n) with i the later day's code. Days fall in buckets as wide as the
-    window, so an earlier day within the window lies in the same bucket or the one before and the
-    range condition becomes an equi-join on (period, patient, bucket). `daily_counts` is written
-    once because both sides read it; after it a bucket holds at most window x vocabulary rows
-    however many records a patient has. The joined pairs go straight into the partial sum and are
-    never shuffled. Buckets with more than `crowd` rows are not joined: there a running sum over
-    days and a matrix product give the same counts without forming the pairs.
+    Gives (period, i, j, n) with i the later day's code. `daily_counts` is written once, as it is
+    also counted: after it a patient's days hold at most one row per code however many records
+    there are. A window over the days before each row lists what it meets, so rows are dealt and
+    sorted once; the listed pairs go straight into the partial sum and are never shuffled. Patients'
+    years with more than `crowd` rows in some bucket of `window` days would make long lists. There a
+    running sum over days and a matrix product give the same counts without forming the pairs, by
+    bucket: an earlier day within the window lies in the same bucket or the one before.
     """
     bucket = F.floor(F.col("day") / F.lit(window)).cast("int")
-    daily = stage(daily_counts(events, code).withColumn("bucket", bucket), "daily")
-    key = ["period", "patient_num", "bucket"]
-    crowded = crowded_buckets(daily, key, window, crowd)
-    later, both = daily, daily.select(
-        "period",
-        "patient_num",
-        F.posexplode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("_shift", "bucket"),
-        "day",
-        "code",
-        "m",
-    )
-    dense = None
+    known = F.col("patient_num").isNotNull() & F.col("day").isNotNull()
+    daily = stage(daily_counts(events, code).where(known).withColumn("bucket", bucket), "daily")
+    # The patient first: sorts compare the first column fastest, and it has the most values.
+    year = ["patient_num", "period"]
+    key = [*year, "bucket"]
+    crowded = crowded_years(daily, key, year, window, crowd)
+    plain, dense = daily, None
     if crowded is not None:
-        rows = both.withColumn("own", F.col("_shift") == 0).drop("_shift")
-        dense = crowded_pairs(
-            rows.join(crowded, key, "left_semi"), key, window, dict(daily.dtypes)["code"]
+        both = daily.join(crowded, year, "left_semi").select(
+            *year,
+            F.posexplode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("_shift", "bucket"),
+            "day",
+            "code",
+            "m",
         )
-        later = daily.join(crowded, key, "left_anti")
-    later = later.select(
-        *key, F.col("day").alias("day_later"), F.col("code").alias("i"), F.col("m").alias("m_later")
-    )
-    earlier = both.select(
-        *key, F.col("day").alias("day_earlier"), F.col("code").alias("j"),
-        F.col("m").alias("m_earlier"),
-    )
-    gap = F.col("day_later") - F.col("day_earlier")
+        rows = both.withColumn("own", F.col("_shift") == 0).drop("_shift")
+        dense = crowded_pairs(rows, ["period", "patient_num", "bucket"], window, dict(daily.dtypes)["code"])
+        plain = daily.join(crowded, year, "left_anti")
+    before = W.partitionBy(*year).orderBy("day").rangeBetween(-window, -1)
+    met = F.collect_list(F.struct(F.col("code").alias("j"), F.col("m").alias("_m"))).over(before)
     pairs = (
-        later.join(earlier, key)
-        .where(gap.between(1, window))
-        .select("period", "i", "j", (F.col("m_later") * F.col("m_earlier")).alias("n"))
+        plain.select("period", F.col("code").alias("i"), "m", met.alias("_met"))
+        .select("period", "i", "m", F.inline("_met"))
+        .select("period", "i", "j", (F.col("m") * F.col("_m")).alias("n"))
     )
     if dense is not None:
         pairs = pairs.unionByName(dense)

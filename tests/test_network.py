@@ -62,6 +62,24 @@ def test_crowded_buckets_with_ids(spark):
     assert got == want
 
 
+def test_pairs_are_listed_without_a_join(spark):
+    """Rows are dealt once, a window lists what each meets; records without a patient or date meet nothing."""
+    rows = random_rows(3, 120)
+    base = dt.date(2020, 1, 1)
+    odd = spark.createDataFrame([(None, base, "a"), (None, base + dt.timedelta(1), "b"), (1, None, "a")], SCHEMA)
+    got = cooccur.cooccurrence(events_frame(spark, rows).unionByName(odd), 9)
+    assert as_dict(got) == brute_pairs(rows, 9)
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and "Window" in text
+
+
+def test_crowded_and_other_years_of_one_patient(spark):
+    """Only 2020 is crowded; pairs of both years and of a second patient stay what they are."""
+    rows = random_rows(7, 80, people=2) + [(0, 366 + 3 * k, "abc"[k % 3]) for k in range(9)] + [(1, 366 + 50 * k, "a") for k in range(4)]
+    got = cooccur.cooccurrence(events_frame(spark, rows), 10, crowd=9).groupBy("i", "j").agg(F.sum("n").alias("n"))
+    assert as_dict(got) == brute_pairs(rows, 10)
+
+
 def test_pairs_stay_within_a_year(spark):
     events = spark.createDataFrame(
         [(1, dt.date(2020, 12, 31), "a"), (1, dt.date(2021, 1, 2), "b")], SCHEMA
