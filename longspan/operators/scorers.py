@@ -8,11 +8,11 @@ being computed in that patient's row.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from longspan.operators.mixture import (
@@ -43,12 +43,29 @@ def baseline_scores() -> dict[str, Column]:
 # --- covariance ---------------------------------------------------------------------------------
 
 
+def matrix_of(column: pa.Array) -> np.ndarray:
+    """Rows of an array column, all of one length, as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(column), -1)
+
+
+def numbers(columns: Sequence[str]) -> Column:
+    """The columns as one array of doubles: many columns go through Spark and to Python as one."""
+    return F.array(*[F.col(c).cast("double") for c in columns])
+
+
 def covariance(df: DataFrame, columns: Sequence[str], by: str) -> DataFrame:
-    """Sample covariance of every column pair per group, as (by, a, b, cov, n) rows.
+    """Sample covariance of every column pair per group, as (by, a, b, cov, n) rows. `by` names a few
+    groups, such as the halves of a split."""
+    return block_covariance(df.select(by, numbers(columns).alias("_x")), columns, by, lambda batch: matrix_of(batch.column(1)))
+
+
+def block_covariance(
+    df: DataFrame, columns: Sequence[str], by: str, block_of: Callable[[pa.RecordBatch], np.ndarray]
+) -> DataFrame:
+    """`covariance` of the named columns that `block_of` makes of a batch of rows.
 
     Each batch of rows turns into a block of cross-products, and blocks are summed; what is
-    shuffled depends on the number of columns, not rows. `by` names a few groups, such as the
-    halves of a split.
+    shuffled depends on the number of columns, not rows. `by` is the first column.
     """
     names = list(columns)
     kind = dict(df.dtypes)[by]
@@ -56,26 +73,29 @@ def covariance(df: DataFrame, columns: Sequence[str], by: str) -> DataFrame:
     a = np.repeat(names, len(names))
     b = np.tile(names, len(names))
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
-        for pdf in batches:
-            for group, part in pdf.groupby(by):
-                block = part[names].to_numpy(float)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows, groups = block_of(batch), batch.column(0).dictionary_encode()
+            place = groups.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            for k, group in enumerate(groups.dictionary.to_pylist()):
+                block = rows[place == k]
                 old = sums.get(group, (0.0, 0.0, 0))
                 sums[group] = (old[0] + block.T @ block, old[1] + block.sum(axis=0), old[2] + len(block))
         for group, (products, totals, n) in sums.items():
-            yield pd.DataFrame(
-                {
-                    by: group, "a": a, "b": b, "sxy": products.ravel(),
-                    "sx": np.repeat(totals, len(names)), "sy": np.tile(totals, len(names)),
-                    "n": float(n),
-                }
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([group] * len(a), batch.schema.field(0).type), pa.array(a.tolist()), pa.array(b.tolist()),
+                    pa.array(products.ravel()), pa.array(np.repeat(totals, len(names))),
+                    pa.array(np.tile(totals, len(names))), pa.array(np.full(len(a), float(n))),
+                ],
+                names=[by, "a", "b", "sxy", "sx", "sy", "n"],
             )
 
-    numbers = [F.col(c).cast("double").alias(c) for c in names]
     return (
-        df.select(by, *numbers)
-        .mapInPandas(partial, schema)
+        df.mapInArrow(partial, schema)
         .groupBy(by, "a", "b")
         .agg(*[F.sum(c).alias(c) for c in ("sxy", "sx", "sy", "n")])
         .select(
@@ -240,26 +260,39 @@ def normalised_scores(
     """
     exponents = choose_exponents(df, SURROGATES)
     columns = [*SURROGATES, "utl", *features]
-    logged = log_counts(df, columns, [key])
-    normal = {
-        f"norm_{s}": F.col(s) - F.lit(exponents[s]) * F.col("utl") for s in SURROGATES
-    }
-    table = stage(logged.select(key, *columns, *[c.alias(n) for n, c in normal.items()]), "logs")
+    place = {c: k for k, c in enumerate(columns)}
+    normal = [f"norm_{s}" for s in SURROGATES]
     inputs = [*normal, *[c for c in columns if c not in ("code", "code_concept")]]
-    means = table.agg(*[F.avg(c).alias(c) for c in inputs]).first().asDict()
+    intact = [place[c] for c in inputs[len(normal) :]]
+    shift = np.array([exponents[s] for s in SURROGATES])
+
+    def values(counts: pa.Array) -> np.ndarray:
+        """The inputs of a batch of rows of counts."""
+        logged = np.log1p(matrix_of(counts))
+        turned = logged[:, [place[s] for s in SURROGATES]] - logged[:, [place["utl"]]] * shift
+        return np.hstack([turned, logged[:, intact]])
+
+    table = stage(df.select(key, numbers(columns).alias("counts")), "logs")
+
+    def totals(batch: pa.RecordBatch) -> np.ndarray:
+        block = values(batch.column(0))
+        return np.vstack([block.sum(axis=0), np.full(block.shape[1], float(len(block)))])
+
+    sums = summed(table.select("counts"), totals)
+    means = sums[0] / sums[1]
+    draw = F.transform(
+        F.sequence(F.lit(0), F.lit(len(inputs) - 1)),
+        lambda k: F.pmod(F.xxhash64(F.col(key), F.lit(seed) + k), F.lit(1_000_000)) < int(rate * 1_000_000),
+    )
 
-    def corrupted(name: str, place: int) -> Column:
-        draw = F.pmod(F.xxhash64(F.col(key), F.lit(seed + place)), F.lit(1_000_000))
-        return F.when(draw < int(rate * 1_000_000), F.lit(means[name])).otherwise(F.col(name))
+    def crossed(batch: pa.RecordBatch) -> np.ndarray:
+        block = values(batch.column(0))
+        noisy = np.where(matrix_of(batch.column(1)) > 0, means, block)
+        both = np.hstack([block[:, : len(normal)], noisy])
+        return both.T @ both
 
-    noisy = [f"_c_{c}" for c in inputs]
-    crossed = table.select(
-        F.lit(1).alias("_all"), *normal,
-        *[corrupted(c, k).alias(f"_c_{c}") for k, c in enumerate(inputs)],
-    )
-    both = [*normal, *noisy]
-    products = raw_products(crossed, both)
-    at = {c: k for k, c in enumerate(both)}
+    products = summed(table.select("counts", draw.alias("hit")), crossed)
+    at = {c: k for k, c in enumerate([*normal, *[f"_c_{c}" for c in inputs]])}
 
     linear: dict[tuple[str, str], dict[str, float]] = {}
     for config in normalised_configs(features):
@@ -273,20 +306,8 @@ def normalised_scores(
             beta = least_squares(products[np.ix_(rows, rows)], products[rows, at[target]])
             linear[config.name, s] = dict(zip(used, beta))
 
-    def line(weights: dict[str, float]) -> Column:
-        terms = [F.lit(float(b)) * F.col(c) for c, b in weights.items()]
-        return sum(terms[1:], terms[0])
-
-    rows = [
-        F.struct(F.lit(f"{name}/{s}").alias("method"), line(weights).alias("x"))
-        for (name, s), weights in linear.items()
-    ]
-    scored = stage(
-        table.select(F.inline(F.array(*rows))).groupBy("method", "x").agg(
-            F.count("*").cast("double").alias("w")
-        ),
-        "scores",
-    )
+    weights = {f"{name}/{s}": [line.get(c, 0.0) for c in inputs] for (name, s), line in linear.items()}
+    scored = stage(line_values(table.select("counts"), weights, values), "scores")
     fits = fit_normals(scored)
 
     def on_counts(weights: dict[str, float]) -> Column:
@@ -311,26 +332,46 @@ def normalised_scores(
     return out
 
 
-def raw_products(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
-    """Cross-products of columns summed over all rows, columns x columns numbers."""
-    names = list(columns)
+def summed(df: DataFrame, block_of: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """Sum of the matrices that `block_of` makes of batches of rows; only such matrices leave the tasks."""
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(names), len(names)))
-        for pdf in batches:
-            block = pdf[names].to_numpy(float)
-            total += block.T @ block
-        yield pd.DataFrame({"cell": np.arange(total.size), "x": total.ravel()})
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                block = block_of(batch)
+                total = block if total is None else total + block
+        if total is not None:
+            cells = [np.arange(total.size, dtype=np.int32), np.full(total.size, total.shape[1], np.int32), total.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["cell", "width", "x"])
 
     cells = (
-        df.select(*[F.col(c).cast("double").alias(c) for c in names])
-        .mapInPandas(partial, "cell int, x double")
-        .groupBy("cell")
+        df.mapInArrow(partial, "cell int, width int, x double")
+        .groupBy("cell", "width")
         .agg(F.sum("x").alias("x"))
         .toPandas()
         .sort_values("cell")
     )
-    return cells["x"].to_numpy(float).reshape(len(names), len(names))
+    return cells["x"].to_numpy(float).reshape(-1, int(cells["width"].iloc[0]))
+
+
+def line_values(
+    vectors: DataFrame, weights: dict[str, Sequence[float]], values: Callable[[pa.Array], np.ndarray]
+) -> DataFrame:
+    """(method, x, w): distinct values of each method's line over the rows that `values` makes of the
+    array column, with how many rows share them."""
+    lines = np.array(list(weights.values()), float).T
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = values(batch.column(0)) @ lines if batch.num_rows else np.zeros((0, lines.shape[1]))
+            for method, x in zip(weights, found.T):
+                at, n = np.unique(x, return_counts=True)
+                cells = [pa.array([method] * len(at), pa.string()), pa.array(at), pa.array(n.astype(float))]
+                yield pa.RecordBatch.from_arrays(cells, names=["method", "x", "w"])
+
+    rows = vectors.mapInArrow(partial, "method string, x double, w double")
+    return rows.groupBy("method", "x").agg(F.sum("w").alias("w"))
 
 
 # --- covariance score: coefficients from covariances alone --------------------------------------
@@ -413,10 +454,17 @@ def covariance_scores(
     Only two covariance matrices, of the training and validation rows, leave Spark.
     """
     columns = ["utl", "code", "concept", *coded, *concepts]
-    logged = log_counts(df, columns, [key])
-    split = corrupt_and_split(logged, ["code", "concept"], key, seed=seed)
+    logged = df.select(key, *[logs(["code", "concept"])[c].alias(c) for c in ("code", "concept")], numbers(columns).alias("counts"))
+    logged = stage(logged, "logs")
     names = [*columns, "corrupt_code", "corrupt_concept"]
-    matrices = as_matrices(covariance(split, names, "is_train"), "is_train", names)
+    split = corrupt_and_split(logged, ["code", "concept"], key, seed=seed).select(
+        "is_train", "counts", numbers(names[-2:]).alias("corrupt")
+    )
+
+    def block_of(batch: pa.RecordBatch) -> np.ndarray:
+        return np.hstack([np.log1p(matrix_of(batch.column(1))), matrix_of(batch.column(2))])
+
+    matrices = as_matrices(block_covariance(split, names, "is_train", block_of), "is_train", names)
     models = {
         "cov_code": covariance_coefficients(
             matrices[True], matrices[False], names, ["code"], coded
@@ -430,16 +478,8 @@ def covariance_scores(
         terms = [F.lit(b) * F.log1p(F.col(c)) for c, b in weights.items()]
         return sum(terms[1:], terms[0])
 
-    rows = [
-        F.struct(F.lit(name).alias("method"), line(weights).alias("x"))
-        for name, weights in models.items()
-    ]
-    scored = stage(
-        df.select(F.inline(F.array(*rows))).groupBy("method", "x").agg(
-            F.count("*").cast("double").alias("w")
-        ),
-        "scores",
-    )
+    lines = {name: [weights.get(c, 0.0) for c in columns] for name, weights in models.items()}
+    scored = stage(line_values(logged.select("counts"), lines, lambda counts: np.log1p(matrix_of(counts))), "scores")
     fits = fit_normals(scored)
     return CovarianceFit(
         {name: fits[name].posterior(line(weights)) for name, weights in models.items()},

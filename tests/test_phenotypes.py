@@ -98,6 +98,35 @@ def test_covariance_equals_numpy(cohort):
         assert np.allclose(matrix, want)
 
 
+def test_scorers_pass_features_as_one_array(cohort, monkeypatch):
+    """No step of the scorers is as wide as the features, so none is a projection too long to compile."""
+    widths, keep = [], scorers.stage
+    monkeypatch.setattr(scorers, "stage", lambda df, name="stage": widths.append(len(df.columns)) or keep(df, name))
+    cohort = cohort.select("*", *[F.col("F:2").alias(f"G:{k}") for k in range(12)])
+    features = ["F:1", *[f"G:{k}" for k in range(12)]]
+    scorers.normalised_scores(cohort, features)
+    scorers.covariance_scores(cohort, features, [])
+    assert max(widths) <= 4
+
+
+def test_sums_and_lines_of_arrays_equal_numpy(cohort):
+    names = ["utl", "code", "F:1"]
+    frame = cohort.toPandas()[names].to_numpy(float)
+    vectors = cohort.repartition(5).select(scorers.numbers(names).alias("x"))
+
+    def products(batch):
+        block = scorers.matrix_of(batch.column(0))
+        return block.T @ block
+
+    assert np.allclose(scorers.summed(vectors, products), frame.T @ frame)
+    lines = {"a": [0.0, 1.0, 0.0], "b": [0.0, 1.0, 2.0]}
+    got = scorers.line_values(vectors, lines, scorers.matrix_of).toPandas()
+    for name, beta in lines.items():
+        x, n = np.unique(frame @ np.array(beta), return_counts=True)
+        part = got[got["method"] == name].sort_values("x")
+        assert np.allclose(part["x"], x) and (part["w"] == n).all()
+
+
 def test_lasso_without_penalty_is_least_squares():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 4))
