@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,10 @@ from longspan.llm.op5_toxicity import label_model
 from longspan.llm.op6_decontaminate import decontaminate, words_of
 from longspan.llm.op7_secrets import BEGIN, INSIDE, OUTSIDE, Field, Tagger, scan, train
 from longspan.llm.op8_mix import closest_sum, fit_budget, mix, mixed, targets, words_in
-from longspan.llm.op9_embedding_dedup import embedding_groups, place
+from longspan.llm.op9_embedding_dedup import embedding_groups, nearest, place
 from longspan.llm.op10_simhash import fingerprint, links_within, masks, reference_fingerprints, simhash_groups
 from longspan.llm.suffix_groups import suffix_arrays
-from longspan.sources.stages import scratch_path
+from longspan.sources.stages import scratch_path, shared_folder
 
 TOKENIZER = __import__("public_tokenizers").path("word_bpe_49k.json")
 MEDIUM = "/root/testdata/sf0.01"
@@ -499,6 +500,63 @@ def test_every_link_meets_in_a_cell():
     assert np.mean([len(v) for v in visits]) < 512
 
 
+def written(spark):
+    """Bytes in the shared folder and in the folders of shuffles."""
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    tops = [*(str(d) for d in local), shared_folder(spark).removeprefix("file:")]
+    return sum(p.stat().st_size for top in tops for p in Path(top).rglob("*") if p.is_file())
+
+
+def test_embeddings_are_not_copied_to_the_cells_they_visit(spark):
+    """Vectors without clusters visit most cells; every step together writes a few times their bytes."""
+    rng = np.random.default_rng(18)
+    x = rng.normal(size=(4000, 64)).astype(np.float32)
+    x[3990:] = x[:10]
+    frame = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id bigint, embedding array<float>, label int")
+    before = written(spark)
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_groups(frame, cell_points=50, block=256).collect()}
+    assert written(spark) - before < 6 * x.nbytes
+    assert found == {k: (int(k % 3990 < 10), k % 3990) for k in range(4000)}
+
+
+@pytest.mark.parametrize("cosine", [0.93, 0.2, -0.1])
+def test_links_over_packs(spark, cosine):
+    """Copies, near copies and vectors of another length, in many packs, against all pairs."""
+    rng = np.random.default_rng(19)
+    base = rng.normal(size=(150, 8))
+    near = np.repeat(base[:40], 3, 0) + 0.1 * rng.normal(size=(120, 8))
+    x = [*base, *near, *base[:30], *base[:30], *rng.normal(size=(40, 5)), *[-base[0]] * 3]
+    label = [1] * len(x)
+    label[200:230] = [2] * 30
+    rows = [(k, v.tolist(), g) for k, (v, g) in enumerate(zip(x, label))]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").repartition(3)
+    found = sorted(embedding_groups(frame, cosine=cosine, cell_points=10, block=8).collect())
+    links = np.zeros((len(x), len(x)), bool)
+    for a, b in itertools.permutations(range(len(x)), 2):
+        if label[a] == label[b] and len(x[a]) == len(x[b]):
+            links[a, b] = x[a] @ x[b] / np.linalg.norm(x[a]) / np.linalg.norm(x[b]) >= cosine
+    root = np.arange(len(x))
+    while True:
+        new = np.array([min(root[k], root[row].min(initial=len(x))) for k, row in enumerate(links)])
+        if (new == root).all():
+            break
+        root = new
+    assert [(r.vec_id, r.n_links, r.component_id) for r in found] == [(k, links[k].sum(), root[k]) for k in range(len(x))]
+
+
+def test_equal_vectors_share_a_home():
+    """Whatever their place in a block, also between two centres that are as near."""
+    rng = np.random.default_rng(20)
+    one = rng.normal(size=(1, 64))
+    one /= np.linalg.norm(one)
+    off = rng.normal(size=(1, 64))
+    off -= (off @ one.T) * one
+    centres = np.concatenate([one + off, one - off, *[one + off] * 5])
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    homes = [nearest(np.repeat(one, n, 0), centres) for n in (1, 2, 3, 7, 64, 1025)]
+    assert len(set(np.concatenate(homes).tolist())) == 1
+
+
 # 10 SimHash
 
 
